@@ -59,38 +59,41 @@ def _fits(active: DataFrame, space: DataFrame, key: list[str], steps: int) -> Da
     ident = [c for c in active.columns]
     near = (want.join(cells, [*key, "_y", "_x"]).withColumn("_c", column)
             .groupBy(*ident)
-            .agg(*[F.max(F.when((F.col("_dy") == dy) & (F.col("_dx") == dx), F.col("_c"))).alias(f"n{dy + 1}{dx + 1}")
+            .agg(*[F.expr(f"max(if(_dy = {dy} and _dx = {dx}, _c, null))").alias(f"n{dy + 1}{dx + 1}")
                    for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
 
     def at(dx, dy, ds):
-        return F.col(f"n{dy + 1}{dx + 1}")[ds + 1]
-
-    c = at(0, 0, 0)
-    d = near.withColumns({
-        "gx": (at(1, 0, 0) - at(-1, 0, 0)) * 0.5, "gy": (at(0, 1, 0) - at(0, -1, 0)) * 0.5,
-        "gs": (at(0, 0, 1) - at(0, 0, -1)) * 0.5,
-        "dxx": at(1, 0, 0) + at(-1, 0, 0) - c * 2, "dyy": at(0, 1, 0) + at(0, -1, 0) - c * 2,
-        "dss": at(0, 0, 1) + at(0, 0, -1) - c * 2,
-        "dxy": (at(1, 1, 0) - at(-1, 1, 0) - at(1, -1, 0) + at(-1, -1, 0)) * 0.25,
-        "dxs": (at(1, 0, 1) - at(-1, 0, 1) - at(1, 0, -1) + at(-1, 0, -1)) * 0.25,
-        "dys": (at(0, 1, 1) - at(0, -1, 1) - at(0, 1, -1) + at(0, -1, -1)) * 0.25,
-        "c0": c})
-    xx, yy, ss, xy, xs, ys = (F.col(n) for n in ("dxx", "dyy", "dss", "dxy", "dxs", "dys"))
-    bx, by, bs = -F.col("gx"), -F.col("gy"), -F.col("gs")
+        return f"n{dy + 1}{dx + 1}[{ds + 1}]"
+
+    def first(lo, hi):
+        return f"({hi} - {lo}) * 0.5D"
+
+    def second(lo, hi):
+        return f"{hi} + {lo} - {at(0, 0, 0)} * 2"
+
+    def mixed(pp, np_, pn, nn):
+        return f"({pp} - {np_} - {pn} + {nn}) * 0.25D"
+
+    d = near.selectExpr(
+        *ident, f"{at(0, 0, 0)} as c0",
+        f"{first(at(-1, 0, 0), at(1, 0, 0))} as gx", f"{first(at(0, -1, 0), at(0, 1, 0))} as gy",
+        f"{first(at(0, 0, -1), at(0, 0, 1))} as gs",
+        f"{second(at(-1, 0, 0), at(1, 0, 0))} as dxx", f"{second(at(0, -1, 0), at(0, 1, 0))} as dyy",
+        f"{second(at(0, 0, -1), at(0, 0, 1))} as dss",
+        f"{mixed(at(1, 1, 0), at(-1, 1, 0), at(1, -1, 0), at(-1, -1, 0))} as dxy",
+        f"{mixed(at(1, 0, 1), at(-1, 0, 1), at(1, 0, -1), at(-1, 0, -1))} as dxs",
+        f"{mixed(at(0, 1, 1), at(0, -1, 1), at(0, 1, -1), at(0, -1, -1))} as dys")
 
     def det3(m):
-        return (m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1])
-                - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0])
-                + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0]))
-
-    hess = [[xx, xy, xs], [xy, yy, ys], [xs, ys, ss]]
-    d = d.withColumn("_det", det3(hess)).filter(F.abs(F.col("_det")) > 1e-12)
-    rhs = (bx, by, bs)
-    offsets = {}
-    for k, name in enumerate(("ox", "oy", "os")):
-        m = [[rhs[r] if c == k else hess[r][c] for c in range(3)] for r in range(3)]
-        offsets[name] = det3(m) / F.col("_det")
-    return d.withColumns(offsets).select(*ident, "c0", "gx", "gy", "gs", "dxx", "dyy", "dxy", "ox", "oy", "os")
+        return (f"{m[0][0]}*({m[1][1]}*{m[2][2]} - {m[1][2]}*{m[2][1]}) - {m[0][1]}*({m[1][0]}*{m[2][2]} - "
+                f"{m[1][2]}*{m[2][0]}) + {m[0][2]}*({m[1][0]}*{m[2][1]} - {m[1][1]}*{m[2][0]})")
+
+    hess = [["dxx", "dxy", "dxs"], ["dxy", "dyy", "dys"], ["dxs", "dys", "dss"]]
+    rhs = ("(-gx)", "(-gy)", "(-gs)")
+    d = d.selectExpr("*", f"{det3(hess)} as _det").filter("abs(_det) > 1e-12")
+    offsets = [f"({det3([[rhs[r] if c == k else hess[r][c] for c in range(3)] for r in range(3)])}) / _det as {name}"
+               for k, name in enumerate(("ox", "oy", "os"))]
+    return d.selectExpr(*ident, "c0", "gx", "gy", "gs", "dxx", "dyy", "dxy", *offsets)
 
 
 def _half_away(c):

@@ -72,7 +72,7 @@ def soft_histogram(samples: DataFrame, keys: list[str], r: Column, c: Column, th
                 share = ((fr if i else 1 - fr) * (fc if j else 1 - fc) * (fo if k else 1 - fo))
                 corners.append(F.struct((r0 + i).alias("r"), (c0 + j).alias("c"),
                                         F.pmod(o0 + k, F.lit(n)).alias("o"), (F.col("_w") * share).alias("v")))
-    spread = base.select(*keys, F.explode(F.array(*corners)).alias("k")).select(*keys, "k.*").filter(
+    spread = base.select(*keys, F.explode(F.array(*corners)).alias("_k")).select(*keys, "_k.*").filter(
         (F.col("r") >= 0) & (F.col("r") < d) & (F.col("c") >= 0) & (F.col("c") < d))
     slot = ((F.col("r") * d + F.col("c")) * n + F.col("o")).cast("int")
     sums = spread.groupBy(*keys, slot.alias("_slot")).agg(F.sum("v").alias("v"))

@@ -50,43 +50,29 @@ def _normal_entries(weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
     A pair of sources contributes through nine weighted moments, summed before any shuffle; the
     8 x 8 cell values are then plain sums of those moments.
     """
-    w = F.col("w")
-    m = {
-        "w": w, "px": w * F.col("px"), "py": w * F.col("py"), "qx": w * F.col("qx"), "qy": w * F.col("qy"),
-        "pp": w * (F.col("px") ** 2 + F.col("py") ** 2), "qq": w * (F.col("qx") ** 2 + F.col("qy") ** 2),
-        "pq": w * (F.col("px") * F.col("qx") + F.col("py") * F.col("qy")),
-        "pxq": w * (F.col("px") * F.col("qy") - F.col("py") * F.col("qx")),
-    }
-    pair = weighted.groupBy(*GROUP, "anchor", "i", "j").agg(*[F.sum(v).alias("s_" + k) for k, v in m.items()])
-    s = {k: F.col("s_" + k) for k in m}
-    zero = F.lit(0.0)
+    moments = {
+        "w": "1", "px": "px", "py": "py", "qx": "qx", "qy": "qy", "pp": "px*px + py*py", "qq": "qx*qx + qy*qy",
+        "pq": "px*qx + py*qy", "pxq": "px*qy - py*qx"}
+    pair = weighted.groupBy(*GROUP, "anchor", "i", "j").agg(
+        *[F.expr(f"sum(w * ({v}))").alias("s_" + k) for k, v in moments.items()])
 
     def own(x, y, sq):
-        return [[sq, zero, x, y], [zero, sq, -y, x], [x, -y, s["w"], zero], [y, x, zero, s["w"]]]
+        return [[sq, "0D", x, y], ["0D", sq, "-" + y, x], [x, "-" + y, "s_w", "0D"], [y, x, "0D", "s_w"]]
 
     # rows of T_i(p) against columns of T_j(q): coefficients (x,-y,1,0) and (y,x,0,1)
-    cross = [[s["pq"], -s["pxq"], s["px"], s["py"]],
-             [s["pxq"], s["pq"], -s["py"], s["px"]],
-             [s["qx"], -s["qy"], s["w"], zero],
-             [s["qy"], s["qx"], zero, s["w"]]]
-    cells = []
-    for u in range(4):
-        for v in range(4):
-            cells += [(F.col("i"), u, F.col("i"), v, own(s["px"], s["py"], s["pp"])[u][v]),
-                      (F.col("j"), u, F.col("j"), v, own(s["qx"], s["qy"], s["qq"])[u][v]),
-                      (F.col("i"), u, F.col("j"), v, -cross[u][v]),
-                      (F.col("j"), u, F.col("i"), v, -cross[v][u])]
-    packed = F.explode(F.array(*[F.struct(a.alias("row"), F.lit(u).alias("u"), b.alias("col"),
-                                          F.lit(v).alias("v"), x.alias("val")) for a, u, b, v, x in cells]))
-    flat = pair.select(*GROUP, "anchor", packed.alias("c")).select(*GROUP, "anchor", "c.*")
-    g = F.struct(*GROUP).alias("g")
-    free = flat.filter(F.col("row") != F.col("anchor"))
-    row = (F.col("row") * 4 + F.col("u")).alias("i")
-    entries = free.filter(F.col("col") != F.col("anchor")).select(
-        g, row, (F.col("col") * 4 + F.col("v")).alias("j"), "val")
+    cross = [["s_pq", "-s_pxq", "s_px", "s_py"], ["s_pxq", "s_pq", "-s_py", "s_px"],
+             ["s_qx", "-s_qy", "s_w", "0D"], ["s_qy", "s_qx", "0D", "s_w"]]
+    blocks = {("i", "i"): own("s_px", "s_py", "s_pp"), ("j", "j"): own("s_qx", "s_qy", "s_qq"),
+              ("i", "j"): [[f"-({c})" for c in row] for row in cross],
+              ("j", "i"): [[f"-({cross[v][u]})" for v in range(4)] for u in range(4)]}
+    cells = ", ".join(f"named_struct('row', {r}, 'u', {u}, 'col', {c}, 'v', {v}, 'val', {block[u][v]})"
+                      for (r, c), block in blocks.items() for u in range(4) for v in range(4))
+    flat = pair.selectExpr(*GROUP, "anchor", f"inline(array({cells}))")
+    free = flat.filter("row <> anchor")
+    g, row = "struct(set_id, component) as g", "row * 4 + u as i"
+    entries = free.filter("col <> anchor").selectExpr(g, row, "col * 4 + v as j", "val")
     # the anchor is the identity (a = 1, others 0): its a-column moves to the right-hand side
-    moved = F.when((F.col("col") == F.col("anchor")) & (F.col("v") == 0), -F.col("val")).otherwise(0.0)
-    return entries, free.select(g, row, moved.alias("b"))
+    return entries, free.selectExpr(g, row, "if(col = anchor and v = 0, -val, 0D) as b")
 
 
 def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
@@ -240,7 +226,8 @@ def natural_width(span: Column, px_per_unit: Column, cap: int) -> Column:
 
     4000 stands in when either input is unknown.
     """
-    return F.least(F.coalesce(F.greatest(F.lit(1000), F.floor(span * px_per_unit)), F.lit(4000)), F.lit(cap)).cast("int")
+    own = F.floor(span * px_per_unit)
+    return F.when(own.isNull(), 4000).otherwise(F.least(F.greatest(F.lit(1000), own), F.lit(cap))).cast("int")
 
 
 def working_width(aspect: Column, base: int = 700, top: int = 2500) -> Column:

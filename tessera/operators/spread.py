@@ -21,14 +21,14 @@ def dense_index(df: DataFrame, keys: list[str], order: list[Column | str], name:
     by_key = [F.col(k) for k in keys]
     ranged = cut(df.repartitionByRange(*by_key, *cols).withColumn("_range", F.spark_partition_id()))
     local = ranged.withColumn(
-        "_pos", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*cols)).cast("bigint") - 1)
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        "_in_range", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*cols)).cast("bigint") - 1)
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in_this"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_in_this").over(earlier), F.lit(0)))
     if count_name:
-        shift = shift.withColumn(count_name, F.sum("_n").over(Window.partitionBy(*keys)))
-    out = local.join(shift.drop("_n"), [*keys, "_range"])
-    return out.withColumn(name, F.col("_pos") + F.col("_shift")).drop("_range", "_pos", "_shift")
+        shift = shift.withColumn(count_name, F.sum("_in_this").over(Window.partitionBy(*keys)))
+    out = local.join(shift.drop("_in_this"), [*keys, "_range"])
+    return out.withColumn(name, F.col("_in_range") + F.col("_shift")).drop("_range", "_in_range", "_shift")
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
