@@ -43,20 +43,23 @@ def source_dimension_flat(width, height, frame_scale, sim_scale) -> Column:
     return F.ceil(F.greatest(width, height) * frame_scale * sim_scale * 1.2)
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, e: acc + e * e))
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it inside ``body`` (higher-order bodies re-evaluate columns per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _unit(v: Column) -> Column:
-    n = _norm(v)
-    return F.when(n > 1e-12, F.transform(v, lambda e: e / n)).otherwise(v)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, e: acc + e * e))
+    return let(norm, lambda n: F.when(n > 1e-12, F.transform(v, lambda e: e / n)).otherwise(v))
 
 
 def vec_unit_clip(v: Column, cap: float = 0.2) -> Column:
     """L2-normalise, clip entries at ``cap``, renormalise only if something was clipped."""
-    unit = _unit(F.transform(v, lambda e: e.cast("double")))
-    clipped = F.transform(unit, lambda e: F.least(e, F.lit(cap)))
-    return F.when(F.exists(unit, lambda e: e > cap), _unit(clipped)).otherwise(unit)
+    def clip(unit: Column) -> Column:
+        clipped = let(F.transform(unit, lambda e: F.least(e, F.lit(cap))), _unit)
+        return F.when(F.array_max(unit) > cap, clipped).otherwise(unit)
+
+    return let(let(F.transform(v, lambda e: e.cast("double")), _unit), clip)
 
 
 def hash_int(*parts) -> Column:
