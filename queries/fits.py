@@ -1 +1,318 @@
-QUERIES, ORACLE = {}, {}
+"""Robust pair fits, global placement, frames and offset surfaces.
+
+Match points come from line items: a pair per supplier, a planted transform for rows with a low discount and
+unrelated positions for the others.  Placement uses line items as landmarks seen by four sources per supplier.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from queries.common import Registry, load, rd, sq
+from tessera.functions.similarity import sim, sim_apply, sim_from_polar, sim_inverse
+from tessera.operators import fitting, matching, placement, surface
+from tessera.session import cut
+
+R = Registry()
+TRIALS = 100
+
+_ID = "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey)"
+_POINTS = f"""li AS (SELECT l_suppkey AS a, {_ID} AS match_id, max(l_discount) AS disc, max(l_tax) AS tax, max(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
+tru AS (SELECT *, (match_id % 2000)::DOUBLE AS xa, (match_id * 7 % 1500)::DOUBLE AS ya, 0.9::DOUBLE + 0.02::DOUBLE * (a % 10) AS sc,
+  (a % 7 - 3) * 0.02::DOUBLE AS rot, -300::DOUBLE + (a % 5) * 50 AS tx, 8::DOUBLE AS ty FROM li),
+mp AS (SELECT a, match_id, disc, xa, ya,
+  CASE WHEN disc < 0.045 THEN sc*cos(rot)*xa - sc*sin(rot)*ya + tx + (tax - 0.04::DOUBLE) * 20 ELSE (match_id * 37 % 2000)::DOUBLE END AS xb,
+  CASE WHEN disc < 0.045 THEN sc*sin(rot)*xa + sc*cos(rot)*ya + ty + (qty - 25) / 40 ELSE (match_id * 61 % 1500)::DOUBLE END AS yb FROM tru)"""
+
+
+def points(spark, sf):
+    li = load(spark, sf, "lineitem")
+    ident = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
+    d = li.groupBy(F.col("l_suppkey").alias("a"), ident.alias("match_id")).agg(
+        F.max("l_discount").alias("disc"), F.max("l_tax").alias("tax"), F.max("l_quantity").alias("qty"))
+    a, m = F.col("a"), F.col("match_id")
+    t = sim_from_polar(0.9 + 0.02 * (a % 10), (a % 7 - 3) * 0.02, -300.0 + (a % 5) * 50, F.lit(8.0))
+    d = d.withColumns({"xa": (m % 2000).cast("double"), "ya": (m * 7 % 1500).cast("double"), "t": t})
+    x, y = sim_apply(F.col("t"), F.col("xa"), F.col("ya"))
+    good = F.col("disc") < 0.045
+    return d.select(F.lit(1).cast("bigint").alias("set_id"), "a", (a + 1000000).alias("b"), "match_id", "disc", "xa", "ya",
+                    F.when(good, x + (F.col("tax") - 0.04) * 20).otherwise((m * 37 % 2000).cast("double")).alias("xb"),
+                    F.when(good, y + (F.col("qty") - 25) / 40).otherwise((m * 61 % 1500).cast("double")).alias("yb"),
+                    F.lit(2000).alias("width"), F.lit(1500).alias("height"))
+
+
+def _fit_sql(src: str, out: str, keys: str = "a") -> str:
+    return f"""{out}_m AS (SELECT {keys}, count(*) AS n, avg(xa) AS mxa, avg(ya) AS mya, avg(xb) AS mxb, avg(yb) AS myb,
+  count(*) * (var_pop(xa) + var_pop(ya)) AS den, count(*) * (covar_pop(xa, xb) + covar_pop(ya, yb)) AS re,
+  count(*) * (covar_pop(xa, yb) - covar_pop(ya, xb)) AS im FROM {src} GROUP BY {keys}),
+{out} AS (SELECT {keys}, n, re/den AS sa, im/den AS sb, mxb - (re/den*mxa - im/den*mya) AS tx, myb - (im/den*mxa + re/den*mya) AS ty
+  FROM {out}_m WHERE n >= 2 AND den > 1e-12)"""
+
+
+@R.add("fit_similarity", f"WITH {_POINTS}, {_fit_sql('mp', 'f')} SELECT a, n, {sq('sa')} AS sa, {sq('sb')} AS sb, {sq('tx', 3)} AS tx, {sq('ty', 3)} AS ty FROM f")
+def _(spark, sf):
+    f = fitting.fit_similarity(points(spark, sf), ["a"])
+    return f.select("a", "n", rd("t.a").alias("sa"), rd("t.b").alias("sb"), rd("t.tx", 3).alias("tx"), rd("t.ty", 3).alias("ty"))
+
+
+@R.add("fit_similarity_weighted", f"""WITH {_POINTS}, w AS (SELECT *, 1 - disc * 9 AS w FROM mp),
+  c AS (SELECT a, count(*) AS n, sum(w*xa)/sum(w) AS mxa, sum(w*ya)/sum(w) AS mya, sum(w*xb)/sum(w) AS mxb, sum(w*yb)/sum(w) AS myb FROM w GROUP BY a),
+  s AS (SELECT a, n, any_value(mxa) AS mxa, any_value(mya) AS mya, any_value(mxb) AS mxb, any_value(myb) AS myb,
+    sum(w*((xa-mxa)*(xa-mxa) + (ya-mya)*(ya-mya))) AS den, sum(w*((xa-mxa)*(xb-mxb) + (ya-mya)*(yb-myb))) AS re,
+    sum(w*((xa-mxa)*(yb-myb) - (ya-mya)*(xb-mxb))) AS im FROM w JOIN c USING (a) GROUP BY a, n)
+  SELECT a, n, {sq('re/den')} AS sa, {sq('im/den')} AS sb, {sq('mxb - (re/den*mxa - im/den*mya)', 3)} AS tx FROM s""")
+def _(spark, sf):
+    f = fitting.fit_similarity(points(spark, sf).withColumn("w", 1 - F.col("disc") * 9), ["a"], "w")
+    return f.select("a", "n", rd("t.a").alias("sa"), rd("t.b").alias("sb"), rd("t.tx", 3).alias("tx"))
+
+
+_PLANTED = """tr AS (SELECT a, xa, ya, sc*cos(rot)*xa - sc*sin(rot)*ya + tx AS xb, sc*sin(rot)*xa + sc*cos(rot)*ya + ty AS yb FROM tru)"""
+
+
+@R.add("fit_homography", f"WITH {_POINTS}, {_PLANTED}, {_fit_sql('tr', 'f')} SELECT a, n, {sq('sa', 5)} AS h00, {sq('sb', 5)} AS h10, {sq('tx', 2)} AS h02 FROM f")
+def _(spark, sf):
+    # planted without noise, so the eight-parameter fit must return the four-parameter truth SQL fits
+    p = points(spark, sf)
+    a = F.col("a")
+    t = sim_from_polar(0.9 + 0.02 * (a % 10), (a % 7 - 3) * 0.02, -300.0 + (a % 5) * 50, F.lit(8.0))
+    p = p.withColumn("t", t)
+    x, y = sim_apply(F.col("t"), F.col("xa"), F.col("ya"))
+    f = fitting.fit_homography(p.withColumns({"xb": x, "yb": y}), ["a"])
+    return f.select("a", "n", rd(F.col("h")[0], 5).alias("h00"), rd(F.col("h")[3], 5).alias("h10"), rd(F.col("h")[2], 2).alias("h02"))
+
+
+def _h(k: int) -> str:
+    return f"('0x' || substr(md5(concat_ws('-', 1, a, a + 1000000, t, {k})), 1, 8))::BIGINT"
+
+
+_TRIALS = f"""ix AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY match_id) - 1 AS idx, count(*) OVER (PARTITION BY a) AS n FROM mp),
+dr AS (SELECT a, n, t, {_h(0)} % n AS i, {_h(1)} % (n - 1) AS j FROM (SELECT DISTINCT a, n FROM ix WHERE n >= 2), range({TRIALS}) r(t)),
+sm AS (SELECT dr.a, t, p.xa, p.ya, p.xb, p.yb, q.xa - p.xa AS dx, q.ya - p.ya AS dy, q.xb - p.xb AS ex, q.yb - p.yb AS ey
+  FROM dr JOIN ix p ON p.a = dr.a AND p.idx = i JOIN ix q ON q.a = dr.a AND q.idx = j + CASE WHEN j >= i THEN 1 ELSE 0 END),
+ab AS (SELECT *, (dx*ex + dy*ey) / (dx*dx + dy*dy) AS sa, (dx*ey - dy*ex) / (dx*dx + dy*dy) AS sb FROM sm WHERE (dx*dx + dy*dy) / 2 > 1e-12),
+hy AS (SELECT a, t, sa, sb, xb - (sa*xa - sb*ya) AS tx, yb - (sb*xa + sa*ya) AS ty FROM ab
+  WHERE sqrt(sa*sa + sb*sb) BETWEEN 0.5 AND 2 AND abs(atan2(sb, sa)) < radians(20)),
+sc AS (SELECT hy.a, t, any_value(sa) AS sa, any_value(sb) AS sb, any_value(tx) AS tx, any_value(ty) AS ty, count(*) AS n_inliers FROM hy JOIN ix ON ix.a = hy.a
+  WHERE pow(sa*xa - sb*ya + tx - xb, 2) + pow(sb*xa + sa*ya + ty - yb, 2) < 144 GROUP BY hy.a, t)"""
+_CONSENSUS = f"""{_TRIALS},
+best AS (SELECT * FROM sc WHERE n_inliers >= 2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY n_inliers DESC, t) = 1),
+agreed AS (SELECT ix.a, xa, ya, xb, yb FROM ix JOIN best ON ix.a = best.a WHERE pow(sa*xa - sb*ya + tx - xb, 2) + pow(sb*xa + sa*ya + ty - yb, 2) < 144),
+{_fit_sql('agreed', 'refit')},
+ok AS (SELECT a, sa, sb, tx, ty FROM refit WHERE sqrt(sa*sa + sb*sb) BETWEEN 0.5 AND 2 AND abs(atan2(sb, sa)) < radians(20)),
+landed AS (SELECT ix.a, match_id, xb, yb, sa*xa - sb*ya + tx AS px, sb*xa + sa*ya + ty AS py FROM ix JOIN ok ON ix.a = ok.a),
+flagged AS (SELECT *, pow(px - xb, 2) + pow(py - yb, 2) < 144 AS hit, px >= 0 AND px < 2000 AND py >= 0 AND py < 1500 AS inside FROM landed)"""
+
+
+@R.add("hypotheses", f"WITH {_POINTS}, {_TRIALS} SELECT a, t AS trial, {sq('sa', 5)} AS sa, {sq('sb', 5)} AS sb, {sq('tx', 2)} AS tx FROM hy")
+def _(spark, sf):
+    ix = cut(fitting.index_points(points(spark, sf).withColumn("threshold", F.lit(12.0))))
+    h = fitting.hypotheses(ix, "similarity", TRIALS)
+    return h.select("a", F.col("trial").cast("bigint").alias("trial"), rd("t.a", 5).alias("sa"), rd("t.b", 5).alias("sb"), rd("t.tx", 2).alias("tx"))
+
+
+@R.add("score_hypotheses", f"WITH {_POINTS}, {_TRIALS} SELECT a, t AS trial, n_inliers FROM sc")
+def _(spark, sf):
+    limit = fitting.inlier_threshold("similarity", F.col("width"), F.col("height"))
+    ix = cut(fitting.index_points(points(spark, sf).withColumn("threshold", limit)))
+    return fitting.score_hypotheses(ix, fitting.hypotheses(ix, "similarity", TRIALS)).select(
+        "a", F.col("trial").cast("bigint").alias("trial"), "n_inliers")
+
+
+@R.add("ransac_similarity", f"""WITH {_POINTS}, {_CONSENSUS} SELECT a, count(*) AS n_matches, count(*) FILTER (hit) AS n_inliers,
+  count(*) FILTER (inside) AS n_overlap, 12::DOUBLE AS threshold, any_value(best.t) AS best_trial, count(*) FILTER (hit) >= 8 AS verified,
+  {sq('any_value(sqrt(ok.sa*ok.sa + ok.sb*ok.sb))')} AS scale, {sq('any_value(ok.tx)', 3)} AS tx
+  FROM flagged JOIN ok USING (a) JOIN best USING (a) GROUP BY a""")
+def _(spark, sf):
+    pairs, _ = fitting.ransac_pairs(points(spark, sf), "similarity", TRIALS)
+    p = fitting.pair_similarity(pairs)
+    scale = F.sqrt(F.col("t.a") * F.col("t.a") + F.col("t.b") * F.col("t.b"))
+    return p.select("a", "n_matches", "n_inliers", "n_overlap", "threshold", F.col("best_trial").cast("bigint").alias("best_trial"),
+                    "verified", rd(scale).alias("scale"), rd("t.tx", 3).alias("tx"))
+
+
+@R.add("ransac_inliers", f"WITH {_POINTS}, {_CONSENSUS} SELECT a, match_id FROM flagged WHERE hit")
+def _(spark, sf):
+    return fitting.ransac_pairs(points(spark, sf), "similarity", TRIALS)[1].select("a", "match_id")
+
+
+@R.add("match_report", f"""WITH {_POINTS}, {_CONSENSUS}, v AS (SELECT a, count(*) AS n_matches, count(*) FILTER (hit) AS n_inliers FROM flagged GROUP BY a)
+  SELECT a, match_id AS fa, v.n_matches, v.n_inliers, CASE WHEN hit THEN 'inlier' ELSE 'outlier' END AS role,
+  CASE WHEN v.n_inliers >= 8 THEN 'verified' WHEN v.n_inliers IS NULL THEN 'no model' ELSE 'rejected' END AS verdict
+  FROM mp LEFT JOIN flagged USING (a, match_id) LEFT JOIN v USING (a)""")
+def _(spark, sf):
+    p = points(spark, sf)
+    pairs, inliers = fitting.ransac_pairs(p, "similarity", TRIALS)
+    matches = p.select("set_id", "a", "b", F.col("match_id").alias("fa"), F.col("match_id").alias("fb"))
+    hits = inliers.select("set_id", "a", "b", F.col("match_id").alias("fa"), F.col("match_id").alias("fb"))
+    return matching.match_report(matches, pairs, hits).select("a", "fa", "n_matches", "n_inliers", "role", "verdict")
+
+
+@R.add("ransac_homography")
+def _(spark, sf):
+    pairs, _ = fitting.ransac_pairs(points(spark, sf), "homography", TRIALS)
+    return pairs.select("a", "n_matches", "n_inliers", "n_overlap", "verified", rd(F.col("h")[2], 3).alias("h02"))
+
+
+@R.add("verify_pairs", f"""WITH {_POINTS}, g AS (SELECT a, count(*) FILTER (disc < 0.025) AS n_inliers, count(*) FILTER (disc < 0.085) AS n_overlap FROM mp GROUP BY a)
+  SELECT a, n_inliers, n_overlap, n_inliers > 8 + 0.3::DOUBLE * n_overlap AS as_homography, n_inliers >= 8 AS as_similarity FROM g""")
+def _(spark, sf):
+    g = points(spark, sf).groupBy("a").agg(F.count(F.when(F.col("disc") < 0.025, 1)).alias("n_inliers"),
+                                           F.count(F.when(F.col("disc") < 0.085, 1)).alias("n_overlap"))
+    h = fitting.verify_pairs(g.withColumn("model", F.lit("homography"))).withColumnRenamed("verified", "as_homography")
+    return fitting.verify_pairs(h.withColumn("model", F.lit("similarity"))).withColumnRenamed("verified", "as_similarity").drop("model")
+
+
+# --- placement: line items as landmarks seen by four overlapping sources per supplier ----------------
+
+_MARKS = f"""lm AS (SELECT l_suppkey AS set_id, ({_ID} * 37 % 2800 + 50)::DOUBLE AS wx, ({_ID} * 61 % 1500)::DOUBLE AS wy FROM lineitem),
+src AS (SELECT set_id, s AS source_id, 1 + 0.01::DOUBLE * ((set_id + s) % 3 - 1) AS sc, 0.01::DOUBLE * ((set_id * (s + 1)) % 5 - 2) AS rot,
+  700::DOUBLE * s AS tx, 10::DOUBLE * s AS ty FROM (SELECT DISTINCT l_suppkey AS set_id FROM lineitem), range(4) r(s)),
+pr AS (SELECT i, j FROM range(4) a(i), range(4) b(j) WHERE i < j),
+ob AS (SELECT set_id, i, j, wx, wy FROM lm, pr WHERE wx >= 700*i - 100 AND wx < 700*i + 1300 AND wx >= 700*j - 100 AND wx < 700*j + 1300)"""
+
+
+def truth(set_id, s):
+    return sim_from_polar(1 + 0.01 * ((set_id + s) % 3 - 1), 0.01 * ((set_id * (s + 1)) % 5 - 2), 700.0 * s, 10.0 * s)
+
+
+def observations(spark, sf):
+    li = load(spark, sf, "lineitem")
+    ident = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"))
+                                for i in range(4) for j in range(i + 1, 4)]))
+    lm = li.select(F.col("l_suppkey").alias("set_id"), (ident * 37 % 2800 + 50).cast("double").alias("wx"),
+                   (ident * 61 % 1500).cast("double").alias("wy"), pairs.alias("p")).select("set_id", "p.*", "wx", "wy")
+    for s in ("i", "j"):
+        lm = lm.filter((F.col("wx") >= 700 * F.col(s) - 100) & (F.col("wx") < 700 * F.col(s) + 1300))
+    lm = lm.withColumn("ti", sim_inverse(truth(F.col("set_id"), F.col("i")))).withColumn("tj", sim_inverse(truth(F.col("set_id"), F.col("j"))))
+    px, py = sim_apply(F.col("ti"), F.col("wx"), F.col("wy"))
+    qx, qy = sim_apply(F.col("tj"), F.col("wx"), F.col("wy"))
+    return lm.select("set_id", F.lit(0).cast("bigint").alias("component"), "i", "j", px.alias("px"), py.alias("py"), qx.alias("qx"), qy.alias("qy"), "wx")
+
+
+def sources(spark, sf):
+    sets = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("set_id")).distinct()
+    s = sets.withColumn("source_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
+    return s.withColumn("component", F.lit(0).cast("bigint"))
+
+
+@R.add("place_similarity", f"""WITH {_MARKS}, ends AS (SELECT set_id, i AS s FROM ob UNION ALL SELECT set_id, j FROM ob),
+  deg AS (SELECT set_id, s, count(*) AS d FROM ends GROUP BY 1, 2),
+  anchor AS (SELECT set_id, s AS anchor FROM deg QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY d DESC, s) = 1),
+  rel AS (SELECT d.set_id, d.s AS source_id, t.sc / a.sc AS sc, t.rot - a.rot AS rot,
+    ((t.tx - a.tx) * cos(a.rot) + (t.ty - a.ty) * sin(a.rot)) / a.sc AS tx, ((t.ty - a.ty) * cos(a.rot) - (t.tx - a.tx) * sin(a.rot)) / a.sc AS ty
+    FROM deg d JOIN anchor n ON d.set_id = n.set_id JOIN src t ON t.set_id = d.set_id AND t.source_id = d.s JOIN src a ON a.set_id = d.set_id AND a.source_id = n.anchor),
+  g AS (SELECT set_id, exp(-avg(ln(sc))) AS gs, -avg(rot) AS gr FROM rel GROUP BY 1)
+  SELECT set_id, source_id, {sq('sc * gs')} AS scale, {sq('rot + gr')} AS rotation, {sq('gs * (cos(gr)*tx - sin(gr)*ty)', 3)} AS tx,
+  {sq('gs * (sin(gr)*tx + cos(gr)*ty)', 3)} AS ty FROM rel JOIN g USING (set_id)""")
+def _(spark, sf):
+    # the planted frame has no noise, so the robust solve must return it up to the gauge SQL applies
+    placed, _ = placement.place_similarity(observations(spark, sf))
+    t = F.col("t")
+    return placed.select("set_id", "source_id", rd(F.sqrt(t["a"] * t["a"] + t["b"] * t["b"])).alias("scale"),
+                         rd(F.atan2(t["b"], t["a"])).alias("rotation"), rd(t["tx"], 3).alias("tx"), rd(t["ty"], 3).alias("ty"))
+
+
+_IMG = """im AS (SELECT o.set_id, o.i, o.j, o.wx, o.wy, ((o.wx - ti.tx) * cos(ti.rot) + (o.wy - ti.ty) * sin(ti.rot)) / ti.sc AS px,
+  ((o.wy - ti.ty) * cos(ti.rot) - (o.wx - ti.tx) * sin(ti.rot)) / ti.sc AS py, ((o.wx - tj.tx) * cos(tj.rot) + (o.wy - tj.ty) * sin(tj.rot)) / tj.sc AS qx,
+  ((o.wy - tj.ty) * cos(tj.rot) - (o.wx - tj.tx) * sin(tj.rot)) / tj.sc AS qy
+  FROM ob o JOIN src ti ON ti.set_id = o.set_id AND ti.source_id = o.i JOIN src tj ON tj.set_id = o.set_id AND tj.source_id = o.j)"""
+
+
+@R.add("residual_metrics", f"""WITH {_MARKS}, {_IMG}, r AS (SELECT set_id, (wx % 11) <> 0 AS ok, sqrt(pow(px + 700*i - qx - 700*j, 2) + pow(py + 10*i - qy - 10*j, 2)) AS r FROM im)
+  SELECT set_id, count(*) FILTER (ok) AS n, {sq('sqrt(avg(r*r) FILTER (ok))', 4)} AS rms,
+  {sq('sum(CASE WHEN NOT ok THEN 1000000 WHEN r < 10 THEN r*r ELSE 20*r - 100 END)', 2)} AS loss,
+  {sq('avg(CASE WHEN r > 10 THEN 10 / r ELSE 1 END) FILTER (ok)')} AS mean_weight FROM r GROUP BY 1""")
+def _(spark, sf):
+    rough = sources(spark, sf).withColumn("t", sim(F.lit(1.0), F.lit(0.0), F.col("source_id") * 700.0, F.col("source_id") * 10.0))
+    res = placement.placement_residuals(observations(spark, sf), rough).withColumn("ok", F.col("wx") % 11 != 0)
+    m = placement.residual_metrics(res, ["set_id"], 10.0, "ok")
+    return m.select("set_id", "n", rd("rms", 4).alias("rms"), rd("loss", 2).alias("loss"), rd("mean_weight").alias("mean_weight"))
+
+
+_FRAME = """sz AS (SELECT *, (1400 + set_id % 50)::INT AS width, (1500 - set_id % 40)::INT AS height FROM src),
+cr AS (SELECT set_id, sc*cos(rot)*x - sc*sin(rot)*y + tx AS x, sc*sin(rot)*x + sc*cos(rot)*y + ty AS y FROM
+  (SELECT *, unnest([0, width, 0, width])::DOUBLE AS x, unnest([0, 0, height, height])::DOUBLE AS y FROM sz)),
+fr AS (SELECT set_id, min(x) AS ox, min(y) AS oy, max(x) - min(x) AS ex, max(y) - min(y) AS ey FROM cr GROUP BY 1)"""
+
+
+def placed_sources(spark, sf):
+    s = sources(spark, sf)
+    return s.withColumn("t", truth(F.col("set_id"), F.col("source_id"))).withColumns({
+        "width": (1400 + F.col("set_id") % 50).cast("int"), "height": (1500 - F.col("set_id") % 40).cast("int")})
+
+
+@R.add("frame_extent", f"""WITH {_MARKS}, {_FRAME} SELECT set_id, {sq('ox', 3)} AS origin_x, {sq('oy', 3)} AS origin_y, {sq('ex', 3)} AS extent_x,
+  {sq('ey', 3)} AS extent_y, {sq('700 / ex')} AS scale, greatest(1, floor(ey * (700 / ex)))::INT AS out_height FROM fr""")
+def _(spark, sf):
+    f = placement.rescale_frame(placement.frame_extent(placed_sources(spark, sf), 3000, ["set_id"]), 700)
+    return f.select("set_id", *[rd(c, 3).alias(c) for c in ("origin_x", "origin_y", "extent_x", "extent_y")], rd("scale").alias("scale"), "out_height")
+
+
+@R.add("angular_frame", f"""WITH cam AS (SELECT s_nationkey AS set_id, s_suppkey, (s_suppkey % 9 - 4) * 0.1::DOUBLE AS pan, 600 + s_acctbal / 20 AS f FROM supplier),
+  e AS (SELECT *, unnest([k/16*1200, k/16*1200, 0, 1200])::DOUBLE AS x, unnest([0, 900, k/16*900, k/16*900])::DOUBLE AS y FROM cam, range(17) r(k)),
+  q AS (SELECT *, (x - 600) / f AS qx, (y - 450) / f AS qy FROM e),
+  d AS (SELECT set_id, cos(pan)*qx + sin(pan) AS dx, qy AS dy, cos(pan) - sin(pan)*qx AS dz FROM q),
+  n AS (SELECT set_id, atan2(dx, dz) AS th, asin(-dy / sqrt(dx*dx + dy*dy + dz*dz)) AS ph FROM d),
+  b AS (SELECT set_id, max(th) - min(th) AS span, min(th) AS u0, max(th) AS u1, min(tan(ph)) AS v0, max(tan(ph)) AS v1 FROM n GROUP BY 1)
+  SELECT set_id, {sq('span')} AS theta_span, {sq('u1 - u0')} AS extent_x, {sq('v1 - v0')} AS extent_y, {sq('1000 / (u1 - u0)', 4)} AS scale,
+  greatest(1, floor((v1 - v0) * (1000 / (u1 - u0))))::INT AS out_height FROM b""")
+def _(spark, sf):
+    pan = (F.col("s_suppkey") % 9 - 4) * 0.1
+    zero = F.lit(0.0)
+    rot = F.array(F.cos(pan), zero, -F.sin(pan), zero, F.lit(1.0), zero, F.sin(pan), zero, F.cos(pan))
+    cams = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("set_id"), rot.alias("rot"), (600 + F.col("s_acctbal") / 20).alias("focal"),
+                                              F.lit(1200).alias("width"), F.lit(900).alias("height"))
+    f = placement.angular_frame(cams, F.lit("cylindrical"), 1000, ["set_id"])
+    return f.select("set_id", rd(F.col("theta_max") - F.col("theta_min")).alias("theta_span"), rd("extent_x").alias("extent_x"),
+                    rd("extent_y").alias("extent_y"), rd("scale", 4).alias("scale"), "out_height")
+
+
+_MESH = f"""pt AS (SELECT l_suppkey AS set_id, l_orderkey, l_linenumber, l_partkey, ({_ID} % 830 - 10)::DOUBLE AS x, ({_ID} * 7 % 610 - 5)::DOUBLE AS y FROM lineitem),
+g AS (SELECT *, least(greatest(x, 0), 800) / 800 * 8 AS gx, least(greatest(y, 0), 600) / 600 * 6 AS gy FROM pt),
+c AS (SELECT *, least(floor(gx), 7) AS c0, least(floor(gy), 5) AS r0 FROM g),
+f AS (SELECT *, gx - c0 AS fx, gy - r0 AS fy FROM c)"""
+
+
+def _dx(r, c):
+    return f"(({r}) * 3 + ({c}) + set_id % 5)"
+
+
+@R.add("mesh_offset", f"""WITH {_MESH} SELECT l_orderkey, l_linenumber, l_partkey,
+  {sq(f"(1-fx)*(1-fy)*{_dx('r0', 'c0')} + fx*(1-fy)*{_dx('r0', 'c0+1')} + (1-fx)*fy*{_dx('r0+1', 'c0')} + fx*fy*{_dx('r0+1', 'c0+1')}")} AS ox,
+  {sq('(1-fx)*(1-fy)*(r0-c0) + fx*(1-fy)*(r0-c0-1) + (1-fx)*fy*(r0+1-c0) + fx*fy*(r0-c0)')} AS oy FROM f""")
+def _(spark, sf):
+    li = load(spark, sf, "lineitem")
+    ident = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
+    pts = li.select(F.col("l_suppkey").alias("set_id"), F.lit(0).cast("bigint").alias("source_id"), "l_orderkey", "l_linenumber", "l_partkey",
+                    (ident % 830 - 10).cast("double").alias("x"), (ident * 7 % 610 - 5).cast("double").alias("y"),
+                    F.lit(800).alias("width"), F.lit(600).alias("height"))
+    mesh = (pts.select("set_id", "source_id").distinct().withColumn("vr", F.explode(F.sequence(F.lit(0), F.lit(6))))
+            .withColumn("vc", F.explode(F.sequence(F.lit(0), F.lit(8))))
+            .withColumn("dx", (F.col("vr") * 3 + F.col("vc") + F.col("set_id") % 5).cast("double"))
+            .withColumn("dy", (F.col("vr") - F.col("vc")).cast("double")))
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    # line items can repeat within an order line, so the supplier is part of the grouping key
+    got = surface.mesh_offset(pts, mesh, ["set_id", *key], 100)
+    return got.select(*key, rd("ox").alias("ox"), rd("oy").alias("oy"))
+
+
+@R.add("mesh_max_offset", """WITH m AS (SELECT DISTINCT l_suppkey AS set_id FROM lineitem)
+  SELECT set_id, max(sqrt(pow(r*3 + c + set_id % 5, 2) + pow(r - c, 2))) AS max_offset FROM m, range(7) a(r), range(9) b(c) GROUP BY 1""")
+def _(spark, sf):
+    mesh = (load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.lit(0).alias("source_id")).distinct()
+            .withColumn("vr", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("vc", F.explode(F.sequence(F.lit(0), F.lit(8))))
+            .withColumn("dx", (F.col("vr") * 3 + F.col("vc") + F.col("set_id") % 5).cast("double"))
+            .withColumn("dy", (F.col("vr") - F.col("vc")).cast("double")))
+    return surface.mesh_max_offset(mesh).select("set_id", "max_offset")
+
+
+@R.add("fit_offset_surface")
+def _(spark, sf):
+    rough = placed_sources(spark, sf).withColumn("t", F.struct(F.col("t.a"), F.col("t.b"), (F.col("t.tx") + F.col("source_id") % 3).alias("tx"), F.col("t.ty")))
+    obs = observations(spark, sf)
+    mesh, _ = surface.fit_offset_surface(obs, rough, spacing=400, sweeps=4)
+    return mesh.select("set_id", "source_id", "vr", "vc", rd("dx", 4).alias("dx"), rd("dy", 4).alias("dy"))
+
+
+QUERIES, ORACLE = R.queries, R.oracle

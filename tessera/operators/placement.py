@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.projective import cam_centered, cam_ray, proj_forward, ray_angles
 from tessera.functions.similarity import (sim, sim_apply, sim_compose, sim_from_polar, sim_rotation,
                                           sim_scale)
-from tessera.operators.solve import solve_spd
+from tessera.operators.solve import DENSE_LIMIT, solve_spd
 from tessera.session import cut
 
 HUBER_KNEE = 3.0
@@ -90,10 +90,13 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
     obs = cut(pairs_obs.join(anchors, GROUP).withColumn("w", F.lit(1.0)))
     members = (obs.select(*GROUP, "anchor", F.explode(F.array("i", "j")).alias("source_id")).distinct())
     members = cut(members)
+    # four unknowns per source: check once whether every group fits the dense solver
+    widest = members.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 0
+    all_small = 4 * widest <= DENSE_LIMIT
     weighted = obs
     for k in range(passes + 1):
         entries, rhs = _normal_entries(weighted)
-        solved = solve_spd(entries, rhs, ["b"])
+        solved = solve_spd(entries, rhs, ["b"], all_small=all_small)
         rows = (solved.select("g.*", F.floor(F.col("i") / 4).alias("source_id"),
                               F.pmod(F.col("i"), F.lit(4)).alias("k"), "b")
                 .groupBy(*GROUP, "source_id")
@@ -101,9 +104,7 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
                        for n, c in enumerate(("a", "b_", "tx", "ty"))]))
         free = rows.select(*GROUP, "source_id",
                            sim(F.col("a"), F.col("b_"), F.col("tx"), F.col("ty")).alias("t"))
-        solved_groups = free.select(*GROUP).distinct()
-        fixed = (members.filter("source_id = anchor").join(solved_groups, GROUP, "left_semi")
-                 .select(*GROUP, "source_id", sim(1.0, 0.0, 0.0, 0.0).alias("t")))
+        fixed = members.filter("source_id = anchor").select(*GROUP, "source_id", sim(1.0, 0.0, 0.0, 0.0).alias("t"))
         placed = cut(free.unionByName(fixed))
         weighted = _attach(obs.drop("w"), placed).withColumn(
             "w", F.when(F.col("r") <= huber_knee, F.lit(1.0)).otherwise(huber_knee / F.col("r")))
@@ -112,6 +113,9 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
     quality = weighted.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.sum(F.col("w") * F.col("r") ** 2) / F.sum("w")).alias("rms"))
+    # a group whose system was singular has nobody but its anchor and is left out
+    whole = placed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*GROUP)
+    placed = placed.join(whole, GROUP, "left_semi")
     gauge = placed.groupBy(*GROUP).agg(
         F.avg(sim_rotation(F.col("t"))).alias("_rot"),
         F.avg(F.log(F.greatest(sim_scale(F.col("t")), F.lit(1e-9)))).alias("_log"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import sim_apply, sim_compose, sim_inverse
-from tessera.operators.solve import solve_spd
+from tessera.operators.solve import DENSE_LIMIT, solve_spd
 from tessera.session import cut
 
 CUTOFF = 40.0
@@ -50,6 +50,13 @@ def mesh_max_offset(mesh: DataFrame) -> DataFrame:
     return mesh.groupBy(*SOURCE).agg(F.max(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)).alias("max_offset"))
 
 
+def _flat_stencil(x: Column, y: Column, width: Column, height: Column, spacing: int) -> Column:
+    """The same with the vertex number instead of row and column."""
+    cols, _ = mesh_shape(width, height, spacing)
+    return F.transform(mesh_stencil(x, y, width, height, spacing), lambda s: F.struct(
+        (s["vr"] * cols + s["vc"]).cast("bigint").alias("i"), s["weight"].alias("weight")))
+
+
 def _vertices(sources: DataFrame, spacing: int) -> DataFrame:
     cols, rows = mesh_shape(F.col("width"), F.col("height"), spacing)
     return (sources.select(*SOURCE, cols.alias("cols"), rows.alias("rows"))
@@ -89,8 +96,7 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
     ends = [observations.select("set_id", *[F.col(s).alias(d) for s, d in zip(src, dst)])
             for src, dst in ((("i", "px", "py", "j", "qx", "qy"), ("source_id", "x", "y", "other", "ux", "uy")),
                              (("j", "qx", "qy", "i", "px", "py"), ("source_id", "x", "y", "other", "ux", "uy")))]
-    # both ends are numbered by content, so the numbering survives a lost executor
-    both = ends[0].unionByName(ends[1]).withColumn("cid", F.xxhash64("source_id", "x", "y", "other", "ux", "uy", "set_id"))
+    both = ends[0].unionByName(ends[1])
     own = placements.select(*SOURCE, "t", "width", "height")
     other = placements.select("set_id", F.col("source_id").alias("other"), F.col("t").alias("t_other"),
                               F.col("width").alias("w_other"), F.col("height").alias("h_other"))
@@ -98,49 +104,53 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
               .withColumn("rel", sim_compose(sim_inverse(F.col("t")), F.col("t_other"))))
     tx, ty = sim_apply(F.col("rel"), F.col("ux"), F.col("uy"))
     near = F.sqrt((tx - F.col("x")) ** 2 + (ty - F.col("y")) ** 2) < CUTOFF
-    cons = cut(placed.withColumn("_keep", near).filter("_keep")
-               .select("cid", *SOURCE, "x", "y", "width", "height", "other", "ux", "uy", "w_other", "h_other", "rel"))
-    sources = placements.select(*SOURCE, "width", "height").distinct()
-    verts = cut(_vertices(sources, spacing))
-    fixed = _regularity(verts, smoothness, rigidity)
-    own_taps = cut(cons.select("cid", F.struct(*SOURCE).alias("g"),
-                               F.explode(mesh_stencil(F.col("x"), F.col("y"), F.col("width"), F.col("height"), spacing)).alias("s"))
-                   .join(verts.select(F.struct(*SOURCE).alias("g"), "cols").distinct(), "g")
-                   .select("cid", "g", (F.col("s.vr") * F.col("cols") + F.col("s.vc")).cast("bigint").alias("i"),
-                           F.col("s.weight").alias("weight")))
-    twin = own_taps.select("cid", F.col("i").alias("j"), F.col("weight").alias("w2"))
-    data = own_taps.join(twin, "cid").select("g", "i", "j", (F.col("weight") * F.col("w2")).alias("val"))
+    # the vertices around both ends never change, so they are worked out once and ride along
+    cons = cut(placed.filter(near).select(
+        *SOURCE, "x", "y", "other", "ux", "uy", "rel",
+        _flat_stencil(F.col("x"), F.col("y"), F.col("width"), F.col("height"), spacing).alias("here"),
+        _flat_stencil(F.col("ux"), F.col("uy"), F.col("w_other"), F.col("h_other"), spacing).alias("there")))
+    verts = cut(_vertices(placements.select(*SOURCE, "width", "height").distinct(), spacing))
+    most = verts.agg(F.max(F.col("rows") * F.col("cols"))).first()[0] or 0
+    g = F.struct(*SOURCE).alias("g")
+    first, second = cons.select(g, F.col("here"), F.explode("here").alias("s")), F.explode("here").alias("z")
+    data = first.select("g", "s", second).select(
+        "g", F.col("s.i").alias("i"), F.col("z.i").alias("j"), (F.col("s.weight") * F.col("z.weight")).alias("val"))
+    active = cons.select(g).distinct()
+    fixed = _regularity(verts, smoothness, rigidity).join(active, "g", "left_semi")
     matrix = cut(data.unionByName(fixed).groupBy("g", "i", "j").agg(F.sum("val").alias("val")))
-    active = own_taps.select("g").distinct()
+    slot = (F.col("vr") * F.col("cols") + F.col("vc")).cast("bigint")
+    every = cut(verts.select(g, slot.alias("i"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).join(active, "g", "left_semi"))
     mesh = verts.select(*SOURCE, "cols", "vr", "vc", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
 
+    def packed(current: DataFrame) -> DataFrame:
+        """Offsets of a source as two row-major arrays; the vertex grid is coarse, so they are short."""
+        listed = F.sort_array(F.collect_list(F.struct("vr", "vc", "dx", "dy")))
+        return current.groupBy(*SOURCE).agg(listed.alias("_v")).select(
+            *SOURCE, F.transform("_v", lambda v: v["dx"]).alias("ax"), F.transform("_v", lambda v: v["dy"]).alias("ay"))
+
+    def read(stencil: str, offsets: str):
+        return F.aggregate(stencil, F.lit(0.0), lambda acc, v: acc + v["weight"] * F.element_at(offsets, (v["i"] + 1).cast("int")))
+
     def pulls(current: DataFrame) -> DataFrame:
-        far = cons.select("cid", "set_id", F.col("other").alias("source_id"), F.col("ux").alias("x"), F.col("uy").alias("y"),
-                          F.col("w_other").alias("width"), F.col("h_other").alias("height"))
-        shift = mesh_offset(far, current.drop("cols"), ["cid"], spacing)
-        moved = cons.join(shift, "cid")
+        """How far every constraint still wants to move its own point."""
+        moved = (cons.join(packed(current).withColumnRenamed("source_id", "other"), ["set_id", "other"])
+                 .withColumns({"ox": read("there", "ax"), "oy": read("there", "ay")}).drop("ax", "ay"))
         gx, gy = sim_apply(F.col("rel"), F.col("ux") + F.col("ox"), F.col("uy") + F.col("oy"))
-        return moved.select("cid", *SOURCE, "x", "y", "width", "height",
-                            (gx - F.col("x")).alias("bx"), (gy - F.col("y")).alias("by"))
+        return moved.select(*SOURCE, "here", (gx - F.col("x")).alias("bx"), (gy - F.col("y")).alias("by"))
 
     def rms(current: DataFrame) -> DataFrame:
-        p = pulls(current)
-        here = mesh_offset(p, current.drop("cols"), ["cid"], spacing)
-        return p.join(here, "cid").agg(
-            F.coalesce(F.sqrt(F.avg((F.col("bx") - F.col("ox")) ** 2 + (F.col("by") - F.col("oy")) ** 2)),
-                       F.lit(0.0)).alias("rms"))
+        both_ends = pulls(current).join(packed(current), SOURCE)
+        miss = (F.col("bx") - read("here", "ax")) ** 2 + (F.col("by") - read("here", "ay")) ** 2
+        return both_ends.agg(F.coalesce(F.sqrt(F.avg(miss)), F.lit(0.0)).alias("rms"))
 
     before = rms(mesh).withColumn("stage", F.lit("before"))
     for _ in range(sweeps):
-        target = pulls(mesh).select("cid", "bx", "by")
-        taps = own_taps.join(target, "cid").select("g", "i", (F.col("weight") * F.col("bx")).alias("dx"),
-                                                   (F.col("weight") * F.col("by")).alias("dy"))
-        every = verts.select(F.struct(*SOURCE).alias("g"), (F.col("vr") * F.col("cols") + F.col("vc")).cast("bigint").alias("i"),
-                             F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).join(active, "g", "left_semi")
-        solved = solve_spd(matrix.join(active, "g", "left_semi"), taps.unionByName(every), ["dx", "dy"])
+        taps = (pulls(mesh).select(g, "bx", "by", F.explode("here").alias("s"))
+                .select("g", F.col("s.i").alias("i"), (F.col("s.weight") * F.col("bx")).alias("dx"),
+                        (F.col("s.weight") * F.col("by")).alias("dy")))
+        solved = solve_spd(matrix, taps.unionByName(every), ["dx", "dy"], all_small=most <= DENSE_LIMIT)
         fresh = solved.select("g.*", F.col("i").alias("_i"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
-        keyed = mesh.withColumn("_i", (F.col("vr") * F.col("cols") + F.col("vc")).cast("bigint"))
-        mesh = cut(keyed.join(fresh, [*SOURCE, "_i"], "left").select(
+        mesh = cut(mesh.withColumn("_i", slot).join(fresh, [*SOURCE, "_i"], "left").select(
             *SOURCE, "cols", "vr", "vc",
             (F.col("dx") + damping * (F.coalesce("nx", "dx") - F.col("dx"))).alias("dx"),
             (F.col("dy") + damping * (F.coalesce("ny", "dy") - F.col("dy"))).alias("dy")))
