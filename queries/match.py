@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import Registry, load, rd, sq
+from tessera.functions.plane import hash_unit
+from tessera.functions.similarity import sim_apply, sim_from_polar, sim_inverse
 from tessera.operators import graph, matching
-from tessera.plans.recognize import group_edges
+from tessera.plans.recognize import group_edges, recognize
 from tessera.session import cut
 
 R = Registry()
@@ -131,4 +133,48 @@ def _(spark, sf):
     return d.select("pano_best", "strip_best", rd("spread", 4).alias("spread"), "model")
 
 
+# --- whole recognition: every label is a set whose vectors lie in a plane seen by four sources -----------
+
+_SEEN = """lm AS (SELECT label::BIGINT AS set_id, vec_id, ('0x' || substr(md5(concat_ws('-', 'wx', vec_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2800 AS wx FROM embeddings),
+vis AS (SELECT set_id, vec_id, s FROM lm, range(4) r(s) WHERE wx >= 700*s - 100 AND wx < 700*s + 1300),
+c AS (SELECT a.set_id, a.s AS a, b.s AS b, count(*) AS n FROM vis a JOIN vis b ON a.set_id = b.set_id AND a.vec_id = b.vec_id AND a.s < b.s GROUP BY 1, 2, 3 HAVING count(*) >= 8)"""
+
+
+def plane_features(spark, sf):
+    e = load(spark, sf, "embeddings")
+    s = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")))
+    d = e.select(F.col("label").cast("bigint").alias("set_id"), F.col("vec_id").alias("feature_id"), F.col("embedding").alias("descriptor"),
+                 (hash_unit(F.lit("wx"), F.col("vec_id")) * 2800).alias("wx"), (hash_unit(F.lit("wy"), F.col("vec_id")) * 1500).alias("wy"), s.alias("source_id"))
+    k = F.col("source_id")
+    d = d.filter((F.col("wx") >= 700 * k - 100) & (F.col("wx") < 700 * k + 1300))
+    d = d.withColumn("t", sim_inverse(sim_from_polar(1 + 0.01 * (k % 3 - 1), 0.01 * (k - 2), 700.0 * k, 10.0 * k)))
+    x, y = sim_apply(F.col("t"), F.col("wx"), F.col("wy"))
+    return d.select("set_id", "source_id", "feature_id", "descriptor", x.alias("x"), y.alias("y"))
+
+
+def plane_sizes(features_df):
+    return features_df.select("set_id", "source_id").distinct().select("*", F.lit(1400).alias("width"), F.lit(1500).alias("height"))
+
+
+@R.add("recognize_similarity", f"""WITH RECURSIVE {_SEEN}, e AS (SELECT set_id, a AS u, b AS v FROM c UNION SELECT set_id, b, a FROM c),
+  rc AS (SELECT set_id, u AS node, u AS seen FROM e UNION SELECT e.set_id, e.v, rc.seen FROM rc JOIN e ON e.set_id = rc.set_id AND e.u = rc.node),
+  cc AS (SELECT set_id, node, min(seen) AS component FROM rc GROUP BY 1, 2), sz AS (SELECT set_id, component, count(*) AS size FROM cc GROUP BY 1, 2),
+  np AS (SELECT c.set_id, component, count(*) AS n_pairs, sum(n)::BIGINT AS n_inliers FROM c JOIN cc ON cc.set_id = c.set_id AND cc.node = c.a GROUP BY 1, 2)
+  SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY size DESC, component) AS group_id, component, size, n_pairs, n_inliers FROM sz JOIN np USING (set_id, component)""")
+def _(spark, sf):
+    # every shared vector is an exact match under the planted transforms, so SQL only counts shared vectors
+    f = cut(plane_features(spark, sf))
+    r = recognize(f, plane_sizes(f), "similarity", trials=100)
+    groups = cut(r.groups)
+    ends = r.pairs.filter("verified").select("set_id", F.col("a").alias("source_id"), "n_inliers")
+    total = groups.join(ends, ["set_id", "source_id"]).groupBy("set_id", "group_id").agg(F.sum("n_inliers").alias("n_inliers"))
+    return groups.select("set_id", "group_id", "component", "size", "n_pairs").distinct().join(total, ["set_id", "group_id"])
+
+
+@R.add("recognize_homography")
+def _(spark, sf):
+    f = cut(plane_features(spark, sf))
+    return recognize(f, plane_sizes(f), "homography", trials=100).groups
+
+
 QUERIES, ORACLE = R.queries, R.oracle
