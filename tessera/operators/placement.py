@@ -69,10 +69,10 @@ def _normal_entries(weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
                       for (r, c), block in blocks.items() for u in range(4) for v in range(4))
     flat = pair.selectExpr(*GROUP, "anchor", f"inline(array({cells}))")
     free = flat.filter("row <> anchor")
-    g, row = "struct(set_id, component) as g", "row * 4 + u as i"
-    entries = free.filter("col <> anchor").selectExpr(g, row, "col * 4 + v as j", "val")
+    row = "row * 4 + u as i"
+    entries = free.filter("col <> anchor").selectExpr(*GROUP, row, "col * 4 + v as j", "val")
     # the anchor is the identity (a = 1, others 0): its a-column moves to the right-hand side
-    return entries, free.selectExpr(g, row, "if(col = anchor and v = 0, -val, 0D) as b")
+    return entries, free.selectExpr(*GROUP, row, "if(col = anchor and v = 0, -val, 0D) as b")
 
 
 def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
@@ -96,8 +96,8 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
     weighted = obs
     for k in range(passes + 1):
         entries, rhs = _normal_entries(weighted)
-        solved = solve_spd(entries, rhs, ["b"], all_small=all_small)
-        rows = (solved.select("g.*", F.floor(F.col("i") / 4).alias("source_id"),
+        solved = solve_spd(entries, rhs, GROUP, ["b"], all_small=all_small)
+        rows = (solved.select(*GROUP, F.floor(F.col("i") / 4).alias("source_id"),
                               F.pmod(F.col("i"), F.lit(4)).alias("k"), "b")
                 .groupBy(*GROUP, "source_id")
                 .agg(*[F.max(F.when(F.col("k") == n, F.col("b"))).alias(c)

@@ -77,8 +77,8 @@ def _regularity(vertices: DataFrame, smoothness: float, rigidity: float) -> Data
     for n in (right, below):
         terms += [cell(F.when(n.isNotNull(), own), own, smoothness), cell(n, n, smoothness),
                   cell(F.when(n.isNotNull(), own), n, -smoothness), cell(n, own, -smoothness)]
-    return (vertices.select(F.struct(*SOURCE).alias("g"), F.explode(F.array(*terms)).alias("c"))
-            .select("g", "c.*").filter("i is not null and j is not null"))
+    return (vertices.select(*SOURCE, F.explode(F.array(*terms)).alias("c"))
+            .select(*SOURCE, "c.*").filter("i is not null and j is not null"))
 
 
 def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing: int = 100,
@@ -111,15 +111,14 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
         _flat_stencil(F.col("ux"), F.col("uy"), F.col("w_other"), F.col("h_other"), spacing).alias("there")))
     verts = cut(_vertices(placements.select(*SOURCE, "width", "height").distinct(), spacing))
     most = verts.agg(F.max(F.col("rows") * F.col("cols"))).first()[0] or 0
-    g = F.struct(*SOURCE).alias("g")
-    first, second = cons.select(g, F.col("here"), F.explode("here").alias("s")), F.explode("here").alias("z")
-    data = first.select("g", "s", second).select(
-        "g", F.col("s.i").alias("i"), F.col("z.i").alias("j"), (F.col("s.weight") * F.col("z.weight")).alias("val"))
-    active = cons.select(g).distinct()
-    fixed = _regularity(verts, smoothness, rigidity).join(active, "g", "left_semi")
-    matrix = cut(data.unionByName(fixed).groupBy("g", "i", "j").agg(F.sum("val").alias("val")))
+    first, second = cons.select(*SOURCE, "here", F.explode("here").alias("s")), F.explode("here").alias("z")
+    data = first.select(*SOURCE, "s", second).select(
+        *SOURCE, F.col("s.i").alias("i"), F.col("z.i").alias("j"), (F.col("s.weight") * F.col("z.weight")).alias("val"))
+    active = cons.select(*SOURCE).distinct()
+    fixed = _regularity(verts, smoothness, rigidity).join(active, SOURCE, "left_semi")
+    matrix = cut(data.unionByName(fixed).groupBy(*SOURCE, "i", "j").agg(F.sum("val").alias("val")))
     slot = (F.col("vr") * F.col("cols") + F.col("vc")).cast("bigint")
-    every = cut(verts.select(g, slot.alias("i"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).join(active, "g", "left_semi"))
+    every = cut(verts.select(*SOURCE, slot.alias("i"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).join(active, SOURCE, "left_semi"))
     mesh = verts.select(*SOURCE, "cols", "vr", "vc", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
 
     def packed(current: DataFrame) -> DataFrame:
@@ -145,11 +144,11 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
 
     before = rms(mesh).withColumn("stage", F.lit("before"))
     for _ in range(sweeps):
-        taps = (pulls(mesh).select(g, "bx", "by", F.explode("here").alias("s"))
-                .select("g", F.col("s.i").alias("i"), (F.col("s.weight") * F.col("bx")).alias("dx"),
+        taps = (pulls(mesh).select(*SOURCE, "bx", "by", F.explode("here").alias("s"))
+                .select(*SOURCE, F.col("s.i").alias("i"), (F.col("s.weight") * F.col("bx")).alias("dx"),
                         (F.col("s.weight") * F.col("by")).alias("dy")))
-        solved = solve_spd(matrix, taps.unionByName(every), ["dx", "dy"], all_small=most <= DENSE_LIMIT)
-        fresh = solved.select("g.*", F.col("i").alias("_i"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
+        solved = solve_spd(matrix, taps.unionByName(every), SOURCE, ["dx", "dy"], all_small=most <= DENSE_LIMIT)
+        fresh = solved.select(*SOURCE, F.col("i").alias("_i"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
         mesh = cut(mesh.withColumn("_i", slot).join(fresh, [*SOURCE, "_i"], "left").select(
             *SOURCE, "cols", "vr", "vc",
             (F.col("dx") + damping * (F.coalesce("nx", "dx") - F.col("dx"))).alias("dx"),

@@ -120,10 +120,10 @@ def test_conjugate_gradients_agree_with_dense(spark):
             e2, r2 = e.filter("g = 1 and i < 6 and j < 6"), r.filter("g = 1 and i < 6")
             m = np.array([[x.val for x in sorted(e2.filter(f"i={i}").collect(), key=lambda x: x.j)] for i in range(6)])
             ref = np.linalg.solve(m, [x.b for x in sorted(r2.collect(), key=lambda x: x.i)])
-            got = {x.i: x.b for x in solve_spd(e2, r2, ["b"], dense_limit=0).collect()}
+            got = {x.i: x.b for x in solve_spd(e2, r2, ["g"], ["b"], dense_limit=0).collect()}
             assert [got[i] for i in range(6)] == pytest.approx(list(ref), rel=1e-6)
         else:
-            got = {(x.g, x.i): x.b for x in solve_spd(e, r, ["b"]).collect()}
+            got = {(x.g, x.i): x.b for x in solve_spd(e, r, ["g"], ["b"]).collect()}
             assert all(got[g, i] == pytest.approx(want[g][i], rel=1e-8) for g in want for i in range(30))
 
 
