@@ -192,7 +192,7 @@ def user_count(spark, sf):
     return int(load(spark, sf, "events").agg(F.max("user_id")).first()[0]) + 1
 
 
-@R.add("largest_full_rect", f"WITH {_RECT} SELECT k AS event_type, x, y, w, h::INT AS h, area::BIGINT AS area FROM rc")
+@R.add("largest_full_rect", f"WITH {_RECT} SELECT k AS event_type, x, y::INT AS y, w, h::INT AS h, area::BIGINT AS area FROM rc")
 def _(spark, sf):
     r = coverage.largest_full_rect(user_days(spark, sf), user_count(spark, sf), 30, "k", step=1)
     return r.withColumnRenamed("k", "event_type")
@@ -200,7 +200,7 @@ def _(spark, sf):
 
 @R.add("auto_crop", f"""WITH {_RECT.replace('event_type AS k, user_id::INT AS x, (day(ts) - 1)::INT AS y', "1 AS k, (user_id % 6)::INT AS x, (day(ts) - 1)::INT AS y")},
   ev AS (SELECT (user_id % 6)::INT AS x, (day(ts) - 1)::INT AS y, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT *, w > 6 // 4 AND h > 30 // 4 AS big FROM rc)
-  SELECT ev.x - CASE WHEN big THEN b.x ELSE 0 END AS x, ev.y - CASE WHEN big THEN b.y ELSE 0 END AS y, n FROM ev, b
+  SELECT ev.x - CASE WHEN big THEN b.x ELSE 0 END AS x, (ev.y - CASE WHEN big THEN b.y ELSE 0 END)::INT AS y, n FROM ev, b
   WHERE NOT big OR (ev.x >= b.x AND ev.x < b.x + w AND ev.y >= b.y AND ev.y < b.y + h)""")
 def _(spark, sf):
     c = load(spark, sf, "events").groupBy(F.lit(1).alias("k"), (F.col("user_id") % 6).cast("int").alias("x"),
