@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import Registry, load, rd, sq
+from tessera.functions.projective import angles_ray, cam_project
 from tessera.functions.similarity import sim, sim_apply, sim_from_polar, sim_inverse
 from tessera.operators import fitting, matching, placement, surface
 from tessera.session import cut
@@ -230,6 +231,31 @@ def _(spark, sf):
     return m.select("set_id", "n", rd("rms", 4).alias("rms"), rd("loss", 2).alias("loss"), rd("mean_weight").alias("mean_weight"))
 
 
+@R.add("camera_residuals", f"""SELECT s_nationkey::BIGINT AS set_id, count(*) AS n, {sq('sqrt(avg(l_tax*l_tax + l_discount*l_discount))')} AS rms FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
+def _(spark, sf):
+    # two cameras per nation see the same directions; what is added to one side must come back as the residual
+    zero = F.lit(0.0)
+
+    def rot(pan):
+        return F.array(F.cos(pan), zero, -F.sin(pan), zero, F.lit(1.0), zero, F.sin(pan), zero, F.cos(pan))
+
+    nations = load(spark, sf, "supplier").select(F.col("s_nationkey").cast("bigint").alias("set_id")).distinct()
+    cams = nations.withColumn("source_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))).select(
+        "set_id", "source_id", rot((F.col("source_id") * 0.4 - 0.2) + F.col("set_id") * 0.01).alias("rot"), (700 + 50.0 * F.col("source_id")).alias("focal"))
+    li, su = load(spark, sf, "lineitem"), load(spark, sf, "supplier")
+    d = li.join(su, li.l_suppkey == su.s_suppkey).select(
+        F.col("s_nationkey").cast("bigint").alias("set_id"), "l_tax", "l_discount", F.lit(0).cast("bigint").alias("a"), F.lit(1).cast("bigint").alias("b"),
+        angles_ray((F.col("l_partkey") % 50) * 0.01 - 0.25 + F.col("s_nationkey") * 0.01, (F.col("l_linenumber") - 4) * 0.1)[0].alias("dx"),
+        (-F.sin((F.col("l_linenumber") - 4) * 0.1)).alias("dy"),
+        angles_ray((F.col("l_partkey") % 50) * 0.01 - 0.25 + F.col("s_nationkey") * 0.01, (F.col("l_linenumber") - 4) * 0.1)[2].alias("dz"))
+    ray = (F.col("dx"), F.col("dy"), F.col("dz"))
+    ax, ay = cam_project(rot(-0.2 + F.col("set_id") * 0.01), F.lit(700.0), ray)
+    bx, by = cam_project(rot(0.2 + F.col("set_id") * 0.01), F.lit(750.0), ray)
+    obs = d.select("set_id", "a", "b", (ax + F.col("l_tax")).alias("ax"), (ay - F.col("l_discount")).alias("ay"), bx.alias("bx"), by.alias("by"))
+    m = placement.residual_metrics(placement.camera_residuals(obs, cams), ["set_id"], 2.0, "usable")
+    return m.select("set_id", "n", rd("rms").alias("rms"))
+
+
 _FRAME = """sz AS (SELECT *, (1400 + set_id % 50)::INT AS width, (1500 - set_id % 40)::INT AS height FROM src),
 cr AS (SELECT set_id, sc*cos(rot)*x - sc*sin(rot)*y + tx AS x, sc*sin(rot)*x + sc*cos(rot)*y + ty AS y FROM
   (SELECT *, unnest([0, width, 0, width])::DOUBLE AS x, unnest([0, 0, height, height])::DOUBLE AS y FROM sz)),

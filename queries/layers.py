@@ -42,22 +42,25 @@ def _(spark, sf):
     return overlap.shared_cells(c, pairs, ["cell"]).select("a", "b", "cell", rd("va").alias("va"), rd("vb").alias("vb"))
 
 
-_SN, _SG = "(255.0::DOUBLE / 10) * (255.0::DOUBLE / 10)", "100.0::DOUBLE"
-_GAINS = f"""{_SHIP},
-one AS (SELECT a AS i, b AS j, n, ia, ib FROM ov UNION ALL SELECT b, a, n, ib, ia FROM ov),
-ids AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM (SELECT DISTINCT i FROM one)),
-dg AS (SELECT i, i AS j, sum(n * (ia*ia*{_SN} + {_SG})) AS val, sum(n * {_SG}) AS rhs FROM one GROUP BY 1),
-cells AS (SELECT i, j, val FROM dg UNION ALL SELECT i, j, -n*ia*ib*{_SN} FROM one),
-full_m AS (SELECT x.k AS r, y.k AS c, coalesce(val, 0) AS val FROM ids x JOIN ids y ON true LEFT JOIN cells ON cells.i = x.i AND cells.j = y.i),
+# solves cells (i, j, val) x = rh (i, rhs) over the unknowns ids (i, k)
+_CG = """full_m AS (SELECT x.k AS r, y.k AS c, coalesce(val, 0) AS val FROM ids x JOIN ids y ON true LEFT JOIN cells ON cells.i = x.i AND cells.j = y.i),
 mat AS (SELECT list(line ORDER BY r) AS m FROM (SELECT r, list(val ORDER BY c) AS line FROM full_m GROUP BY r)),
-vec AS (SELECT list(rhs ORDER BY k) AS b, list(1.0::DOUBLE ORDER BY k) AS one, count(*) AS n FROM dg JOIN ids USING (i)),
+vec AS (SELECT list(rhs ORDER BY k) AS b, list(1.0::DOUBLE ORDER BY k) AS one, count(*) AS n FROM rh JOIN ids USING (i)),
 cg AS (
   SELECT 0 AS it, one AS x, [b[i] - list_dot_product(m[i], one) FOR i IN range(1, n + 1)] AS r, [b[i] - list_dot_product(m[i], one) FOR i IN range(1, n + 1)] AS p, n FROM vec, mat
   UNION ALL
   SELECT it + 1, [x[i] + al*p[i] FOR i IN range(1, n + 1)], r2, [r2[i] + list_dot_product(r2, r2) / rr * p[i] FOR i IN range(1, n + 1)], n FROM (
     SELECT *, [r[i] - al*q[i] FOR i IN range(1, n + 1)] AS r2 FROM (
       SELECT *, rr / list_dot_product(p, q) AS al FROM (
-        SELECT it, x, r, p, n, list_dot_product(r, r) AS rr, [list_dot_product(line, p) FOR line IN m] AS q FROM cg, mat WHERE it < 400) WHERE rr > 1e-12))),
+        SELECT it, x, r, p, n, list_dot_product(r, r) AS rr, [list_dot_product(line, p) FOR line IN m] AS q FROM cg, mat WHERE it < 400) WHERE rr > 1e-12)))"""
+_SN, _SG = "(255.0::DOUBLE / 10) * (255.0::DOUBLE / 10)", "100.0::DOUBLE"
+_GAINS = f"""{_SHIP},
+one AS (SELECT a AS i, b AS j, n, ia, ib FROM ov UNION ALL SELECT b, a, n, ib, ia FROM ov),
+ids AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM (SELECT DISTINCT i FROM one)),
+dg AS (SELECT i, i AS j, sum(n * (ia*ia*{_SN} + {_SG})) AS val, sum(n * {_SG}) AS rhs FROM one GROUP BY 1),
+rh AS (SELECT i, rhs FROM dg),
+cells AS (SELECT i, j, val FROM dg UNION ALL SELECT i, j, -n*ia*ib*{_SN} FROM one),
+{_CG},
 sol AS (SELECT x FROM cg ORDER BY it DESC LIMIT 1),
 gains AS (SELECT i AS source_id, least(greatest(x[k], 0.5), 2) AS gain FROM ids, sol),
 allg AS (SELECT s AS source_id, coalesce(gain, 1) AS gain FROM (SELECT DISTINCT s FROM sh) LEFT JOIN gains ON s = source_id)"""
@@ -157,10 +160,26 @@ def _(spark, sf):
     return overlap.apply_gain(d, gains, ["v"], overlap.layer_boxes(d)).select("source_id", "x", "y", rd("v").alias("v"))
 
 
-@R.add("calibrate_blocks")
+_BLOCKS = f"""{_LAY}, bx AS (SELECT s, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM ly GROUP BY 1),
+bg AS (SELECT *, ceil(w / greatest(4, ceil(greatest(w, h) / 4)))::INT AS nc, ceil(h / greatest(4, ceil(greatest(w, h) / 4)))::INT AS nr FROM bx),
+tg AS (SELECT s, x, y, v, s * 1000 + least(nr - 1, floor((y - y0) / (h / nr))) * nc + least(nc - 1, floor((x - x0) / (w / nc))) AS e FROM ly JOIN bg USING (s)),
+ov AS (SELECT p.e AS a, q.e AS b, count(*) AS n, avg(p.v) AS ia, avg(q.v) AS ib FROM tg p JOIN tg q ON p.x = q.x AND p.y = q.y AND p.s < q.s GROUP BY 1, 2 HAVING count(*) > 25),
+one AS (SELECT a AS i, b AS j, n, ia, ib FROM ov UNION ALL SELECT b, a, n, ib, ia FROM ov),
+sl AS (SELECT s, r.r, c.c, nr, nc, s * 1000 + r.r * nc + c.c AS i, (w / nc) * (h / nr) * {_SG} AS lam FROM bg, range(50) r(r), range(50) c(c) WHERE r.r < nr AND c.c < nc),
+nb AS (SELECT i, i + 1 AS j, lam FROM sl WHERE c + 1 < nc UNION ALL SELECT i, i + nc, lam FROM sl WHERE r + 1 < nr),
+parts AS (SELECT i, i AS j, n * (ia*ia*{_SN} + {_SG}) AS val FROM one UNION ALL SELECT i, j, -n*ia*ib*{_SN} FROM one UNION ALL SELECT i, i, 1 FROM sl
+  UNION ALL SELECT i, i, lam FROM nb UNION ALL SELECT j, j, lam FROM nb UNION ALL SELECT i, j, -lam FROM nb UNION ALL SELECT j, i, -lam FROM nb),
+cells AS (SELECT i, j, sum(val) AS val FROM parts GROUP BY 1, 2),
+rh AS (SELECT i, sum(rhs) AS rhs FROM (SELECT i, n * {_SG} AS rhs FROM one UNION ALL SELECT i, 1 FROM sl) GROUP BY 1),
+ids AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM sl),
+{_CG}, sol AS (SELECT x FROM cg ORDER BY it DESC LIMIT 1)"""
+
+
+@R.add("calibrate_blocks", f"""WITH RECURSIVE {_BLOCKS} SELECT s AS source_id, r::INT AS br, c::INT AS bc, nr AS n_rows, nc AS n_cols,
+  {sq('least(greatest(x[k], 0.5), 2)', 4)} AS gain FROM sl JOIN ids USING (i), sol""")
 def _(spark, sf):
     g = overlap.calibrate_blocks(layers(spark, sf), "v", blocks_across=4, min_block=4)
-    return g.select("source_id", "br", "bc", "n_rows", "n_cols", rd("gain").alias("gain"))
+    return g.select("source_id", "br", "bc", "n_rows", "n_cols", rd("gain", 4).alias("gain"))
 
 
 @R.add("coverage", f"WITH {_LAY} SELECT DISTINCT x, y FROM ly WHERE tent > 0.5")
@@ -173,7 +192,8 @@ def _(spark, sf):
     return crop_cells(layers(spark, sf), 2, 1, 20, 10).select("source_id", "x", "y", rd("v").alias("v"))
 
 
-_DAYS = "cv AS (SELECT DISTINCT event_type AS k, user_id::INT AS x, (day(ts) - 1)::INT AS y FROM events)"
+# users run down and days across, so a row stays short however many users there are
+_DAYS = "cv AS (SELECT DISTINCT event_type AS k, (day(ts) - 1)::INT AS x, user_id::INT AS y FROM events)"
 _RECT = f"""{_DAYS}, rn AS (SELECT *, y - row_number() OVER (PARTITION BY k, x ORDER BY y) AS run FROM cv),
   ht AS (SELECT *, row_number() OVER (PARTITION BY k, x, run ORDER BY y) AS h FROM rn),
   isl AS (SELECT *, x - row_number() OVER (PARTITION BY k, y ORDER BY x) AS isle FROM ht),
@@ -185,7 +205,7 @@ _RECT = f"""{_DAYS}, rn AS (SELECT *, y - row_number() OVER (PARTITION BY k, x O
 
 def user_days(spark, sf):
     e = load(spark, sf, "events")
-    return e.select(F.col("event_type").alias("k"), F.col("user_id").cast("int").alias("x"), (F.dayofmonth("ts") - 1).cast("int").alias("y")).distinct()
+    return e.select(F.col("event_type").alias("k"), (F.dayofmonth("ts") - 1).cast("int").alias("x"), F.col("user_id").cast("int").alias("y")).distinct()
 
 
 def user_count(spark, sf):
@@ -194,11 +214,11 @@ def user_count(spark, sf):
 
 @R.add("largest_full_rect", f"WITH {_RECT} SELECT k AS event_type, x, y::INT AS y, w, h::INT AS h, area::BIGINT AS area FROM rc")
 def _(spark, sf):
-    r = coverage.largest_full_rect(user_days(spark, sf), user_count(spark, sf), 30, "k", step=1)
+    r = coverage.largest_full_rect(user_days(spark, sf), 30, user_count(spark, sf), "k")
     return r.withColumnRenamed("k", "event_type")
 
 
-@R.add("auto_crop", f"""WITH {_RECT.replace('event_type AS k, user_id::INT AS x, (day(ts) - 1)::INT AS y', "1 AS k, (user_id % 6)::INT AS x, (day(ts) - 1)::INT AS y")},
+@R.add("auto_crop", f"""WITH {_RECT.replace('event_type AS k, (day(ts) - 1)::INT AS x, user_id::INT AS y', "1 AS k, (user_id % 6)::INT AS x, (day(ts) - 1)::INT AS y")},
   ev AS (SELECT (user_id % 6)::INT AS x, (day(ts) - 1)::INT AS y, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT *, w > 6 // 4 AND h > 30 // 4 AS big FROM rc)
   SELECT ev.x - CASE WHEN big THEN b.x ELSE 0 END AS x, (ev.y - CASE WHEN big THEN b.y ELSE 0 END)::INT AS y, n FROM ev, b
   WHERE NOT big OR (ev.x >= b.x AND ev.x < b.x + w AND ev.y >= b.y AND ev.y < b.y + h)""")
@@ -261,7 +281,26 @@ def _(spark, sf):
     return G.regrid(cells, placed, frame).select("source_id", "x", "y", rd("v", 4).alias("v"), rd("tent").alias("tent"))
 
 
-@R.add("regrid_cameras")
+def _ring(steps: int) -> str:
+    """Azimuth and elevation of the border samples of every camera."""
+    return f"""SELECT s, atan2(dx, dz) AS th, asin(-dy / sqrt(dx*dx + dy*dy + dz*dz)) AS ph FROM (SELECT s, cos(pan)*qx + sin(pan) AS dx, qy AS dy, cos(pan) - sin(pan)*qx AS dz
+  FROM (SELECT s, pan, (ex - 12) / 30 AS qx, (ey - 15) / 30 AS qy FROM (SELECT s, pan, unnest([k/{steps}*24, k/{steps}*24, 0, 24]) AS ex, unnest([0, 30, k/{steps}*30, k/{steps}*30]) AS ey FROM cam, range({steps + 1}) r(k))))"""
+
+
+_TURN = f"""{_PLACE[:_PLACE.index('pl AS')]}cam AS (SELECT s, (s - 2) * 0.3::DOUBLE AS pan FROM ty),
+fr AS (SELECT min(th) AS u0, max(th) AS u1, min(ph) AS v0, max(ph) AS v1 FROM ({_ring(16)})),
+fs AS (SELECT *, 120 / (u1 - u0) AS sc, greatest(1, floor((v1 - v0) * (120 / (u1 - u0)))) AS oh FROM fr),
+bb AS (SELECT s, min((th - u0)*sc - 0.5) AS xl, max((th - u0)*sc - 0.5) AS xh, min((v1 - ph)*sc - 0.5) AS yl, max((v1 - ph)*sc - 0.5) AS yh, any_value(sqrt(0.18::DOUBLE) * sc / 30 + 2) AS pad FROM ({_ring(24)}), fs GROUP BY s),
+oc AS (SELECT cam.s, pan, px.x, py.y, u0 + (px.x + 0.5)/sc AS th, v1 - (py.y + 0.5)/sc AS ph FROM cam JOIN bb USING (s), fs, range(120) px(x), range(600) py(y)
+  WHERE px.x BETWEEN greatest(0, trunc(xl - pad)) AND least(119, trunc(xh + pad)) AND py.y BETWEEN greatest(0, trunc(yl - pad)) AND least(oh - 1, trunc(yh + pad))),
+cd AS (SELECT *, cos(pan)*sin(th)*cos(ph) - sin(pan)*cos(th)*cos(ph) AS cx, -sin(ph) AS cy, sin(pan)*sin(th)*cos(ph) + cos(pan)*cos(th)*cos(ph) AS cz FROM oc),
+im AS (SELECT s, x, y, 30*cx/cz + 12 AS ix, 30*cy/cz + 15 AS iy FROM cd WHERE cz > 1e-9),
+iv AS (SELECT s, x, y, ix - 0.1::DOUBLE * least(greatest(iy, 0), 30) / 30 * 3 AS sx, iy + 0.1::DOUBLE * least(greatest(ix, 0), 24) / 24 * 3 AS sy FROM im),
+{_PLACE[_PLACE.index('ins AS'):]}"""
+
+
+@R.add("regrid_cameras", f"""WITH {_TURN} SELECT s AS source_id, x::INT AS x, y::INT AS y, {sq('v', 4)} AS v,
+  {sq('greatest((1 - abs(2*sx/24 - 1)) * (1 - abs(2*sy/30 - 1)), 1e-5::DOUBLE)')} AS tent FROM smp""")
 def _(spark, sf):
     cells, placed = event_sources(spark, sf)
     pan = (F.col("source_id") - 2) * 0.3

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.plane import vec_unit_clip
+from tessera.functions.plane import let, vec_unit_clip
 
 SMOOTHING = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
 
@@ -42,7 +42,7 @@ def circular_peaks(samples: DataFrame, keys: list[str], angle: Column, weight: C
     reaches ``ratio`` of the highest, and a parabola through the three gives its position.
     """
     hist = ring_histogram(samples, keys, angle, weight, bins)
-    smooth = hist.withColumn("s1", _smooth_ring(F.col("hist"), bins)).withColumn("s", _smooth_ring(F.col("s1"), bins))
+    smooth = hist.withColumn("s", let(let(F.col("hist"), lambda h: _smooth_ring(h, bins)), lambda s: _smooth_ring(s, bins)))
     top = F.array_max("s")
     rows = smooth.filter(top > 0).select(*keys, F.col("s"), top.alias("_top"), F.posexplode("s").alias("bin", "height"))
     left, right = _ring(F.col("s"), F.col("bin"), -1, bins), _ring(F.col("s"), F.col("bin"), 1, bins)

@@ -73,7 +73,7 @@ def _block_matcher(ratio: float):
     return match
 
 
-def match_2nn(features: DataFrame, ratio: float = 0.8, chunk: int = 2048, block: int = 4096) -> DataFrame:
+def match_2nn(features: DataFrame, ratio: float = 0.8, chunk: int = 4096, block: int = 16384) -> DataFrame:
     """Ratio-tested best match of every feature in every later source of its set.
 
     ``features``: set_id, source_id, feature_id, descriptor (unit length).  Result: set_id, a, b,
