@@ -53,8 +53,9 @@ def _normal_entries(weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
     moments = {
         "w": "1", "px": "px", "py": "py", "qx": "qx", "qy": "qy", "pp": "px*px + py*py", "qq": "qx*qx + qy*qy",
         "pq": "px*qx + py*qy", "pxq": "px*qy - py*qx"}
-    pair = weighted.groupBy(*GROUP, "anchor", "i", "j").agg(
-        *[F.expr(f"sum(w * ({v}))").alias("s_" + k) for k, v in moments.items()])
+    # one row per pair of sources: written once, so the observations are read once per pass
+    pair = cut(weighted.groupBy(*GROUP, "anchor", "i", "j").agg(
+        *[F.expr(f"sum(w * ({v}))").alias("s_" + k) for k, v in moments.items()]))
 
     def own(x, y, sq):
         return [[sq, "0D", x, y], ["0D", sq, "-" + y, x], [x, "-" + y, "s_w", "0D"], [y, x, "0D", "s_w"]]
