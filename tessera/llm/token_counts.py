@@ -59,7 +59,7 @@ def grown(counts: list[int]) -> list[int]:
 
 def edited(text: str, sizes: list[int], tree: list[int], edits: list[tuple[int, int, str]], count) -> tuple[str, list[int], list[int], int]:
     """Apply edits (start, end, replacement; code points of the old text, not overlapping) and return the new state and the characters encoded."""
-    edits = sorted((max(0, s), min(len(text), max(s, e)), r or "") for s, e, r in edits if s <= len(text))
+    edits = sorted(((max(0, s), min(len(text), max(s, e)), r or "") for s, e, r in edits if s <= len(text)), key=lambda x: x[:2])
     ends, at = [], 0
     for s in sizes:
         at += s
@@ -88,31 +88,35 @@ def edited(text: str, sizes: list[int], tree: list[int], edits: list[tuple[int,
             runs[-1][2].append((s, e, r))
         else:
             runs.append([leaf, hi, [(s, e, r)]])
-    out, done, worked = [], 0, 0
-    k = 0
-    while k < len(runs):
-        lo, hi, own = runs[k]
+    done: list[tuple[int, int, list, str]] = []  # runs with safe rims: first and last leaf, edits, new text
+    todo = runs[::-1]
+    while todo:
+        lo, hi, own = todo.pop()
         while True:
-            begin, end = (ends[lo - 1] if lo else 0), ends[hi]
-            if k + 1 < len(runs) and runs[k + 1][0] <= hi + 1:
-                hi = max(hi, runs[k + 1][1])
-                own += runs.pop(k + 1)[2]
+            if todo and todo[-1][0] <= hi + 1:
+                hi = max(hi, todo[-1][1])
+                own = own + todo.pop()[2]
+                continue
+            if done and done[-1][1] >= lo:
+                lo, _, before, _ = done.pop()
+                own = before + own
                 continue
+            begin, end = (ends[lo - 1] if lo else 0), ends[hi]
             new, p = [], begin
             for s, e, r in own:
                 new += [text[p:s], r]
                 p = e
             new = "".join([*new, text[p:end]])
             # boundary context: the rims must still be safe cuts in the new text
-            if hi < leaves - 1 and not (new and not new[-1].isspace() and text[end].isspace()):
+            if end < len(text) and not (new and not new[-1].isspace() and text[end].isspace()):
                 hi += 1
-                continue
-            if lo and not (new and new[0].isspace() and not _char_before(out, text, done, begin).isspace()):
+            elif begin and not (new and new[0].isspace() and not _char_before(done, text, ends, begin).isspace()):
                 lo -= 1
-                if lo < done_leaf(out):
-                    raise AssertionError("runs are apart by a leaf")
-                continue
-            break
+            else:
+                break
+        done.append((lo, hi, own, new))
+    out, at, worked = [], 0, 0
+    for lo, hi, _, new in done:
         parts = cuts(new)
         slots = hi - lo + 1
         if len(parts) > slots:
@@ -128,25 +132,14 @@ def edited(text: str, sizes: list[int], tree: list[int], edits: list[tuple[int,
                 tree[node] += change
                 node //= 2
         worked += len(new)
-        out += [(lo, text[done:begin]), (hi + 1, new)]
-        done = end
-        k += 1
-    return "".join([x for _, x in out] + [text[done:]]), sizes, tree, worked
-
-
-def done_leaf(out: list[tuple[int, str]]) -> int:
-    """First leaf that no finished run holds."""
-    return out[-1][0] if out else 0
+        out += [text[at:ends[lo - 1] if lo else 0], new]
+        at = ends[hi]
+    return "".join([*out, text[at:]]), sizes, tree, worked
 
 
-def _char_before(out: list[tuple[int, str]], text: str, done: int, begin: int) -> str:
-    """The character that stands before position ``begin`` in the new text; a blank at its start."""
-    if begin > done:
-        return text[begin - 1]
-    for _, x in reversed(out):
-        if x:
-            return x[-1]
-    return " "
+def _char_before(done: list[tuple[int, int, list, str]], text: str, ends: list[int], begin: int) -> str:
+    """The character before position ``begin`` in the new text."""
+    return done[-1][3][-1:] or " " if done and ends[done[-1][1]] == begin else text[begin - 1]
 
 
 STATE = "key {}, text string, sizes array<int>, tree array<int>"
