@@ -31,8 +31,8 @@ SUCCESS = 0.5
 #: Width of a slot in units of the neighbour distance r.
 SLOT = 1.5
 PART = 1024
-#: The bounded sample of the fit.
-FIT_ROWS, FIT_QUERIES = 4096, 128
+#: The bounded sample of the fit, and the share of its queries whose neighbours lie within r.
+FIT_ROWS, FIT_QUERIES, REACH = 4096, 128, 0.75
 SEED = 20240607
 
 
@@ -82,7 +82,7 @@ def _between(a: float, b: float, sigma: float) -> float:
 
 
 def fit(rows: DataFrame, k: int, **options) -> dict[int, Index]:
-    """dim -> index: r is the distance within which ``k`` neighbours of a row are expected, from a bounded sample of at most ``FIT_ROWS`` rows.
+    """dim -> index: r is the distance within which most rows have ``k`` neighbours, estimated from a bounded sample of at most ``FIT_ROWS`` rows.
 
     Rows of the sample have the smallest hashes of their keys; a vector length without two different rows there gets its own sample.
     """
@@ -94,9 +94,10 @@ def fit(rows: DataFrame, k: int, **options) -> dict[int, Index]:
         v = v / max(np.abs(v).max(), 1e-300) if np.abs(v).max() > 1e100 else v
         q = v[:FIT_QUERIES]
         far = np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * q @ v.T))
-        # a row's own distance, zero, stays in: k + 1 of the n rows lie within r
-        each = np.quantile(far, min(1.0, (k + 1) / max(n, k + 1)), axis=1) if n <= FIT_ROWS else np.quantile(far[far > 1e-9], min(1.0, k / n)) if (far > 1e-9).any() else 0.0
-        out[d] = Index(d, max(float(np.median(each)), 1e-9), **options)
+        # of n rows k lie within r: so do k * sample / n of the sample, at least one, and the row itself
+        place = min(len(v) - 1, max(1, round(k * len(v) / n)))
+        each = np.partition(far, place, axis=1)[:, place]
+        out[d] = Index(d, max(float(np.quantile(each, REACH)), 1e-9), **options)
     return out
 
 
