@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.projective import cam_centered, cam_ray, proj_forward, ray_angles
 from tessera.functions.similarity import (sim, sim_apply, sim_compose, sim_from_polar, sim_rotation,
                                           sim_scale)
-from tessera.operators.solve import DENSE_LIMIT, solve_spd
+from tessera.operators.solve import solve_spd
+from tessera.operators.spread import dense_index
 from tessera.session import cut
 
 HUBER_KNEE = 3.0
@@ -38,10 +39,11 @@ def _attach(obs: DataFrame, t: DataFrame) -> DataFrame:
     """Residual of every observation under the current transforms."""
     ti = t.select(*GROUP, F.col("source_id").alias("i"), F.col("t").alias("ti"))
     tj = t.select(*GROUP, F.col("source_id").alias("j"), F.col("t").alias("tj"))
+    # both transforms meet on the short table of pairs, the observations are joined once
+    pairs = obs.select(*GROUP, "i", "j").distinct().join(ti, [*GROUP, "i"]).join(tj, [*GROUP, "j"])
     x1, y1 = sim_apply(F.col("ti"), F.col("px"), F.col("py"))
     x2, y2 = sim_apply(F.col("tj"), F.col("qx"), F.col("qy"))
-    return (obs.join(ti, [*GROUP, "i"]).join(tj, [*GROUP, "j"])
-            .withColumn("r", F.sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2)))
+    return obs.join(pairs, [*GROUP, "i", "j"]).withColumn("r", F.sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2))
 
 
 def _normal_entries(weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,18 +90,25 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
     Returns placements (set_id, component, source_id, t) and quality (set_id, component, n, rms).
     """
     anchors = _anchors(pairs_obs)
-    obs = cut(pairs_obs.join(anchors, GROUP).withColumn("w", F.lit(1.0)))
-    members = (obs.select(*GROUP, "anchor", F.explode(F.array("i", "j")).alias("source_id")).distinct())
-    members = cut(members)
-    # four unknowns per source: check once whether every group fits the dense solver
-    widest = members.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 0
-    all_small = 4 * widest <= DENSE_LIMIT
+    # sources are numbered densely within their group: unknowns are numbers of that count, whatever the ids are
+    ends = pairs_obs.select(*GROUP, F.explode(F.array("i", "j")).alias("source_id")).distinct()
+    numbered = cut(dense_index(ends, GROUP, ["source_id"], "at"))
+
+    def number(df: DataFrame, column: str) -> DataFrame:
+        known = numbered.select(*GROUP, F.col("source_id").alias(column), F.col("at").alias("_at"))
+        return df.join(known, [*GROUP, column]).drop(column).withColumnRenamed("_at", column)
+
+    # both ends of a pair are numbered on the short table of pairs
+    pairs = number(number(pairs_obs.select(*GROUP, "i", "j").distinct().withColumn("i0", F.col("i")).withColumn("j0", F.col("j")), "i"), "j")
+    pairs = pairs.join(number(anchors, "anchor"), GROUP)
+    known = pairs_obs.withColumnRenamed("i", "i0").withColumnRenamed("j", "j0")
+    obs = cut(known.join(pairs, [*GROUP, "i0", "j0"]).drop("i0", "j0").withColumn("w", F.lit(1.0)))
+    members = numbered.select(*GROUP, F.col("at").alias("source_id")).join(number(anchors, "anchor"), GROUP)
     weighted = obs
     for k in range(passes + 1):
         entries, rhs = _normal_entries(weighted)
-        solved = solve_spd(entries, rhs, GROUP, ["b"], all_small=all_small)
-        rows = (solved.select(*GROUP, F.floor(F.col("i") / 4).alias("source_id"),
-                              F.pmod(F.col("i"), F.lit(4)).alias("k"), "b")
+        solved = solve_spd(entries, rhs, GROUP, ["b"])
+        rows = (solved.select(*GROUP, F.expr("i div 4").alias("source_id"), F.expr("i % 4").alias("k"), "b")
                 .groupBy(*GROUP, "source_id")
                 .agg(*[F.max(F.when(F.col("k") == n, F.col("b"))).alias(c)
                        for n, c in enumerate(("a", "b_", "tx", "ty"))]))
@@ -121,7 +130,8 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
         F.avg(sim_rotation(F.col("t"))).alias("_rot"),
         F.avg(F.log(F.greatest(sim_scale(F.col("t")), F.lit(1e-9)))).alias("_log"))
     turn = sim_from_polar(F.exp(-F.col("_log")), -F.col("_rot"), F.lit(0.0), F.lit(0.0))
-    final = (placed.join(gauge, GROUP).withColumn("_g", turn)
+    named = numbered.select(*GROUP, "source_id", "at")
+    final = (placed.withColumnRenamed("source_id", "at").join(gauge, GROUP).withColumn("_g", turn).join(named, [*GROUP, "at"])
              .select(*GROUP, "source_id", sim_compose(F.col("_g"), F.col("t")).alias("t")))
     return cut(final), quality
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import sim_apply, sim_compose, sim_inverse
-from tessera.operators.solve import DENSE_LIMIT, solve_spd
+from tessera.operators.solve import solve_spd
 from tessera.session import cut
 
 CUTOFF = 40.0
@@ -91,7 +91,7 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
     own source, minus the own point.  Constraints off by 40 or more are dropped once at the start.  All
     sources move together, half way (``damping``) to their own least-squares surface per sweep.
 
-    Returns mesh (set_id, source_id, vr, vc, dx, dy) and metrics (stage, rms).
+    Returns mesh (set_id, source_id, vr, vc, dx, dy) and metrics (set_id, stage, rms).
     """
     ends = [observations.select("set_id", *[F.col(s).alias(d) for s, d in zip(src, dst)])
             for src, dst in ((("i", "px", "py", "j", "qx", "qy"), ("source_id", "x", "y", "other", "ux", "uy")),
@@ -110,7 +110,6 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
         _flat_stencil(F.col("x"), F.col("y"), F.col("width"), F.col("height"), spacing).alias("here"),
         _flat_stencil(F.col("ux"), F.col("uy"), F.col("w_other"), F.col("h_other"), spacing).alias("there")))
     verts = cut(_vertices(placements.select(*SOURCE, "width", "height").distinct(), spacing))
-    most = verts.agg(F.max(F.col("rows") * F.col("cols"))).first()[0] or 0
     first, second = cons.select(*SOURCE, "here", F.explode("here").alias("s")), F.explode("here").alias("z")
     data = first.select(*SOURCE, "s", second).select(
         *SOURCE, F.col("s.i").alias("i"), F.col("z.i").alias("j"), (F.col("s.weight") * F.col("z.weight")).alias("val"))
@@ -140,14 +139,14 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
     def rms(current: DataFrame) -> DataFrame:
         both_ends = pulls(current).join(packed(current), SOURCE)
         miss = (F.col("bx") - read("here", "ax")) ** 2 + (F.col("by") - read("here", "ay")) ** 2
-        return both_ends.agg(F.coalesce(F.sqrt(F.avg(miss)), F.lit(0.0)).alias("rms"))
+        return both_ends.groupBy("set_id").agg(F.coalesce(F.sqrt(F.avg(miss)), F.lit(0.0)).alias("rms"))
 
     before = rms(mesh).withColumn("stage", F.lit("before"))
     for _ in range(sweeps):
         taps = (pulls(mesh).select(*SOURCE, "bx", "by", F.explode("here").alias("s"))
                 .select(*SOURCE, F.col("s.i").alias("i"), (F.col("s.weight") * F.col("bx")).alias("dx"),
                         (F.col("s.weight") * F.col("by")).alias("dy")))
-        solved = solve_spd(matrix, taps.unionByName(every), SOURCE, ["dx", "dy"], all_small=most <= DENSE_LIMIT)
+        solved = solve_spd(matrix, taps.unionByName(every), SOURCE, ["dx", "dy"])
         fresh = solved.select(*SOURCE, F.col("i").alias("_i"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
         mesh = cut(mesh.withColumn("_i", slot).join(fresh, [*SOURCE, "_i"], "left").select(
             *SOURCE, "cols", "vr", "vc",

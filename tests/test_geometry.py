@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import u
 from tessera.functions.similarity import sim
 from tessera.operators import placement, positions, surface
-from tessera.operators.solve import solve_spd
+from tessera.operators.solve import eliminate, solve_spd
 
 POS = "set_id long, source_id long, lat double, lon double"
 LONS = [-80.80300, -80.80327, -80.80354, -80.80381, -80.80462]
@@ -45,11 +45,10 @@ def test_walk_distances_step_notes_summary(spark):
     lost = spark.createDataFrame([(1, 1, "IMG_1"), (1, 4, "IMG_4"), (2, 0, "x")], "set_id long, source_id long, name string")
     notes = positions.gap_notes(lost, near, step).collect()
     assert [(r.set_id, r.source_id) for r in notes] == [(1, 4)]
-    assert notes[0].note.startswith("IMG_4: 76 m from the nearest source, 3.0x the typical step")
+    assert (notes[0].name, notes[0].status, round(notes[0].nearest), round(notes[0].ratio, 1)) == ("IMG_4", "apart", 76, 3.0)
     totals = spark.createDataFrame([(1, 7), (2, 2)], "set_id long, total long")
-    text = {r.set_id: r.summary for r in positions.gps_summary(pos, totals, spread, step).collect()}
-    assert text[1] == "sources span 153 m, typical step 25 m (5 of 7 sources positioned)"
-    assert text[2] == "all sources within 4 m, taken from one spot"
+    told = {r.set_id: (r.status, r.placed, r.total, r.missing) for r in positions.gps_summary(pos, totals, spread, step).collect()}
+    assert told[1] == ("moving", 5, 7, 2) and told[2] == ("standing", 2, 2, 0)
 
 
 def test_upper_median(spark):
@@ -120,13 +119,54 @@ def test_conjugate_gradients_agree_with_dense(spark):
             e2, r2 = e.filter("g = 1 and i < 6 and j < 6"), r.filter("g = 1 and i < 6")
             m = np.array([[x.val for x in sorted(e2.filter(f"i={i}").collect(), key=lambda x: x.j)] for i in range(6)])
             ref = np.linalg.solve(m, [x.b for x in sorted(r2.collect(), key=lambda x: x.i)])
-            got = {x.i: x.b for x in solve_spd(e2, r2, ["g"], ["b"], dense_limit=0).collect()}
+            got = {x.i: x.b for x in solve_spd(e2, r2, ["g"], ["b"], task_entries=0).collect()}
             assert [got[i] for i in range(6)] == pytest.approx(list(ref), rel=1e-6)
         else:
             got = {(x.g, x.i): x.b for x in solve_spd(e, r, ["g"], ["b"]).collect()}
             assert all(got[g, i] == pytest.approx(want[g][i], rel=1e-8) for g in want for i in range(30))
 
 
+def test_elimination_takes_long_chains_and_tells_singular_ones():
+    rng = np.random.default_rng(3)
+    cells: dict = {}
+    for k in range(1999):  # a chain of 2000 sources with four unknowns each
+        part = rng.normal(size=(6, 8))
+        part = part.T @ part
+        for a in range(8):
+            for b in range(8):
+                at = 4 * k + a, 4 * k + b
+                cells[at] = cells.get(at, 0.0) + part[a, b]
+    i, j = (np.array([c[x] for c in cells]) for x in (0, 1))
+    v, right = np.array(list(cells.values())), rng.normal(size=(8000, 1))
+    x = eliminate(i, j, v, right)
+    left = np.bincount(i, v * x[j, 0], 8000)
+    assert np.abs(left - right[:, 0]).max() < 1e-6
+    flat = np.ones((2, 2))
+    assert eliminate(*np.nonzero(flat), flat.ravel(), np.ones((2, 1))) is None
+    wide = rng.normal(size=(90, 90))
+    wide = wide @ wide.T + np.eye(90)  # more coupled than the sparse part takes
+    r, c = np.nonzero(wide)
+    assert np.allclose(wide @ eliminate(r, c, wide[r, c], np.ones((90, 2))), 1.0)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_singular_system_does_not_touch_others(spark, limit):
+    e = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 1.0), (1, 1, 0, 1.0), (1, 1, 1, 1.0), (2, 0, 0, 2.0), (2, 1, 1, 4.0)], "g long, i long, j long, val double")
+    r = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 2.0), (2, 1, 2.0)], "g long, i long, b double")
+    got = {(x.g, x.i): x.b for x in solve_spd(e, r, ["g"], ["b"], task_entries=limit, max_iter=8).collect()}
+    assert got == {(2, 0): 1.0, (2, 1): 0.5}
+
+
+def test_placement_with_very_large_ids(spark):
+    base = 1 << 62
+    rows = [(1, 1, base + i, base + i + 1, 100.0 + 10 * k, 5.0 * k, 10.0 * k, 5.0 * k) for i in range(5) for k in range(6)]
+    obs = spark.createDataFrame(rows, "set_id long, component long, i long, j long, px double, py double, qx double, qy double")
+    placed, quality = placement.place_similarity(obs)
+    got = {r.source_id: r.t for r in placed.collect()}
+    assert sorted(got) == [base + i for i in range(6)] and quality.first().rms < 1e-6
+    assert [got[base + i + 1].tx - got[base + i].tx for i in range(5)] == pytest.approx([100.0] * 5)
+
+
 def rig(spark, pans=(-0.5, 0.0, 0.5), focal=800.0, w=1200, h=900):
     rows = []
     for k, p in enumerate(pans):
