@@ -54,27 +54,24 @@ def _(spark, sf):
     return P.typical_step(P.nearest_neighbor(positions(spark, sf))).select("set_id", rd("step", 3).alias("step"))
 
 
-@R.add("gap_notes", f"""WITH {_NEAR} SELECT set_id, source_id, {sq('nearest', 3)} AS nearest, {sq('nearest / step')} AS ratio,
-  name || ': ' || round(nearest)::BIGINT || ' m from the nearest source, ' || printf('%.1f', nearest / step) || 'x the typical step - likely a gap, no overlap' AS note
+@R.add("gap_notes", f"""WITH {_NEAR} SELECT set_id, source_id, name, {sq('nearest', 3)} AS nearest, {sq('nearest / step')} AS ratio, 'apart' AS status
   FROM po JOIN nn USING (set_id, source_id) JOIN st USING (set_id) WHERE step > 0 AND nearest / step >= 1.6 AND source_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def _(spark, sf):
     pos = positions(spark, sf)
     near = cut(P.nearest_neighbor(pos))
     placed = load(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("source_id")).distinct()
     notes = P.gap_notes(pos.join(placed, "source_id", "left_anti"), near, P.typical_step(near))
-    return notes.select("set_id", "source_id", rd("nearest", 3).alias("nearest"), rd("ratio").alias("ratio"), "note")
+    return notes.select("set_id", "source_id", "name", rd("nearest", 3).alias("nearest"), rd("ratio").alias("ratio"), "status")
 
 
 @R.add("gps_summary", f"""WITH {_NEAR}, n AS (SELECT set_id, count(*) AS placed, count(*) + set_id % 2 AS total FROM po GROUP BY set_id)
-  SELECT set_id, placed, total, CASE WHEN spread < 15 THEN 'all sources within ' || round(spread)::BIGINT || ' m, taken from one spot'
-  ELSE 'sources span ' || round(spread)::BIGINT || ' m, typical step ' || round(step)::BIGINT || ' m' END ||
-  CASE WHEN placed < total THEN ' (' || placed || ' of ' || total || ' sources positioned)' ELSE '' END AS summary
-  FROM n JOIN sp USING (set_id) JOIN st USING (set_id)""")
+  SELECT set_id, placed, total, total - placed AS missing, {sq('spread', 3)} AS spread, {sq('step', 3)} AS step,
+  CASE WHEN spread < 15 THEN 'standing' ELSE 'moving' END AS status FROM n JOIN sp USING (set_id) JOIN st USING (set_id)""")
 def _(spark, sf):
     pos = positions(spark, sf)
     totals = pos.groupBy("set_id").agg((F.count(F.lit(1)) + F.col("set_id") % 2).alias("total"))
     s = P.gps_summary(pos, totals, P.gps_spread(pos), P.typical_step(P.nearest_neighbor(pos)))
-    return s.select("set_id", "placed", "total", "summary")
+    return s.select("set_id", "placed", "total", "missing", rd("spread", 3).alias("spread"), rd("step", 3).alias("step"), "status")
 
 
 QUERIES, ORACLE = R.queries, R.oracle
