@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from queries.common import Registry, load, rd, sq
@@ -284,16 +286,28 @@ def _(spark, sf):
     return exclude_own(docs, own, written).select("doc_id", "n_chars")
 
 
-@R.add("scan_files")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@R.add("scan_files", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS n_rows FROM {t}" for t in _TABLES))
 def _(spark, sf):
-    return scan_files(spark, [sf], ["PARQUET"]).select("name", "length")
+    """The tables that lie in the folder, and the rows that each of the files found holds."""
+    found = scan_files(spark, [f"{sf}/{t}.parquet" for t in _TABLES], ["PARQUET"]).select("name", "path").distinct()
+    rows = None
+    for t in _TABLES:
+        one = load(spark, sf, t).select(F.col("_metadata.file_path").alias("file"), F.lit(f"{t}.parquet").alias("table"))
+        rows = one if rows is None else rows.unionByName(one)
+    held = rows.groupBy("file", "table").agg(F.count(F.lit(1)).alias("n"))
+    bare = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
+    return (found.withColumn("file", bare).join(held.withColumn("file", F.regexp_replace(F.col("file"), "^[a-z0-9]+:/*", "/")), "file")
+            .groupBy(F.col("table").alias("name")).agg(F.sum("n").alias("n_rows")))
 
 
 @R.add("write_groups", """WITH g AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS k FROM (SELECT DISTINCT o_orderstatus FROM orders))
   SELECT CASE WHEN k = 1 THEN 'orders' ELSE 'orders.' || k END AS output_name, 'tessera' AS producer, count(*) AS n
   FROM orders JOIN g USING (o_orderstatus) GROUP BY ALL""")
 def _(spark, sf):
-    base = f"{checkpoint_dir(spark).rstrip('/')}/orders-by-status"
+    base = f"{checkpoint_dir(spark).rstrip('/')}/orders-by-status-{uuid.uuid4().hex}"
     write_groups(load(spark, sf, "orders"), base, "orders.parquet", key="o_orderstatus")
     return spark.read.parquet(base).groupBy("output_name", "producer").agg(F.count(F.lit(1)).alias("n"))
 

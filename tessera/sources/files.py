@@ -37,8 +37,9 @@ def write_groups(df: DataFrame, base: str, name: str = "output", fmt: str | None
                  key: str = "group_id", default_fmt: str = "parquet") -> DataFrame:
     """Write one output folder per group below ``base`` and return the manifest.
 
-    The first group keeps ``name``; the k-th gets ``name.k``.  Every row carries the producer tag.  The format
-    comes from ``fmt`` or the suffix of ``name``; anything unknown becomes ``default_fmt``.
+    The first group keeps ``name``; the k-th gets ``name.k``; rows without a group (NULL) are a group too, the first.  Every row
+    carries the producer tag.  The format comes from ``fmt`` or the suffix of ``name``; anything unknown becomes ``default_fmt``.  Outputs of the
+    same names are replaced, whatever else lies below ``base`` stays.
     """
     known = {"parquet", "orc", "json", "csv"}
     stem, _, suffix = name.rpartition(".")
@@ -47,11 +48,12 @@ def write_groups(df: DataFrame, base: str, name: str = "output", fmt: str | None
         chosen = default_fmt
     if stem and suffix in known:
         name = stem
-    order = dense_index(df.select(key).distinct().withColumn("_one", F.lit(1)), ["_one"], [key], "_k").select(key, "_k")
+    order = dense_index(df.select(key).distinct().withColumn("_one", F.lit(1)), ["_one"], [F.col(key).asc_nulls_first()], "_k").select(key, "_k")
     label = F.when(F.col("_k") == 0, F.lit(name)).otherwise(F.concat(F.lit(name + "."), (F.col("_k") + 1).cast("string")))
     named = order.select(key, label.alias("output_name"))
-    out = df.join(named, key).withColumn("producer", F.lit(PRODUCER))
-    out.write.mode("overwrite").format(chosen).partitionBy("output_name").save(base)
+    of = named.withColumnRenamed(key, "_of")
+    out = df.join(of, df[key].eqNullSafe(of["_of"])).drop("_of").withColumn("producer", F.lit(PRODUCER))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(chosen).partitionBy("output_name").save(base))
     return named.withColumn("path", F.concat(F.lit(base.rstrip("/") + "/output_name="), F.col("output_name"))).withColumn(
         "producer", F.lit(PRODUCER))
 

@@ -30,6 +30,18 @@ def test_groups_are_written_named_and_skipped_on_the_next_scan(spark, tmp_path):
     assert files.exclude_own(back).count() == 0
 
 
+def test_rows_without_a_group_are_written_and_others_files_stay(spark, tmp_path):
+    df = spark.createDataFrame([(None, 1.0), (3, 2.0)], "group_id long, v double")
+    base = tmp_path / "out"
+    (base / "output_name=older").mkdir(parents=True)
+    (base / "output_name=older" / "note.txt").write_text("stays")
+    manifest = files.write_groups(df, str(base), "pano")
+    assert {r.group_id: r.output_name for r in manifest.collect()} == {None: "pano", 3: "pano.2"}
+    back = spark.read.option("pathGlobFilter", "*.parquet").parquet(str(base))
+    assert {(r.output_name, r.v) for r in back.collect()} == {("pano", 1.0), ("pano.2", 2.0)}
+    assert (base / "output_name=older" / "note.txt").read_text() == "stays"
+
+
 def test_catalog_is_normalised(spark):
     meta = spark.createDataFrame([(4000, 3000, 28.0, 32.1, 80.8, "N", "W"), (1000, 1500, None, 1.0, 2.0, "S", None)],
                                  "full_width int, full_height int, f35 double, lat double, lon double, lat_ref string, lon_ref string")
