@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import Registry, load, rd, sq
+from queries.grid import sample_sql
 from tessera.functions.similarity import sim, sim_from_polar
 from tessera.operators import blending, coverage, overlap, ownership, placement, regrid as G
-from tessera.operators.grids import crop_cells
+from tessera.operators.grids import crop_cells, gaussian_taps
 from tessera.plans.composite import composite
 from tessera.session import cut
 
@@ -228,11 +229,50 @@ def _(spark, sf):
     return coverage.auto_crop(c, c.select("k", "y", "x"), 6, 30, "k").select("x", "y", "n")
 
 
-@R.add("multiband_blend")
+def bands_sql(levels: int) -> str:
+    """CTEs that blend the layers ``ly`` owned by ``own`` in ``levels`` bands; table ``bl`` holds x, y, v."""
+    align, eps = 1 << (levels - 1), "1e-5::DOUBLE"
+    taps = gaussian_taps(blending.BAND_SIGMA)
+    rows = ", ".join(f"({k - len(taps) // 2}, {t!r}::DOUBLE)" for k, t in enumerate(taps))
+    parts = [f"""t(d, w) AS (VALUES {rows}),
+dm AS (SELECT s AS k, min(x) // {align} * {align} AS gx, min(y) // {align} * {align} AS gy, max(x) AS x1, max(y) AS y1 FROM ly GROUP BY 1),
+dl AS (SELECT k, gx, gy, (x1 - gx + {align}) // {align} * {align} AS lw, (y1 - gy + {align}) // {align} * {align} AS lh FROM dm),
+fz AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h, (max(x) + {align}) // {align} * {align} AS fw, (max(y) + {align}) // {align} * {align} AS fh FROM ly),
+c0 AS (SELECT k, yy.y, xx.x, coalesce(ly.v, 0) AS c, CASE WHEN ly.v IS NULL THEN 0 ELSE 1 END::DOUBLE AS a, CASE WHEN own.s = k THEN 1 ELSE 0 END::DOUBLE AS m
+  FROM dl, (SELECT unnest(range((SELECT max(lh) FROM dl))) AS y) yy, (SELECT unnest(range((SELECT max(lw) FROM dl))) AS x) xx
+  LEFT JOIN ly ON ly.s = k AND ly.x = xx.x + gx AND ly.y = yy.y + gy LEFT JOIN own ON own.x = ly.x AND own.y = ly.y WHERE yy.y < lh AND xx.x < lw)"""]
+    for n in range(levels):
+        if n < levels - 1:
+            parts.append(f"""bx{n} AS (SELECT o.k, o.y, o.x, sum(w * s.c) AS c, sum(w * s.a) AS a, sum(w * s.m) AS m FROM c{n} o JOIN dl ON dl.k = o.k JOIN t ON true
+  JOIN c{n} s ON s.k = o.k AND s.y = o.y AND s.x = least(greatest(o.x + d, 0), (lw >> {n}) - 1) GROUP BY 1, 2, 3),
+by{n} AS (SELECT o.k, o.y, o.x, sum(w * s.c) AS c, sum(w * s.a) AS a, sum(w * s.m) AS m FROM bx{n} o JOIN dl ON dl.k = o.k JOIN t ON true
+  JOIN bx{n} s ON s.k = o.k AND s.x = o.x AND s.y = least(greatest(o.y + d, 0), (lh >> {n}) - 1) GROUP BY 1, 2, 3),
+c{n + 1} AS (SELECT k, y // 2 AS y, x // 2 AS x, sum(c) / 4 AS c, sum(a) / 4 AS a, sum(m) / 4 AS m FROM by{n} GROUP BY 1, 2, 3),
+lo{n} AS (SELECT k, y, x, CASE WHEN a > {eps} THEN c / a ELSE 0 END AS v FROM c{n + 1}),
+p{n} AS (SELECT c.k, c.y, c.x, (c.x + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS sx, (c.y + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS sy, lw >> {n + 1} AS ww, lh >> {n + 1} AS hh FROM c{n} c JOIN dl ON dl.k = c.k),
+{sample_sql(f"lo{n}", f"p{n}", "ww", "hh")}""")
+            finer = f"CASE WHEN a > {eps} THEN c / a ELSE 0 END - u.v"
+            more = f"JOIN p{n}_v u ON u.k = c.k AND u.y = c.y AND u.x = c.x"
+        else:
+            finer, more = f"CASE WHEN a > {eps} THEN c / a ELSE 0 END", ""
+        parts.append(f"""bd{n} AS (SELECT (gy >> {n}) + c.y AS y, (gx >> {n}) + c.x AS x, sum(m) AS w, sum(({finer}) * m) AS v FROM c{n} c JOIN dl ON dl.k = c.k {more}, fz
+  WHERE a > {eps} AND m > 0 AND (gx >> {n}) + c.x < fw >> {n} AND (gy >> {n}) + c.y < fh >> {n} GROUP BY 1, 2),
+gr{n} AS (SELECT 0 AS k, yy.y, xx.x, CASE WHEN w > {eps} THEN v / w ELSE 0 END AS v FROM (SELECT unnest(range((SELECT fh >> {n} FROM fz))) AS y) yy,
+  (SELECT unnest(range((SELECT fw >> {n} FROM fz))) AS x) xx LEFT JOIN bd{n} b ON b.y = yy.y AND b.x = xx.x)""")
+    parts.append(f"up{levels - 1} AS (SELECT k, y, x, v FROM gr{levels - 1})")
+    for n in range(levels - 2, -1, -1):
+        parts.append(f"""q{n} AS (SELECT k, y, x, v AS own_v, (x + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS sx, (y + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS sy, fw >> {n + 1} AS ww, fh >> {n + 1} AS hh FROM gr{n}, fz),
+{sample_sql(f"up{n + 1}", f"q{n}", "ww", "hh")},
+up{n} AS (SELECT k, y, x, own_v + v AS v FROM q{n}_v)""")
+    parts.append(f"bl AS (SELECT u.x, u.y, least(greatest(u.v, 0), 1) AS v FROM up0 u JOIN bd0 b ON b.x = u.x AND b.y = u.y, fz WHERE b.w > {eps} AND u.x < fz.w AND u.y < fz.h)")
+    return ",\n".join(parts)
+
+
+@R.add("multiband_blend", f"WITH {_OWN}, {bands_sql(5)} SELECT x::INT AS x, y::INT AS y, {sq('v')} AS v FROM bl")
 def _(spark, sf):
     d = layers(spark, sf)
     size = d.agg(F.max("x"), F.max("y")).first()
-    out = blending.multiband_blend(d, ownership.own_by_locality(d), size[0] + 1, size[1] + 1, 3, ["v"])
+    out = blending.multiband_blend(d, ownership.own_by_locality(d), size[0] + 1, size[1] + 1, 5, ["v"])
     return out.select("x", "y", rd("v").alias("v"))
 
 
