@@ -17,7 +17,8 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,9 +31,23 @@ from tessera.llm.common import map_rows
 PIECE = 1 << 15
 #: Unsplit stretches of more symbols are cut into halves until they are no longer.
 LEAF = 1 << 11
+#: Chunks that a worker keeps, and the characters of the longest that it keeps.
+KNOWN, CHUNK = 200_000, 64
+#: Python takes these for white space, the tokenizer files do not.
+_ODD = re.compile("[\x1c-\x1f]")
+_TRAILING = ".,!?;:%&*#$()"
 _LOADED: dict[str, "Bpe"] = {}
 
 
+def _latin(text: str) -> bool:
+    """All characters are below U+0100: nothing composes, and lower case is one character for one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Bpe:
     """A tokenizer file: the library encodes pieces, ``merge`` encodes symbols of one unsplit stretch."""
 
@@ -50,6 +65,12 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.plain = spec["added_tokens"] == [] or all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
         self.words = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.special.items()}
+        steps = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        if not self.suffix or '"Removed"' not in steps:
+            raise ValueError("the tokenizer file must drop white space and mark the ends of words")
+        self.lower = '"Lowercase"' in steps and '"Strip' not in steps
+        self.known: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.rank = {}
         for i, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -113,8 +134,47 @@ class Bpe:
             parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0] if parts else []
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, packed as little-endian 32-bit integers.
+
+        No token reaches across white space, so a text is the sequence of its chunks, and the library encodes each chunk once.
+        """
+        chunks = [[t] if _ODD.search(t) else self.folded(t).split() for t in texts]
+        known = self.learned(set(chain.from_iterable(chunks)))
+        out = [b"".join(map(known.__getitem__, c)) for c in chunks]
+        for w in self.long:
+            known.pop(w, None)
+        return out
+
+    def text(self, ids: list[int]) -> str:
+        """Tokens, special ones included, joined by single blanks, as a tokenizer file without a decoder has it."""
+        return " ".join(map(self.words.__getitem__, ids))
+
+    def folded(self, text: str) -> str:
+        """Lower case where that is all the normalizer does, so that more chunks are the same; else the text as it is."""
+        if not self.lower or not (text.isascii() or _latin(text)):
+            return text
+        low = text.lower()
+        return text if any(s in low for s in self.special) else low
+
+    def learned(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of at least these chunks.  Up to ``KNOWN`` chunks stay for later texts; long ones are listed to be dropped."""
+        known = self.known
+        new = words - known.keys()
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = words
+        # punctuation behind a letter or digit that normalizing leaves one character makes tokens of its own
+        parts = {w: (b, w[len(b):]) for w in new if (b := w.rstrip(_TRAILING)) and b != w and b[-1] < "\u0100" and b[-1].isalnum()}
+        single = [w for w in {*chain.from_iterable(parts.values()), *(new - parts.keys())} if w not in known]
+        for at in range(0, len(single), 1 << 12):
+            some = single[at:at + (1 << 12)]
+            for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        for w, (b, tail) in parts.items():
+            known[w] = known[b] + known[tail]
+        self.long = [w for w in (*single, *parts) if len(w) > CHUNK]
+        return known
 
 
 def pieces(bpe: Bpe, text: str, size: int = PIECE, leaf: int = LEAF) -> Iterator[tuple[int, bool, str]]:
@@ -155,20 +215,22 @@ def halves(a: int, b: int, leaf: int) -> list[int]:
     return halves(a, mid, leaf)[:-1] + halves(mid, b, leaf)
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = PIECE, leaf: int = LEAF) -> DataFrame:
-    """key, ids (array<int>): each whole text as the tokenizer file encodes it, without special tokens added around it.
+def encoded(docs: DataFrame, path: str, columns: str, finish: Callable[[bytes], tuple], key: str = "doc_id", text: str = "text", size: int = PIECE,
+            leaf: int = LEAF) -> DataFrame:
+    """key and ``columns``: what ``finish`` makes of each whole text's ids (packed, little-endian 32-bit integers), in the task that has them.
 
-    Null and empty texts give an empty list, with any key, null included.  Texts of any length are encoded whole.  Repeated rows are
-    returned as often as they come; an empty table gives an empty result; other columns are ignored, whatever their names.
+    Ids are those of the tokenizer file, without special tokens added around them.  Null and empty texts give no ids, with any key, null
+    included.  Texts of any length are encoded whole.  Repeated rows are returned as often as they come; an empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def whole(items):
         bpe = Bpe.at(path)
-        for block in _blocks(items, 64):
+        for block in _blocks(items, 256):
             for (k, _), ids in zip(block, bpe.encode([t for _, t in block])):
-                yield k, ids
+                yield k, *finish(ids)
 
     def cut_up(items):
         bpe = Bpe.at(path)
@@ -180,26 +242,35 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def leaves(items):
         bpe = Bpe.at(path)
         for k, digest, seq, stretch, final, part in items:
-            ids = bpe.encode([part])[0] if stretch < 0 else bpe.merge(bpe.symbols(part, final))
-            yield k, digest, seq, stretch, np.asarray(ids, "<u4").tobytes()
+            yield k, digest, seq, stretch, bpe.encode([part])[0] if stretch < 0 else _packed(bpe.merge(bpe.symbols(part, final)))
 
     def up(items):
         bpe, held, last = Bpe.at(path), [], None
         for k, digest, seq, stretch, ids in chain(items, [(None, b"", -1, -1, b"")]):
             if (k, digest) != last:
                 if held:
-                    yield from _assembled(bpe, last[0], held)
+                    for one, all_ids in _assembled(bpe, last[0], held):
+                        yield one, *finish(all_ids)
                 held, last = [], (k, digest)
             held.append((seq, stretch, ids))
 
     long_ = F.length("text") > size
-    short = map_rows(rows.filter(~long_), f"key {kind}, ids array<int>", whole)
+    short = map_rows(rows.filter(~long_), f"key {kind}, {columns}", whole)
     parts = map_rows(rows.filter(long_), f"key {kind}, digest binary, seq int, stretch int, final boolean, part string", cut_up)
     coded = map_rows(parts.repartition("key", "digest", "seq"), f"key {kind}, digest binary, seq int, stretch int, ids binary", leaves)
-    joined = map_rows(coded.repartition("key", "digest").sortWithinPartitions("key", "digest", "seq"), f"key {kind}, ids array<int>", up, block=64)
+    joined = map_rows(coded.repartition("key", "digest").sortWithinPartitions("key", "digest", "seq"), f"key {kind}, {columns}", up, block=64)
     return short.unionByName(joined).withColumnRenamed("key", key)
 
 
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, ids (array<int>): see ``encoded``."""
+    return encoded(docs, path, "ids array<int>", lambda x: (np.frombuffer(x, "<u4").tolist(),), key, text, **options)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
 def _blocks(items: Iterator[tuple], n: int) -> Iterator[list[tuple]]:
     block = []
     for x in items:
@@ -217,12 +288,15 @@ def _assembled(bpe: Bpe, key, held: list[tuple]) -> Iterator[tuple]:
     out, run, at = [], [], -1
     for _, stretch, ids in held[::copies]:
         if stretch != at or stretch < 0:
-            out += bpe.tree(run)
+            out.append(_packed(bpe.tree(run)))
             run, at = [], stretch
-        run.append(np.frombuffer(ids, "<u4").tolist())
-    out += bpe.tree(run)
+        if stretch < 0:
+            out.append(ids)
+        else:
+            run.append(np.frombuffer(ids, "<u4").tolist())
+    out.append(_packed(bpe.tree(run)))
     for _ in range(copies):
-        yield key, out
+        yield key, b"".join(out)
 
 
 def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -231,21 +305,17 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
     Null and empty lists give an empty text; ids outside the vocabulary are passed over.
     """
     def work(items):
-        words = Bpe.at(path).words
+        bpe = Bpe.at(path)
         for k, x in items:
-            yield k, " ".join([words[i] for i in x or () if i in words])
+            yield k, bpe.text([i for i in x or () if i in bpe.words])
 
     return map_rows(coded.select(F.col(key), F.col(ids)), f"{key} {coded.schema[key].dataType.simpleString()}, text string", work)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """key, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 of each whole text encoded and decoded again."""
-    def work(items):
-        words = Bpe.at(path).words.__getitem__
-        for k, x in items:
-            raw = np.asarray(x, "<u4").tobytes()
-            back = " ".join(map(words, x))
-            yield k, len(x), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+    def finish(raw: bytes) -> tuple:
+        back = Bpe.at(path).text(np.frombuffer(raw, "<u4").tolist())
+        return len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(encode(docs, path, key, text, **options), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return encoded(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish, key, text, **options)
