@@ -15,7 +15,7 @@ from tessera.operators import fitting, matching, placement, surface
 from tessera.session import cut
 
 R = Registry()
-TRIALS = 100
+TRIALS = 500
 
 _ID = "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey)"
 _POINTS = f"""li AS (SELECT l_suppkey AS a, {_ID} AS match_id, max(l_discount) AS disc, max(l_tax) AS tax, max(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
@@ -67,19 +67,29 @@ def _(spark, sf):
     return f.select("a", "n", rd("t.a").alias("sa"), rd("t.b").alias("sb"), rd("t.tx", 3).alias("tx"))
 
 
-_PLANTED = """tr AS (SELECT a, xa, ya, sc*cos(rot)*xa - sc*sin(rot)*ya + tx AS xb, sc*sin(rot)*xa + sc*cos(rot)*ya + ty AS yb FROM tru)"""
+# planted homographies with perspective: exact on the rows with a low discount, far off on the others
+_BENT = """hm AS (SELECT DISTINCT a, sc*cos(rot) AS h00, -sc*sin(rot) AS h01, tx AS h02, sc*sin(rot) AS h10, sc*cos(rot) AS h11, ty AS h12,
+  (a % 5 - 2) * 1e-5::DOUBLE AS h20, (a % 3 - 1) * 2e-5::DOUBLE AS h21 FROM tru),
+tb AS (SELECT a, match_id, disc, xa, ya, (h00*xa + h01*ya + h02) / (h20*xa + h21*ya + 1) AS px, (h10*xa + h11*ya + h12) / (h20*xa + h21*ya + 1) AS py FROM tru JOIN hm USING (a))"""
 
 
-@R.add("fit_homography", f"WITH {_POINTS}, {_PLANTED}, {_fit_sql('tr', 'f')} SELECT a, n, {sq('sa', 5)} AS h00, {sq('sb', 5)} AS h10, {sq('tx', 2)} AS h02 FROM f")
+def bent_points(spark, sf, spoil: bool = True):
+    p, a, m = points(spark, sf), F.col("a"), F.col("match_id")
+    sc, rot = 0.9 + 0.02 * (a % 10), (a % 7 - 3) * 0.02
+    w = (a % 5 - 2) * 1e-5 * F.col("xa") + (a % 3 - 1) * 2e-5 * F.col("ya") + 1
+    x = (sc * F.cos(rot) * F.col("xa") - sc * F.sin(rot) * F.col("ya") - 300.0 + (a % 5) * 50) / w
+    y = (sc * F.sin(rot) * F.col("xa") + sc * F.cos(rot) * F.col("ya") + 8.0) / w
+    good = (F.col("disc") < 0.045) if spoil else F.lit(True)
+    return p.withColumns({"xb": F.when(good, x).otherwise((m * 37 % 2000 + 6000).cast("double")), "yb": F.when(good, y).otherwise((m * 61 % 1500 + 6000).cast("double"))})
+
+
+@R.add("fit_homography", f"""WITH {_POINTS}, {_BENT} SELECT a, (SELECT count(*) FROM tru WHERE tru.a = hm.a) AS n, {sq('h00', 5)} AS h00, {sq('h01', 5)} AS h01, {sq('h02', 3)} AS h02,
+  {sq('h10', 5)} AS h10, {sq('h11', 5)} AS h11, {sq('h12', 3)} AS h12, {sq('h20', 9)} AS h20, {sq('h21', 9)} AS h21 FROM hm""")
 def _(spark, sf):
-    # planted without noise, so the eight-parameter fit must return the four-parameter truth SQL fits
-    p = points(spark, sf)
-    a = F.col("a")
-    t = sim_from_polar(0.9 + 0.02 * (a % 10), (a % 7 - 3) * 0.02, -300.0 + (a % 5) * 50, F.lit(8.0))
-    p = p.withColumn("t", t)
-    x, y = sim_apply(F.col("t"), F.col("xa"), F.col("ya"))
-    f = fitting.fit_homography(p.withColumns({"xb": x, "yb": y}), ["a"])
-    return f.select("a", "n", rd(F.col("h")[0], 5).alias("h00"), rd(F.col("h")[3], 5).alias("h10"), rd(F.col("h")[2], 2).alias("h02"))
+    # planted without noise, so the fit must return the planted matrix, perspective included
+    f = fitting.fit_homography(bent_points(spark, sf, False), ["a"])
+    return f.select("a", "n", *[rd(F.col("h")[k], d).alias(c) for k, c, d in ((0, "h00", 5), (1, "h01", 5), (2, "h02", 3), (3, "h10", 5), (4, "h11", 5), (5, "h12", 3),
+                                                                              (6, "h20", 9), (7, "h21", 9))])
 
 
 def _h(k: int) -> str:
@@ -148,10 +158,30 @@ def _(spark, sf):
     return matching.match_report(matches, pairs, hits).select("a", "fa", "n_matches", "n_inliers", "role", "verdict")
 
 
-@R.add("ransac_homography")
+def _area(i: int, j: int, k: int) -> str:
+    return f"(x[{j}] - x[{i}]) * (y[{k}] - y[{i}]) <> (y[{j}] - y[{i}]) * (x[{k}] - x[{i}])"
+
+
+# the winner is the first trial whose four rows are all planted and no three in line: its model is the planted one, whatever rounding does
+_FIRST_CLEAN = f"""ix AS (SELECT a, match_id, disc, xa AS x, ya AS y, row_number() OVER (PARTITION BY a ORDER BY match_id) - 1 AS idx, count(*) OVER (PARTITION BY a) AS n FROM tru),
+d1 AS (SELECT a, t, n, {_h(0)} % n AS i0, {_h(1)} % (n - 1) AS r1, {_h(2)} % (n - 2) AS r2, {_h(3)} % (n - 3) AS r3 FROM (SELECT DISTINCT a, n FROM ix WHERE n >= 4), range({TRIALS}) r(t)),
+d2 AS (SELECT *, r1 + (r1 >= i0)::INT AS i1 FROM d1),
+d3 AS (SELECT *, r2 + (r2 >= least(i0, i1))::INT + (r2 + (r2 >= least(i0, i1))::INT >= greatest(i0, i1))::INT AS i2 FROM d2),
+d4 AS (SELECT *, list_sort([i0, i1, i2]) AS l FROM d3), d5 AS (SELECT *, r3 + (r3 >= l[1])::INT AS x1 FROM d4), d6 AS (SELECT *, x1 + (x1 >= l[2])::INT AS x2 FROM d5),
+d7 AS (SELECT a, t, [i0, i1, i2, x2 + (x2 >= l[3])::INT] AS four FROM d6),
+d8 AS (SELECT d7.a, t, list(x ORDER BY idx) AS x, list(y ORDER BY idx) AS y FROM d7 JOIN ix ON ix.a = d7.a AND list_contains(four, ix.idx) WHERE disc < 0.045 GROUP BY d7.a, t HAVING count(*) = 4),
+clean AS (SELECT a, min(t) AS best_trial FROM d8 WHERE {' AND '.join(_area(*k) for k in ((1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)))} GROUP BY a)"""
+
+
+@R.add("ransac_homography", f"""WITH {_POINTS}, {_BENT}, {_FIRST_CLEAN}, g AS (SELECT a, count(*) AS n_matches, count(*) FILTER (disc < 0.045) AS n_inliers,
+    count(*) FILTER (px >= 0 AND px < 2000 AND py >= 0 AND py < 1500) AS n_overlap FROM tb GROUP BY a)
+  SELECT a, n_matches, n_inliers, n_overlap, best_trial, n_inliers > 8 + 0.3::DOUBLE * n_overlap AS verified, {sq('h00', 5)} AS h00, {sq('h02', 3)} AS h02, {sq('h20', 8)} AS h20, {sq('h21', 8)} AS h21
+  FROM g JOIN clean USING (a) JOIN hm USING (a)""")
 def _(spark, sf):
-    pairs, _ = fitting.ransac_pairs(points(spark, sf), "homography", TRIALS)
-    return pairs.select("a", "n_matches", "n_inliers", "n_overlap", "verified", rd(F.col("h")[2], 3).alias("h02"))
+    pairs, _ = fitting.ransac_pairs(bent_points(spark, sf), "homography", TRIALS)
+    h = F.col("h")
+    return pairs.select("a", "n_matches", "n_inliers", "n_overlap", F.col("best_trial").cast("bigint").alias("best_trial"), "verified", rd(h[0], 5).alias("h00"),
+                        rd(h[2], 3).alias("h02"), rd(h[6], 8).alias("h20"), rd(h[7], 8).alias("h21"))
 
 
 @R.add("verify_pairs", f"""WITH {_POINTS}, g AS (SELECT a, count(*) FILTER (disc < 0.025) AS n_inliers, count(*) FILTER (disc < 0.085) AS n_overlap FROM mp GROUP BY a)

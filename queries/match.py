@@ -164,17 +164,32 @@ def plane_sizes(features_df):
 def _(spark, sf):
     # every shared vector is an exact match under the planted transforms, so SQL only counts shared vectors
     f = cut(plane_features(spark, sf))
-    r = recognize(f, plane_sizes(f), "similarity", trials=100)
+    r = recognize(f, plane_sizes(f), "similarity")
     groups = cut(r.groups)
     ends = r.pairs.filter("verified").select("set_id", F.col("a").alias("source_id"), "n_inliers")
     total = groups.join(ends, ["set_id", "source_id"]).groupBy("set_id", "group_id").agg(F.sum("n_inliers").alias("n_inliers"))
     return groups.select("set_id", "group_id", "component", "size", "n_pairs").distinct().join(total, ["set_id", "group_id"])
 
 
-@R.add("recognize_homography")
+_GROUPED = """e AS (SELECT set_id, a AS u, b AS v FROM c UNION SELECT set_id, b, a FROM c),
+  rc AS (SELECT set_id, u AS node, u AS seen FROM e UNION SELECT e.set_id, e.v, rc.seen FROM rc JOIN e ON e.set_id = rc.set_id AND e.u = rc.node),
+  cc AS (SELECT set_id, node, min(seen) AS component FROM rc GROUP BY 1, 2), sz AS (SELECT set_id, component, count(*) AS size FROM cc GROUP BY 1, 2),
+  np AS (SELECT c.set_id, component, count(*) AS n_pairs FROM c JOIN cc ON cc.set_id = c.set_id AND cc.node = c.a GROUP BY 1, 2),
+  gr AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY size DESC, component) AS group_id, component, size, n_pairs FROM sz JOIN np USING (set_id, component))"""
+_SEEN_H = _SEEN[:_SEEN.index("c AS (")].replace("* 2800 AS wx", "* 2800 AS wx, ('0x' || substr(md5(concat_ws('-', 'wy', vec_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 1500 AS wy").replace(
+    "SELECT set_id, vec_id, s FROM", "SELECT set_id, vec_id, s, wx, wy FROM") + """ps AS (SELECT *, 1 + 0.01::DOUBLE * (s % 3 - 1) AS sc, 0.01::DOUBLE * (s - 2) AS rot FROM vis),
+spot AS (SELECT set_id, vec_id, s, ((wx - 700*s) * cos(rot) + (wy - 10*s) * sin(rot)) / sc AS x, ((wy - 10*s) * cos(rot) - (wx - 700*s) * sin(rot)) / sc AS y FROM ps),
+n AS (SELECT a.set_id, a.s AS a, b.s AS b, count(*) AS n, count(*) FILTER (b.x >= 0 AND b.x < 1400 AND b.y >= 0 AND b.y < 1500) AS n_overlap FROM spot a JOIN spot b ON a.set_id = b.set_id
+  AND a.vec_id = b.vec_id AND a.s < b.s GROUP BY 1, 2, 3),
+c AS (SELECT * FROM n WHERE n >= 4 AND n > 8 + 0.3::DOUBLE * n_overlap)"""
+
+
+@R.add("recognize_homography", f"WITH RECURSIVE {_SEEN_H}, {_GROUPED} SELECT gr.set_id, group_id, node AS source_id, gr.component, size, n_pairs FROM gr JOIN cc ON cc.set_id = gr.set_id AND cc.component = gr.component")
 def _(spark, sf):
+    # every shared vector agrees with the planted transforms; what remains is the count that a homography needs to be believed
     f = cut(plane_features(spark, sf))
-    return recognize(f, plane_sizes(f), "homography", trials=100).groups
+    g = recognize(f, plane_sizes(f), "homography").groups
+    return g.select("set_id", "group_id", "source_id", "component", "size", "n_pairs")
 
 
 QUERIES, ORACLE = R.queries, R.oracle
