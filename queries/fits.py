@@ -367,7 +367,7 @@ def _(spark, sf):
 def _(spark, sf):
     rough = placed_sources(spark, sf).withColumn("t", F.struct(F.col("t.a"), F.col("t.b"), (F.col("t.tx") + F.col("source_id") % 3).alias("tx"), F.col("t.ty")))
     obs = observations(spark, sf)
-    mesh, _ = surface.fit_offset_surface(obs, rough, spacing=400, sweeps=4)
+    mesh, _ = surface.fit_offset_surface(obs, rough)
     return mesh.select("set_id", "source_id", "vr", "vc", rd("dx", 4).alias("dx"), rd("dy", 4).alias("dy"))
 
 
