@@ -229,15 +229,15 @@ def _(spark, sf):
     return coverage.auto_crop(c, c.select("k", "y", "x"), 6, 30, "k").select("x", "y", "n")
 
 
-def bands_sql(levels: int) -> str:
-    """CTEs that blend the layers ``ly`` owned by ``own`` in ``levels`` bands; table ``bl`` holds x, y, v."""
+def bands_sql(levels: int, size: str = "SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM ly") -> str:
+    """CTEs that blend the layers ``ly`` owned by ``own`` in ``levels`` bands on a frame of ``size``; table ``bl`` holds x, y, v."""
     align, eps = 1 << (levels - 1), "1e-5::DOUBLE"
     taps = gaussian_taps(blending.BAND_SIGMA)
     rows = ", ".join(f"({k - len(taps) // 2}, {t!r}::DOUBLE)" for k, t in enumerate(taps))
     parts = [f"""t(d, w) AS (VALUES {rows}),
 dm AS (SELECT s AS k, min(x) // {align} * {align} AS gx, min(y) // {align} * {align} AS gy, max(x) AS x1, max(y) AS y1 FROM ly GROUP BY 1),
 dl AS (SELECT k, gx, gy, (x1 - gx + {align}) // {align} * {align} AS lw, (y1 - gy + {align}) // {align} * {align} AS lh FROM dm),
-fz AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h, (max(x) + {align}) // {align} * {align} AS fw, (max(y) + {align}) // {align} * {align} AS fh FROM ly),
+fz AS (SELECT w, h, (w + {align - 1}) // {align} * {align} AS fw, (h + {align - 1}) // {align} * {align} AS fh FROM ({size})),
 c0 AS (SELECT k, yy.y, xx.x, coalesce(ly.v, 0) AS c, CASE WHEN ly.v IS NULL THEN 0 ELSE 1 END::DOUBLE AS a, CASE WHEN own.s = k THEN 1 ELSE 0 END::DOUBLE AS m
   FROM dl, (SELECT unnest(range((SELECT max(lh) FROM dl))) AS y) yy, (SELECT unnest(range((SELECT max(lw) FROM dl))) AS x) xx
   LEFT JOIN ly ON ly.s = k AND ly.x = xx.x + gx AND ly.y = yy.y + gy LEFT JOIN own ON own.x = ly.x AND own.y = ly.y WHERE yy.y < lh AND xx.x < lw)"""]
@@ -364,14 +364,25 @@ def _(spark, sf):
     return blending.weighted_blend(G.regrid(scaled, placed, frame), ["v"]).select("x", "y", rd("v", 5).alias("v"))
 
 
-@R.add("composite")
+_WHOLE = f"""{_PLACE}, top AS (SELECT max(v) AS top FROM ce),
+l0 AS (SELECT s, x::INT AS x, y::INT AS y, v / top AS v, greatest((1 - abs(2*sx/24 - 1)) * (1 - abs(2*sy/30 - 1)), 1e-5::DOUBLE) AS tent FROM smp, top),
+sh AS (SELECT DISTINCT s FROM l0),
+ov AS (SELECT p.s AS a, q.s AS b, count(*) AS n, avg(p.v) AS ia, avg(q.v) AS ib FROM l0 p JOIN l0 q ON p.x = q.x AND p.y = q.y AND p.s < q.s GROUP BY 1, 2 HAVING count(*) > 25){_GAINS[len(_SHIP):]},
+ly AS (SELECT s, x, y, v * gain AS v, tent FROM l0 JOIN allg ON source_id = s),
+own AS (SELECT x, y, s FROM ly QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY tent DESC, s) = 1),
+{bands_sql(5, "SELECT 100 AS w, oh::INT AS h FROM fs")},
+cv AS (SELECT 1 AS k, x::INT AS x, y::INT AS y FROM bl), {_RECT[len(_DAYS) + 2:]}"""
+
+
+@R.add("composite", f"""WITH RECURSIVE {_WHOLE}, f AS (SELECT rc.*, w > 100 // 4 AND h > oh // 4 AS big FROM rc, fs)
+  SELECT (bl.x - CASE WHEN big THEN f.x ELSE 0 END)::INT AS x, (bl.y - CASE WHEN big THEN f.y ELSE 0 END)::INT AS y, {sq('v', 5)} AS v FROM bl, f
+  WHERE NOT big OR (bl.x >= f.x AND bl.x < f.x + w AND bl.y >= f.y AND bl.y < f.y + h)""")
 def _(spark, sf):
     cells, placed = event_sources(spark, sf)
     frame = cut(placement.frame_extent(placed, 100, ["set_id"]))
     top = cells.groupBy("set_id").agg(F.max("v").alias("top"))
     scaled = cells.join(top, "set_id").withColumn("v", F.col("v") / F.col("top")).drop("top")
-    height = int(frame.first()["out_height"])
-    out, _ = composite(scaled, placed, frame, 100, height, gain="block", consistent_tau=0.3, levels=3, low_width=60)
+    out, _ = composite(scaled, placed, frame, 100, int(frame.first()["out_height"]))
     return out.select("x", "y", rd("v", 5).alias("v"))
 
 
