@@ -22,7 +22,7 @@ SHARE = 1.5
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 2
 #: Expected documents of one key range, and the most ranges: more documents make the ranges longer, not the sums.
-RANGE, MOST_RANGES = 2048, 1 << 16
+RANGE, MOST_RANGES = 512, 1 << 16
 
 
 def word_count(text: Column) -> Column:
