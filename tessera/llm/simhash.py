@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = connected_components(edges.select(F.struct(F.col("na").alias("node"), F.col("fa").alias("fp")).alias("a"),
                                               F.struct(F.col("nb").alias("node"), F.col("fb").alias("fp")).alias("b")))
     linked = found.select(F.col("node.fp").alias("fp"), F.col("component.node").alias("low"))
-    named = (classes.join(linked, "fp", "left")
-             .select("fp", F.nullif(F.coalesce("low", "node"), F.lit(_NO_ID)).alias("component_id")))
+    # written, so that both sides of the last join are dealt anew and Spark can split a fingerprint that very many documents share
+    named = cut(classes.join(linked, "fp", "left")
+                .select("fp", F.nullif(F.coalesce("low", "node"), F.lit(_NO_ID)).alias("component_id")))
     return light.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
