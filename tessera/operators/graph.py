@@ -4,44 +4,58 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.spread import dense_index
-from tessera.session import cut
+from tessera.session import cut, release
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, and a fingerprint of their set taken while they were."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    out = cut(told)
+    return out, (seen.get["n"], seen.get["h"])
+
+
+def join_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lowest reachable node of each of ``n`` nodes under the links a - b, for a graph that fits a task."""
+    low = np.arange(n)
+    while len(a):
+        la, lb = low[a], low[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(low, np.maximum(la, lb), np.minimum(la, lb))
+        while ((jump := low[low]) != low).any():
+            low = jump
+    return low
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b",
                          max_rounds: int = 60) -> DataFrame:
     """Label every node that has an edge with the smallest node of its component.
 
-    Alternates two star rewirings of the edge set (large-star, small-star) until it stops
-    changing.  Every step is a MIN per node, which combines before the shuffle, and a join back;
-    the number of rounds grows with the logarithm of the longest path.  Result: node, component.
+    Alternates two star rewirings of the edge set until it stops changing.  Edges run from a larger node u to a smaller v.  The first hangs u
+    onto the smallest neighbour of v; the second hangs all smaller neighbours of u onto the smallest of them.  Every step is a MIN per
+    node, which combines before the shuffle, and a join back.  Minima are written before they are joined, so both sides of a
+    join are dealt anew and Spark can split a node with very many edges.  The number of rounds grows with the logarithm of the longest
+    path.  Result: node, component.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    e = cut(e.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"))
-            .select("u", "v").distinct())
-    seen = _fingerprint(e)
+    e, seen = _written(e.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.filter("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(e.join(low.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        floor = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(floor.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        e = cut(small)
-        now = _fingerprint(e)
+        last, (e, now) = e, _written(small)
+        release(last, low, large, floor)
         if now == seen:
             break
         seen = now

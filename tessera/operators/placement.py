@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.projective import cam_centered, cam_ray, proj_forward, ray_angles
 from tessera.functions.similarity import (sim, sim_apply, sim_compose, sim_from_polar, sim_rotation,
                                           sim_scale)
-from tessera.operators.solve import solve_spd
+from tessera.operators.solve import TASK_ENTRIES, solve_spd
 from tessera.operators.spread import dense_index
 from tessera.session import cut
 
@@ -35,12 +35,12 @@ def _anchors(obs: DataFrame) -> DataFrame:
         F.max_by("source_id", F.struct("degree", -F.col("source_id"))).alias("anchor"))
 
 
-def _attach(obs: DataFrame, t: DataFrame) -> DataFrame:
-    """Residual of every observation under the current transforms."""
+def _attach(obs: DataFrame, pairs: DataFrame, t: DataFrame) -> DataFrame:
+    """Residual of every observation under the current transforms; ``pairs`` has its GROUP, i, j once."""
     ti = t.select(*GROUP, F.col("source_id").alias("i"), F.col("t").alias("ti"))
     tj = t.select(*GROUP, F.col("source_id").alias("j"), F.col("t").alias("tj"))
     # both transforms meet on the short table of pairs, the observations are joined once
-    pairs = obs.select(*GROUP, "i", "j").distinct().join(ti, [*GROUP, "i"]).join(tj, [*GROUP, "j"])
+    pairs = pairs.join(ti, [*GROUP, "i"]).join(tj, [*GROUP, "j"])
     x1, y1 = sim_apply(F.col("ti"), F.col("px"), F.col("py"))
     x2, y2 = sim_apply(F.col("tj"), F.col("qx"), F.col("qy"))
     return obs.join(pairs, [*GROUP, "i", "j"]).withColumn("r", F.sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2))
@@ -100,14 +100,18 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
 
     # both ends of a pair are numbered on the short table of pairs
     pairs = number(number(pairs_obs.select(*GROUP, "i", "j").distinct().withColumn("i0", F.col("i")).withColumn("j0", F.col("j")), "i"), "j")
-    pairs = pairs.join(number(anchors, "anchor"), GROUP)
+    pairs = cut(pairs.join(number(anchors, "anchor"), GROUP))
+    # a pair fills 16 cells on either side of the diagonal, a source 16 on it: at most 48 cells a pair
+    most = pairs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    small = 64 * most <= TASK_ENTRIES
     known = pairs_obs.withColumnRenamed("i", "i0").withColumnRenamed("j", "j0")
     obs = cut(known.join(pairs, [*GROUP, "i0", "j0"]).drop("i0", "j0").withColumn("w", F.lit(1.0)))
     members = numbered.select(*GROUP, F.col("at").alias("source_id")).join(number(anchors, "anchor"), GROUP)
+    met = pairs.select(*GROUP, "i", "j")
     weighted = obs
     for k in range(passes + 1):
         entries, rhs = _normal_entries(weighted)
-        solved = solve_spd(entries, rhs, GROUP, ["b"])
+        solved = solve_spd(entries, rhs, GROUP, ["b"], all_small=small)
         rows = (solved.select(*GROUP, F.expr("i div 4").alias("source_id"), F.expr("i % 4").alias("k"), "b")
                 .groupBy(*GROUP, "source_id")
                 .agg(*[F.max(F.when(F.col("k") == n, F.col("b"))).alias(c)
@@ -116,7 +120,7 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
                            sim(F.col("a"), F.col("b_"), F.col("tx"), F.col("ty")).alias("t"))
         fixed = members.filter("source_id = anchor").select(*GROUP, "source_id", sim(1.0, 0.0, 0.0, 0.0).alias("t"))
         placed = cut(free.unionByName(fixed))
-        weighted = _attach(obs.drop("w"), placed).withColumn(
+        weighted = _attach(obs.drop("w"), met, placed).withColumn(
             "w", F.when(F.col("r") <= huber_knee, F.lit(1.0)).otherwise(huber_knee / F.col("r")))
         if k < passes:
             weighted = weighted.drop("ti", "tj")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import sim_apply, sim_compose, sim_inverse
-from tessera.operators.solve import solve_spd
-from tessera.session import cut
+from tessera.operators.solve import TASK_ENTRIES, solve_spd
+from tessera.session import cut, release
 
 CUTOFF = 40.0
 SOURCE = ["set_id", "source_id"]
@@ -116,6 +116,8 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
     active = cons.select(*SOURCE).distinct()
     fixed = _regularity(verts, smoothness, rigidity).join(active, SOURCE, "left_semi")
     matrix = cut(data.unionByName(fixed).groupBy(*SOURCE, "i", "j").agg(F.sum("val").alias("val")))
+    most = matrix.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    small = most <= TASK_ENTRIES
     slot = (F.col("vr") * F.col("cols") + F.col("vc")).cast("bigint")
     every = cut(verts.select(*SOURCE, slot.alias("i"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).join(active, SOURCE, "left_semi"))
     mesh = verts.select(*SOURCE, "cols", "vr", "vc", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
@@ -146,11 +148,12 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
         taps = (pulls(mesh).select(*SOURCE, "bx", "by", F.explode("here").alias("s"))
                 .select(*SOURCE, F.col("s.i").alias("i"), (F.col("s.weight") * F.col("bx")).alias("dx"),
                         (F.col("s.weight") * F.col("by")).alias("dy")))
-        solved = solve_spd(matrix, taps.unionByName(every), SOURCE, ["dx", "dy"])
+        solved = solve_spd(matrix, taps.unionByName(every), SOURCE, ["dx", "dy"], all_small=small)
         fresh = solved.select(*SOURCE, F.col("i").alias("_i"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
-        mesh = cut(mesh.withColumn("_i", slot).join(fresh, [*SOURCE, "_i"], "left").select(
+        last, mesh = mesh, cut(mesh.withColumn("_i", slot).join(fresh, [*SOURCE, "_i"], "left").select(
             *SOURCE, "cols", "vr", "vc",
             (F.col("dx") + damping * (F.coalesce("nx", "dx") - F.col("dx"))).alias("dx"),
             (F.col("dy") + damping * (F.coalesce("ny", "dy") - F.col("dy"))).alias("dy")))
+        release(last)
     after = rms(mesh).withColumn("stage", F.lit("after"))
     return mesh.drop("cols"), before.unionByName(after)

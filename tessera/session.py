@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_WRITTEN: set[str] = set()
 
 
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,4 +59,27 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files behind tables that ``cut`` returned, once nothing reads them any more: rounds that a loop has left behind."""
+    for t in tables:
+        path = getattr(t, "_cut_path", None)
+        if path in _WRITTEN:
+            _delete(t.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every intermediate table that this process has written; for the end of a job, when its results are stored elsewhere."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.discard(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
