@@ -77,6 +77,10 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_p
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# base32 of a SHA-1: five hex digits are twenty bits are four letters
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(body), {5 * g + 1}, 5))::BIGINT >> {s}) & 31)::INT, 1)"
+                      for g in range(8) for s in (15, 10, 5, 0))
+
 ORACLE = {
     "op5_embedding_dedup": """
 WITH RECURSIVE v AS (
@@ -90,6 +94,12 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(low.low, e.vec_id)) AS component_id,
        e.vec_id = least(e.vec_id, coalesce(low.low, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_id""",
+    "op9_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, sha1(body) AS h FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > min(page_id) OVER same THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM d WINDOW same AS (PARTITION BY h)""",
     "op7_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line
