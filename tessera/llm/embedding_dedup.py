@@ -25,7 +25,7 @@ from tessera.operators.graph import connected_components
 from tessera.session import cut
 
 THRESHOLD = 0.95
-TILE = 2048
+TILE = 4096
 GRID_DIMS = 2
 LEAD = 16
 #: Slack of the bounds against rounding; the decision itself has none.
