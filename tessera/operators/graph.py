@@ -5,10 +5,9 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators.spread import dense_index
 from tessera.session import cut, release
@@ -108,75 +107,77 @@ def choose_model(pano_groups: DataFrame, strip_groups: DataFrame, spread: DataFr
                        F.when((strip > pano) | moved, "strip").otherwise("panorama").alias("model"))
 
 
-def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy growth of one bounded group over (source, other, weight) rows."""
-    near: dict[int, list] = {}
-    for r in pdf.itertuples():
-        near.setdefault(r.a, []).append((-r.n_inliers, r.a, r.b, r.b))
-        near.setdefault(r.b, []).append((-r.n_inliers, r.a, r.b, r.a))
-    seed = pdf.sort_values(["n_inliers", "a", "b"], ascending=[False, True, True]).iloc[0]
-    placed, order = set(), []
-    frontier: list = []
-
-    def place(node):
-        placed.add(node)
-        order.append(node)
-        for item in near[node]:
-            heapq.heappush(frontier, item)
-
-    place(seed.a)
-    place(seed.b)
-    while frontier:
-        node = heapq.heappop(frontier)[3]
-        if node not in placed:
-            place(node)
-    return pd.DataFrame({"set_id": pdf.set_id.iloc[0], "component": pdf.component.iloc[0],
-                         "source_id": order, "step": range(len(order))})
-
-
 _ORDER = "set_id bigint, component bigint, source_id bigint, step bigint"
-
-
-def placement_order(pairs: DataFrame, components: DataFrame | None = None,
-                    group_limit: int = 200_000) -> DataFrame:
+_EDGE = "set_id bigint, component bigint, a bigint, b bigint, n_inliers bigint"
+
+
+def _forest(t: pa.Table) -> pa.Table:
+    """The strongest spanning forest of a bounded batch of pairs; ties go to the lowest pair."""
+    a, b, n = (t[c].to_numpy() for c in ("a", "b", "n_inliers"))
+    order = np.lexsort((b, a, -n))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[:len(a)][order].tolist(), at[len(a):][order].tolist()
+    root = list(range(len(nodes)))
+    kept = []
+    for k, (x, y) in enumerate(zip(left, right)):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return t.take(pa.array(order[kept])).select(["set_id", "component", "a", "b", "n_inliers"])
+
+
+def _grow(t: pa.Table) -> pa.Table:
+    """Order of growth along the strongest spanning tree of a group."""
+    a, b, n = (t[c].to_pylist() for c in ("a", "b", "n_inliers"))
+    near: dict[int, list] = {}
+    for x, y, w in zip(a, b, n):
+        near.setdefault(x, []).append((-w, x, y, y))
+        near.setdefault(y, []).append((-w, x, y, x))
+    _, first, second = min((-w, x, y) for x, y, w in zip(a, b, n))
+    seen, order, open_ = {first, second}, [first, second], near[first] + near[second]
+    heapq.heapify(open_)
+    while open_:
+        node = heapq.heappop(open_)[3]
+        if node not in seen:
+            seen.add(node)
+            order.append(node)
+            for item in near[node]:
+                heapq.heappush(open_, item)
+    k = len(order)
+    return pa.table({"set_id": pa.repeat(t["set_id"][0], k), "component": pa.repeat(t["component"][0], k), "source_id": pa.array(order, pa.int64()),
+                     "step": pa.array(range(k), pa.int64())})
+
+
+def placement_order(pairs: DataFrame, components: DataFrame | None = None, chunk: int = 200_000) -> DataFrame:
     """Order in which the sources of a group are placed.
 
     The pair with most inliers seeds its group (lower source first); then always the unplaced
-    source with most inliers to any placed one (ties: lowest pair).  Groups with up to
-    ``group_limit`` pairs grow inside one task each; bigger ones grow together, one join per step.
-    """
-    cc = components if components is not None else set_components(pairs)
-    edges = (pairs.join(cc.withColumnRenamed("source_id", "a"), ["set_id", "a"])
-             .select("set_id", "component", "a", "b", F.col("n_inliers").cast("bigint").alias("n_inliers")))
-    sizes = edges.groupBy("set_id", "component").agg(F.count(F.lit(1)).alias("_e"))
-    sized = cut(edges.join(sizes, ["set_id", "component"]))
-    small = (sized.filter(F.col("_e") <= group_limit).drop("_e")
-             .groupBy("set_id", "component").applyInPandas(_grow, _ORDER))
-    big = sized.filter(F.col("_e") > group_limit).drop("_e")
-    return small if big.isEmpty() else small.unionByName(_grow_by_rounds(big))
-
+    source with most inliers to any placed one (ties: lowest pair).
 
-def _grow_by_rounds(edges: DataFrame) -> DataFrame:
+    Growth only ever uses pairs of the strongest spanning tree, and the tree of a group lies within the trees of any parts of its pairs.  So
+    pairs are dealt into parts of about ``chunk``, each part keeps its forest, and this repeats until a group is one part or stops
+    shrinking; what is left is at most one pair a source, and one task orders it.
+    """
     key = ["set_id", "component"]
-    lead = F.struct("n_inliers", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-    seed = edges.groupBy(*key).agg(F.max_by(F.struct("a", "b"), lead).alias("s"))
-    placed = cut(seed.select(*key, F.posexplode(F.array("s.a", "s.b")).alias("step", "source_id"))
-                 .select(*key, "source_id", F.col("step").cast("bigint").alias("step")))
-    step = 2
+    cc = components if components is not None else set_components(pairs)
+    edges = cut(pairs.join(cc.withColumnRenamed("source_id", "a"), ["set_id", "a"])
+                .select(*key, "a", "b", F.col("n_inliers").cast("bigint").alias("n_inliers")))
+    before = None
     while True:
-        done = placed.select(*key, "source_id")
-        ends = [edges.select(*key, "n_inliers", "a", "b", F.col(p).alias("source_id"), F.col(o).alias("node"))
-                for p, o in (("a", "b"), ("b", "a"))]
-        open_ends = (ends[0].unionByName(ends[1]).join(done, [*key, "source_id"]).drop("source_id")
-                     .join(done.withColumnRenamed("source_id", "node"), [*key, "node"], "left_anti"))
-        fresh = cut(open_ends.groupBy(*key).agg(F.max_by("node", lead).alias("source_id"))
-                    .withColumn("step", F.lit(step).cast("bigint")))
-        if fresh.isEmpty():
-            return placed.select(*key, "source_id", "step")
-        placed = placed.unionByName(fresh.select(*placed.columns))
-        if step % 10 == 0:
-            placed = cut(placed)
-        step += 1
+        sizes = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        parts = cut(sizes.filter(F.col("_n") > chunk).select(*key, F.ceil(F.col("_n") / chunk).cast("bigint").alias("_parts")))
+        left = parts.agg(F.sum("_parts")).first()[0]
+        if left is None or left == before:
+            break
+        dealt = edges.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), F.coalesce("_parts", F.lit(1).cast("bigint"))))
+        last, edges = edges, cut(dealt.groupBy(*key, "_part").applyInArrow(_forest, _EDGE))
+        release(last)
+        before = left
+    return edges.groupBy(*key).applyInArrow(_grow, _ORDER)
 
 
 def recognize_report(groups: DataFrame, pairs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,8 +145,8 @@ def test_groups_order_and_unplaced(spark):
     texts = [r.text for r in report.collect()]
     assert "group 1: 3 sources, 3 pairs" in texts and "s2 <-> s3: 20 inliers" in texts and "s5" in texts
     want = [(2, 0), (3, 1), (4, 2)]
-    for limit in (1000, 0):
-        order = graph.placement_order(pairs, group_limit=limit).collect()
+    for limit in (1000, 2):
+        order = graph.placement_order(pairs, chunk=limit).collect()
         got = {(r.set_id, r.component): [] for r in order}
         for r in sorted(order, key=lambda r: r.step):
             got[(r.set_id, r.component)].append(r.source_id)
@@ -152,6 +154,23 @@ def test_groups_order_and_unplaced(spark):
     assert want
 
 
+def test_growth_order_equals_plain_growth(spark):
+    rnd = random.Random(8)
+    pairs = sorted({(min(x), max(x)) for x in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(300)) if x[0] != x[1]} | {(k, k + 1) for k in range(59)})
+    rows = [(1, a, b, rnd.randrange(12)) for a, b in pairs]
+    best = min((-n, a, b) for _, a, b, n in rows)
+    order = [best[1], best[2]]
+    while len(order) < 60:
+        n, a, b = min((-n, a, b) for _, a, b, n in rows if (a in order) != (b in order))
+        order.append(b if a in order else a)
+    df = spark.createDataFrame(rows, PAIRS)
+    for chunk in (100_000, 70, 20):
+        got = sorted((r.step, r.source_id) for r in graph.placement_order(df, chunk=chunk).collect())
+        assert [s for _, s in got] == order
+    chain = spark.range(20_000).selectExpr("1L as set_id", "id as a", "id + 1 as b", "id % 7 as n_inliers")
+    assert graph.placement_order(chain, chunk=5000).agg(F.countDistinct("source_id"), F.max("step")).first() == (20_001, 20_000)
+
+
 def test_choose_model(spark):
     g = "set_id long, size long"
     pano = spark.createDataFrame([(1, 3), (2, 3), (3, 3)], g)
