@@ -171,28 +171,40 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str], value: str = "v") ->
             .select(*keys, "y", "x", (F.col("_l") - F.col("_r")).alias(value)))
 
 
+def _squares(cells: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Every 2 x 2 square that has a cell: keys, _y0, _x0 (its upper left), _n0.._n3 (which corners are there), values _0v.._3v."""
+    corner = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k // 2).alias("dy"), F.lit(k % 2).alias("dx")) for k in range(4)]))
+    sent = cells.select(*keys, "y", "x", *values, corner.alias("_c"))
+    here = [F.max(F.when(F.col("_c.k") == k, F.lit(1))).alias(f"_n{k}") for k in range(4)]
+    held = [F.max(F.when(F.col("_c.k") == k, F.col(v))).alias(f"_{k}{v}") for v in values for k in range(4)]
+    return sent.groupBy(*keys, (F.col("y") - F.col("_c.dy")).cast("int").alias("_y0"), (F.col("x") - F.col("_c.dx")).cast("int").alias("_x0")).agg(*here, *held)
+
+
 def bilinear_sample(points: DataFrame, cells: DataFrame, keys: list[str], point_key: list[str],
                     width, height, values: list[str] | None = None) -> DataFrame:
-    """Values at fractional positions px, py (clamped to the grid): keys, point_key, values."""
+    """Values at fractional positions px, py (clamped to the grid): keys, point_key, values.
+
+    A position next to a hole, where a cell that it needs is missing, has no value and no row.  Cells are gathered into their squares, so a
+    position is joined once and nothing is summed afterwards.
+    """
     values = values or ["v"]
     w, h = _size(width), _size(height)
     cx = F.least(F.greatest(F.col("px"), F.lit(0.0)), (w - 1).cast("double"))
     cy = F.least(F.greatest(F.col("py"), F.lit(0.0)), (h - 1).cast("double"))
-    placed = points.withColumns({"_cx": cx, "_cy": cy}).withColumns(
-        {"_x0": F.floor("_cx").cast("int"), "_y0": F.floor("_cy").cast("int")})
-    fx, fy = F.col("_cx") - F.col("_x0"), F.col("_cy") - F.col("_y0")
-    x1 = F.least(F.col("_x0") + 1, w - 1)
-    y1 = F.least(F.col("_y0") + 1, h - 1)
-
-    def tap(y, x, wt):
-        return F.struct(y.cast("int").alias("y"), x.cast("int").alias("x"), wt.alias("_wt"))
-
-    four = F.array(tap(F.col("_y0"), F.col("_x0"), (1 - fx) * (1 - fy)), tap(F.col("_y0"), x1, fx * (1 - fy)),
-                   tap(y1, F.col("_x0"), (1 - fx) * fy), tap(y1, x1, fx * fy))
-    taps = (placed.select(*keys, *point_key, F.explode(F.filter(four, lambda t: t["_wt"] > 0)).alias("t"))
-            .select(*keys, *point_key, "t.*"))
-    return (taps.join(cells.select(*keys, "y", "x", *values), [*keys, "y", "x"])
-            .groupBy(*keys, *point_key).agg(*[F.sum(F.col("_wt") * F.col(v)).alias(v) for v in values]))
+    placed = points.withColumns({"_cx": cx, "_cy": cy}).withColumns({"_x0": F.floor("_cx").cast("int"), "_y0": F.floor("_cy").cast("int")})
+    placed = placed.select(*keys, *point_key, "_x0", "_y0", (F.col("_cx") - F.col("_x0")).alias("_fx"), (F.col("_cy") - F.col("_y0")).alias("_fy"))
+    met = placed.join(_squares(cells, keys, values), [*keys, "_y0", "_x0"])
+    fx, fy = F.col("_fx"), F.col("_fy")
+    weight = [(1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy]
+    whole = F.lit(True)
+    for k in range(4):
+        whole = whole & (F.col(f"_n{k}").isNotNull() | (weight[k] <= 0))
+
+    def blend(v: str) -> Column:
+        parts = [F.when(weight[k] > 0, weight[k] * F.col(f"_{k}{v}")).otherwise(0.0) for k in range(4)]
+        return parts[0] + parts[1] + parts[2] + parts[3]
+
+    return met.filter(whole).select(*keys, *point_key, *[blend(v).alias(v) for v in values])
 
 
 def crop_cells(cells: DataFrame, x0, y0, width, height) -> DataFrame:

@@ -71,6 +71,13 @@ def test_resampling(spark):
     assert np.allclose(crop, a[1:3, 2:5])
 
 
+def test_samples_next_to_a_hole_have_no_value(spark):
+    df = spark.createDataFrame([(1, y, x, 1.0) for y in range(4) for x in range(4) if (y, x) != (1, 1)], "grid_id long, y int, x int, v double")
+    pts = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, 2.5, 2.5), (1, 2, 2.0, 1.0), (1, 3, 3.0, 3.0), (1, 4, 1.5, 1.0)], "grid_id long, pid long, px double, py double")
+    got = {r.pid: r.v for r in grids.bilinear_sample(pts, df, ["grid_id"], ["pid"], 4, 4).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 1.0}
+
+
 def test_blob_is_found_where_it_is(spark):
     yy, xx = np.mgrid[0:160, 0:160]
     a = 0.1 + 0.8 * np.exp(-((xx - 80) ** 2 + (yy - 72) ** 2) / (2 * 6.0 ** 2))
