@@ -382,7 +382,7 @@ def _(spark, sf):
     frame = cut(placement.frame_extent(placed, 100, ["set_id"]))
     top = cells.groupBy("set_id").agg(F.max("v").alias("top"))
     scaled = cells.join(top, "set_id").withColumn("v", F.col("v") / F.col("top")).drop("top")
-    out, _ = composite(scaled, placed, frame, 100, int(frame.first()["out_height"]))
+    out, _ = composite(scaled, placed, frame)
     return out.select("x", "y", rd("v", 5).alias("v"))
 
 

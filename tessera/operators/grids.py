@@ -25,6 +25,15 @@ def _size(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def sized(df: DataFrame, key: str, width: int | None, height: int | None, sizes: DataFrame | None, names: tuple[str, str]) -> DataFrame:
+    """Adds the output size as two columns: the same for all keys, or from ``sizes`` (key, width, height)."""
+    if sizes is None:
+        if width is None or height is None:
+            raise ValueError("give width and height, or sizes")
+        return df.withColumns({names[0]: F.lit(int(width)), names[1]: F.lit(int(height))})
+    return df.join(sizes.select(key, F.col("width").cast("int").alias(names[0]), F.col("height").cast("int").alias(names[1])), key)
+
+
 def tile_stencil(cells: DataFrame, keys: list[str], width, height, halo: int, inputs: list[str],
                  kernel: Kernel, outputs: list[str], carry: list[str] | None = None,
                  tile: int = TILE) -> DataFrame:

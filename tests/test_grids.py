@@ -247,7 +247,37 @@ def test_composite(spark):
     cells = cells.withColumn("v", F.when(F.col("source_id") == 0, 0.4).otherwise(0.5))
     frame = placement.frame_extent(src, 350, ["set_id"])
     for args in ({"blend": "mean"}, {"levels": 3, "low_width": 175, "gain": "block"}):
-        out, gains = composite(cells, src, frame, 350, 120, **args)
+        out, gains = composite(cells, src, frame, **args)
         r = out.agg(F.count("*").alias("n"), F.percentile_approx("v", 0.05).alias("lo"), F.max("v").alias("hi")).first()
         # the largest full block keeps at least the rows both 199 x 99 sources share
         assert r.n >= 75 * 340 and 0.42 < r.lo <= r.hi < 0.46
+
+
+def test_composite_of_sets_with_their_own_sizes(spark):
+    cells, src = flat_pair(spark)
+    cells = cells.filter("x < 80 and y < 60").withColumn("v", 0.3 + 0.1 * F.col("source_id") + F.col("x") * 0.001)
+    src = src.withColumns({"width": F.lit(80), "height": F.lit(60), "t": sim(F.lit(1.0), F.lit(0.0), 0.3 * F.col("tx"), 0.3 * F.col("ty"))})
+    small = placement.frame_extent(src, 90, ["set_id"])
+    large = placement.frame_extent(src.withColumn("set_id", F.lit(2).cast("bigint")), 125, ["set_id"])
+    two_cells = cells.unionByName(cells.withColumn("set_id", F.lit(2).cast("bigint")))
+    two_src = src.unionByName(src.withColumn("set_id", F.lit(2).cast("bigint")))
+    both, _ = composite(two_cells, two_src, small.unionByName(large), levels=3)
+    got = {(r.set_id, r.x, r.y): r.v for r in both.collect()}
+    for one in (small, large):
+        alone, _ = composite(two_cells, two_src, one, levels=3)
+        want = {(r.set_id, r.x, r.y): r.v for r in alone.collect()}
+        assert want and {k: v for k, v in got.items() if k[0] == next(iter(want))[0]} == pytest.approx(want)
+
+
+def test_composite_of_cameras(spark):
+    pan = [(1, s, [float(np.cos(p)), 0.0, float(-np.sin(p)), 0.0, 1.0, 0.0, float(np.sin(p)), 0.0, float(np.cos(p))], 60.0, 80, 60) for s, p in ((0, -0.3), (1, 0.3))]
+    cams = spark.createDataFrame(pan, "set_id long, source_id long, rot array<double>, focal double, width int, height int")
+    cells = spark.createDataFrame([(1, s, y, x, 0.4) for s in (0, 1) for y in range(60) for x in range(80)], "set_id long, source_id long, y int, x int, v double")
+    kind = F.lit("spherical")
+    frame = placement.angular_frame(cams, kind, 96, ["set_id"])
+    layer = lambda f: regrid.regrid_cameras(cells, cams, f, kind)
+    whole, gains = composite(None, None, frame, layers=layer, levels=3, crop=False)
+    covered = {(r.x, r.y) for r in layer(frame).collect()}
+    got = {(r.x, r.y): r.v for r in whole.collect()}
+    assert set(got) == covered and all(v == pytest.approx(0.4, abs=1e-6) for v in got.values())
+    assert {r.source_id for r in gains.collect()} == {0, 1}
