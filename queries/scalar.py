@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from queries.common import Registry, load, rd, sq
 from tessera.functions import plane, projective, similarity as S
 from tessera.operators.matching import feature_summary, top_k_response
-from tessera.operators.placement import auto_projection, natural_width, working_width
+from tessera.operators.placement import auto_projection, camera_widths, natural_width, strip_widths, working_width
 from tessera.session import checkpoint_dir
 from tessera.sources.files import exclude_own, normalize_catalog, scan_files, write_groups
 
@@ -348,4 +348,30 @@ def _(spark, sf):
                     auto_projection(F.col("span") * 5, choice).alias("projection"))
 
 
+# customers as the sources of their nations, the account balance standing for what varies between them
+_RIG = """c AS (SELECT c_nationkey::BIGINT AS set_id, c_custkey AS source_id, 1000 + 100 * (c_custkey % 7) AS width, 3000 + 50 * (c_custkey % 20) AS full_width,
+  700 + abs(c_acctbal) / 100 AS focal, 0.8 + 0.01 * (c_custkey % 40) AS sc FROM customer)"""
+
+
+def _rig(spark, sf):
+    k = F.col("c_custkey")
+    return load(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("set_id"), k.alias("source_id"), (1000 + 100 * (k % 7)).alias("width"),
+                                              (3000 + 50 * (k % 20)).alias("full_width"), (700 + F.abs("c_acctbal") / 100).alias("focal"),
+                                              S.sim_from_polar(0.8 + 0.01 * (k % 40), F.lit(0.3), F.lit(0.0), F.lit(0.0)).alias("t"))
+
+
+@R.add("camera_widths", f"""WITH {_RIG} SELECT set_id, least(greatest(1000, floor((1 + set_id % 9) * 0.5::DOUBLE * avg(focal * full_width / width))), 12000)::INT AS width FROM c GROUP BY set_id""")
+def _(spark, sf):
+    rig = _rig(spark, sf)
+    frame = rig.select("set_id").distinct().withColumn("extent_x", (1 + F.col("set_id") % 9) * 0.5)
+    return camera_widths(rig, rig, frame)
+
+
+@R.add("strip_widths", f"""WITH {_RIG} SELECT set_id, least(greatest(1000, floor(200 * (1 + set_id) * avg(full_width::DOUBLE / width / sc))), 20000)::INT AS width FROM c GROUP BY set_id""")
+def _(spark, sf):
+    rig = _rig(spark, sf)
+    frame = rig.select("set_id").distinct().withColumn("extent_x", 200.0 * (1 + F.col("set_id")))
+    return strip_widths(rig, rig, frame)
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -249,6 +249,28 @@ def natural_width(span: Column, px_per_unit: Column, cap: int) -> Column:
     return F.when(own.isNull(), 4000).otherwise(F.least(F.greatest(F.lit(1000), own), F.lit(cap))).cast("int")
 
 
+def camera_widths(cameras: DataFrame, catalog: DataFrame, frame: DataFrame, cap: int = 12_000) -> DataFrame:
+    """set_id, width: the output width at which a set of cameras keeps the mean resolution of its full-size sources.
+
+    ``cameras``: set_id, source_id, focal, width (as registered); ``catalog``: set_id, source_id, full_width; ``frame``: set_id, extent_x (angular).
+    """
+    per = F.avg(F.col("focal") * F.col("full_width") / F.col("width"))
+    return _widths(cameras.select("set_id", "source_id", "focal", "width"), catalog, frame, per, cap)
+
+
+def strip_widths(placements: DataFrame, catalog: DataFrame, frame: DataFrame, cap: int = 20_000) -> DataFrame:
+    """The same for sources placed by similarities (t) in a flat frame."""
+    per = F.avg(F.col("full_width") / F.col("width") / sim_scale(F.col("t")))
+    return _widths(placements.select("set_id", "source_id", "t", "width"), catalog, frame, per, cap)
+
+
+def _widths(placed: DataFrame, catalog: DataFrame, frame: DataFrame, per: Column, cap: int) -> DataFrame:
+    joined = placed.join(catalog.select("set_id", "source_id", "full_width"), ["set_id", "source_id"], "left")
+    found = joined.groupBy("set_id").agg(per.alias("_per"))
+    return (frame.select("set_id", "extent_x").join(found, "set_id", "left")
+            .select("set_id", natural_width(F.col("extent_x"), F.col("_per"), cap).alias("width")))
+
+
 def working_width(aspect: Column, base: int = 700, top: int = 2500) -> Column:
     """Width of the low-resolution pass for a flat frame with a fixed cell budget."""
     return F.greatest(F.lit(base), F.least(F.lit(top), F.floor(F.sqrt(base * base * 9 / 16 * aspect)))).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.projective import cam_homography, h_apply
 from tessera.functions.similarity import sim_apply, sim_compose, sim_inverse
 from tessera.operators.solve import TASK_ENTRIES, solve_spd
 from tessera.session import cut, release
@@ -86,8 +87,8 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
                        rigidity: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Offset surfaces that pull the two ends of every match together.
 
-    ``observations``: set_id, i, j, px, py, qx, qy.  ``placements``: set_id, source_id, t, width,
-    height.  Each match constrains both ends: where the partner (with its current offset) lands in the
+    ``observations``: set_id, i, j, px, py, qx, qy.  ``placements``: set_id, source_id, width, height and either t (similarities
+    into one frame) or rot and focal (cameras).  Each match constrains both ends: where the partner (with its current offset) lands in the
     own source, minus the own point.  Constraints off by 40 or more are dropped once at the start.  All
     sources move together, half way (``damping``) to their own least-squares surface per sweep.
 
@@ -97,16 +98,27 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
             for src, dst in ((("i", "px", "py", "j", "qx", "qy"), ("source_id", "x", "y", "other", "ux", "uy")),
                              (("j", "qx", "qy", "i", "px", "py"), ("source_id", "x", "y", "other", "ux", "uy")))]
     both = ends[0].unionByName(ends[1])
-    own = placements.select(*SOURCE, "t", "width", "height")
-    other = placements.select("set_id", F.col("source_id").alias("other"), F.col("t").alias("t_other"),
+    flat = "t" in placements.columns
+    how = ["t"] if flat else ["rot", "focal"]
+    own = placements.select(*SOURCE, *how, "width", "height")
+    other = placements.select("set_id", F.col("source_id").alias("other"), *[F.col(c).alias(c + "_other") for c in how],
                               F.col("width").alias("w_other"), F.col("height").alias("h_other"))
-    placed = (both.join(own, SOURCE).join(other, ["set_id", "other"])
-              .withColumn("rel", sim_compose(sim_inverse(F.col("t")), F.col("t_other"))))
-    tx, ty = sim_apply(F.col("rel"), F.col("ux"), F.col("uy"))
+    rel = (sim_compose(sim_inverse(F.col("t")), F.col("t_other")) if flat
+           else cam_homography(F.col("rot"), F.col("focal"), F.col("rot_other"), F.col("focal_other")))
+    placed = both.join(own, SOURCE).join(other, ["set_id", "other"]).withColumn("rel", rel)
+
+    def lands(x: Column, y: Column) -> tuple[Column, Column]:
+        """Where a point of the other source falls in the own one."""
+        if flat:
+            return sim_apply(F.col("rel"), x, y)
+        hx, hy = h_apply(F.col("rel"), x - F.col("w_other") / 2, y - F.col("h_other") / 2)
+        return hx + F.col("width") / 2, hy + F.col("height") / 2
+
+    tx, ty = lands(F.col("ux"), F.col("uy"))
     near = F.sqrt((tx - F.col("x")) ** 2 + (ty - F.col("y")) ** 2) < CUTOFF
     # the vertices around both ends never change, so they are worked out once and ride along
     cons = cut(placed.filter(near).select(
-        *SOURCE, "x", "y", "other", "ux", "uy", "rel",
+        *SOURCE, "x", "y", "other", "ux", "uy", "rel", "width", "height", "w_other", "h_other",
         _flat_stencil(F.col("x"), F.col("y"), F.col("width"), F.col("height"), spacing).alias("here"),
         _flat_stencil(F.col("ux"), F.col("uy"), F.col("w_other"), F.col("h_other"), spacing).alias("there")))
     verts = cut(_vertices(placements.select(*SOURCE, "width", "height").distinct(), spacing))
@@ -135,7 +147,7 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
         """How far every constraint still wants to move its own point."""
         moved = (cons.join(packed(current).withColumnRenamed("source_id", "other"), ["set_id", "other"])
                  .withColumns({"ox": read("there", "ax"), "oy": read("there", "ay")}).drop("ax", "ay"))
-        gx, gy = sim_apply(F.col("rel"), F.col("ux") + F.col("ox"), F.col("uy") + F.col("oy"))
+        gx, gy = lands(F.col("ux") + F.col("ox"), F.col("uy") + F.col("oy"))
         return moved.select(*SOURCE, "here", (gx - F.col("x")).alias("bx"), (gy - F.col("y")).alias("by"))
 
     def rms(current: DataFrame) -> DataFrame:

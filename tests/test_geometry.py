@@ -240,3 +240,21 @@ def test_offset_surface_absorbs_a_local_bump(spark):
                                 "set_id long, source_id long, pid long, x double, y double, width int, height int")
     off = surface.mesh_offset(far, mesh, ["pid"], 80).first()
     assert math.hypot(off.ox, off.oy) < 0.75
+
+
+def test_offset_surface_of_cameras(spark):
+    cams = rig(spark, (-0.1, 0.1), 800.0, 800, 600)
+    rows = []
+    turn = [np.array(r.rot).reshape(3, 3) for r in sorted(cams.collect(), key=lambda r: r.source_id)]
+    for x in range(330, 800, 30):
+        for y in range(30, 600, 30):
+            d = turn[0].T @ np.array([(x - 400) / 800, (y - 300) / 800, 1.0])
+            v = turn[1] @ d
+            qx, qy = 800 * v[0] / v[2] + 400, 800 * v[1] / v[2] + 300
+            bump = 6 * max(0.0, 1 - math.hypot(x - 550, y - 300) / 140)
+            if 0 <= qx < 800 and 0 <= qy < 600:
+                rows.append((1, 0, 1, float(x), float(y), float(qx + bump), float(qy + 0.4 * bump)))
+    obs = spark.createDataFrame(rows, "set_id long, i long, j long, px double, py double, qx double, qy double")
+    _, metrics = surface.fit_offset_surface(obs, cams, spacing=80)
+    m = {r.stage: r.rms for r in metrics.collect()}
+    assert len(rows) > 100 and 0.5 < m["before"] and m["after"] < m["before"] / 3
