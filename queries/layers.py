@@ -183,6 +183,15 @@ def _(spark, sf):
     return g.select("source_id", "br", "bc", "n_rows", "n_cols", rd("gain", 4).alias("gain"))
 
 
+@R.add("calibration_summary_blocks", f"""WITH RECURSIVE {_BLOCKS}, g AS (SELECT s, least(greatest(x[k], 0.5), 2) AS gain FROM sl JOIN ids USING (i), sol)
+  SELECT s AS source_id, count(*) AS blocks, 'layer ' || s || ' ' || printf('%.2f [%.2f, %.2f]', avg(gain), min(gain), max(gain)) AS text FROM g GROUP BY s""")
+def _(spark, sf):
+    d = layers(spark, sf)
+    names = d.select("set_id", "source_id").distinct().withColumn("name", F.concat(F.lit("layer "), F.col("source_id")))
+    g = overlap.calibrate_blocks(d, "v", blocks_across=4, min_block=4)
+    return overlap.calibration_summary(g, names).select("source_id", "blocks", "text")
+
+
 @R.add("coverage", f"WITH {_LAY} SELECT DISTINCT x, y FROM ly WHERE tent > 0.5")
 def _(spark, sf):
     return coverage.coverage(layers(spark, sf), weight="tent", eps=0.5).select("x", "y")

@@ -89,11 +89,11 @@ def _(spark, sf):
     return graph.connected_components(edges(spark, sf))
 
 
-@R.add("unplaced", f"{_GROUPS}, best AS (SELECT component FROM groups WHERE group_id = 1) SELECT DISTINCT label::BIGINT AS source_id FROM embeddings "
-                   "WHERE label NOT IN (SELECT node FROM cc JOIN best USING (component))")
+# every vector also names a source by its number, and half of these sources are in no group at all
+@R.add("unplaced", f"{_GROUPS} SELECT DISTINCT vec_id % 20 AS source_id FROM embeddings WHERE vec_id % 20 NOT IN (SELECT node FROM cc)")
 def _(spark, sf):
-    groups = graph.assemble_groups(edges(spark, sf)).filter("group_id = 1")
-    return graph.unplaced(features(spark, sf).select("set_id", "source_id").distinct(), groups).select("source_id")
+    known = load(spark, sf, "embeddings").select(F.lit(1).cast("bigint").alias("set_id"), (F.col("vec_id") % 20).alias("source_id")).distinct()
+    return graph.unplaced(known, graph.assemble_groups(edges(spark, sf))).select("source_id")
 
 
 @R.add("recognize_report", f"""{_GROUPS}, nm AS (SELECT DISTINCT label::BIGINT AS label, 'source ' || label AS name FROM embeddings)
