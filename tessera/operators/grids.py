@@ -36,11 +36,12 @@ def sized(df: DataFrame, key: str, width: int | None, height: int | None, sizes:
 
 def tile_stencil(cells: DataFrame, keys: list[str], width, height, halo: int, inputs: list[str],
                  kernel: Kernel, outputs: list[str], carry: list[str] | None = None,
-                 tile: int = TILE) -> DataFrame:
+                 tile: int = TILE, chained: bool = False) -> DataFrame:
     """Apply ``kernel`` to every tile.
 
     The kernel gets each input padded by ``halo`` on all sides (edge values repeated beyond the grid)
-    and returns arrays of the tile's own size.  ``carry`` columns pass through unchanged.
+    and returns arrays of the tile's own size.  A ``chained`` kernel also gets how many rows and columns of the padding lie beyond the grid
+    and returns arrays of the padded size.  ``carry`` columns pass through unchanged.
     """
     carry = carry or []
     values = list(dict.fromkeys([*inputs, *carry]))
@@ -70,10 +71,11 @@ def tile_stencil(cells: DataFrame, keys: list[str], width, height, halo: int, in
             a = np.zeros((wy1 - wy0, wx1 - wx0))
             a[at] = pdf[c].to_numpy()
             padded[c] = np.pad(a, pad, mode="edge")
-        done = kernel({c: padded[c] for c in inputs})
         core = (slice(halo, halo + y1 - y0), slice(halo, halo + x1 - x0))
+        given = {c: padded[c] for c in inputs}
+        done = {c: a[core] for c, a in kernel(given, pad).items()} if chained else kernel(given)
         yy, xx = np.mgrid[y0:y1, x0:x1]
-        out = {k: [pdf[k].iloc[0]] * yy.size for k in keys}
+        out = {k: pd.Series([pdf[k].iloc[0]]).repeat(yy.size).to_numpy() for k in keys}
         out.update({"y": yy.ravel().astype("int32"), "x": xx.ravel().astype("int32")})
         out.update({c: padded[c][core].ravel() for c in carry})
         out.update({c: np.asarray(done[c], dtype=float).ravel() for c in outputs})
@@ -238,29 +240,46 @@ def octave_count(width: int, height: int) -> int:
     return max(1, int(math.floor(math.log2(min(width, height)))) - 3)
 
 
+def _blur_chain(sigmas: list[float]) -> tuple[int, Callable]:
+    """Halo and kernel that blur level 0 into all levels of an octave.
+
+    Every level is padded anew from its own edge values where the grid ends, so a tile holds what the whole grid would.
+    """
+    taps = [gaussian_taps(s) for s in sigmas]
+
+    def kernel(a: dict[str, np.ndarray], beyond: tuple) -> dict[str, np.ndarray]:
+        (top, bottom), (left, right) = beyond
+        level, out = a["g0"], {}
+        rows, cols = level.shape
+        for i, t in enumerate(taps, start=1):
+            level = _separable(np.pad(level, len(t) // 2, mode="edge"), t)
+            inner = level[top:rows - bottom, left:cols - right]
+            level = np.pad(inner, ((top, bottom), (left, right)), mode="edge")
+            out[f"g{i}"] = level
+        return out
+
+    return sum(len(t) // 2 for t in taps), kernel
+
+
 def scale_space(cells: DataFrame, keys: list[str], width: int, height: int, steps: int = 3,
                 sigma0: float = 1.6, double: bool = False) -> DataFrame:
     """Blur levels g0..g{S+2} and their differences d0..d{S+1} for every octave.
 
-    One wide row per cell: keys, octave, width, height, y, x, g*, d*.  Each level is blurred from the
-    one before and rides along as a column, so an octave is a single chain without joins; the next octave
-    starts from level S with every other row and column.
+    One wide row per cell: keys, octave, width, height, y, x, g*, d*.  Each level is blurred from the one before, all levels of an
+    octave inside one pass over its tiles; the next octave starts from level S with every other row and column.
     """
     w, h = width, height
     base = cells.select(*keys, "y", "x", "v")
     if double:
         base, w, h = upsample2(base, keys, w, h), w * 2, h * 2
     level = gaussian_smooth(base, keys, w, h, base_sigma(sigma0, double=double), ["v"], ["g0"])
-    sigmas = level_sigmas(steps, sigma0)
+    halo, kernel = _blur_chain(level_sigmas(steps, sigma0))
+    names = [f"g{i}" for i in range(1, steps + 3)]
     octaves = []
     for octave in range(octave_count(w, h)):
-        for i, s in enumerate(sigmas, start=1):
-            level = gaussian_smooth(level, keys, w, h, s, [f"g{i - 1}"], [f"g{i}"],
-                                    carry=[f"g{k}" for k in range(i)])
-        level = cut(level)
+        level = cut(tile_stencil(level, keys, w, h, halo, ["g0"], kernel, names, carry=["g0"], chained=True))
         octaves.append(level.select(
-            *keys, F.lit(octave).alias("octave"), F.lit(w).alias("width"), F.lit(h).alias("height"), "y", "x",
-            *[f"g{i}" for i in range(steps + 3)],
+            *keys, F.lit(octave).alias("octave"), F.lit(w).alias("width"), F.lit(h).alias("height"), "y", "x", "g0", *names,
             *[(F.col(f"g{i + 1}") - F.col(f"g{i}")).alias(f"d{i}") for i in range(steps + 2)]))
         level = decimate2(level.select(*keys, "y", "x", F.col(f"g{steps}").alias("g0")), w, h)
         w, h = max(1, w // 2), max(1, h // 2)
