@@ -113,11 +113,23 @@ def gaussian_smooth(cells: DataFrame, keys: list[str], width, height, sigma: flo
     return tile_stencil(cells, keys, width, height, len(taps) // 2, values, kernel, into, carry)
 
 
-def dense_grid(cells: DataFrame, keys: list[str], width: int, height: int, value: str = "v") -> DataFrame:
-    """Every cell of every grid, 0 where there was none."""
-    grids = cells.select(*keys).distinct()
-    full = (grids.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-            .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))))
+ROW_BLOCK = 4096
+
+
+def dense_grid(cells: DataFrame, keys: list[str], width: int | None = None, height: int | None = None, value: str = "v") -> DataFrame:
+    """Every cell of every grid, 0 where there was none.
+
+    Without a size the grids reach as far as any of their cells; cells beyond a given size are left out.  Rows are laid out in blocks, so
+    neither a tall grid nor few grids end up in few tasks.
+    """
+    if width is None or height is None:
+        far = cells.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+        width = (far["x"] if far["x"] is not None else -1) + 1 if width is None else width
+        height = (far["y"] if far["y"] is not None else -1) + 1 if height is None else height
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, height - 1) // ROW_BLOCK)))
+    laid = cells.select(*keys).distinct().withColumn("_block", blocks).repartition(*keys, "_block")
+    rows = F.explode(F.sequence(F.col("_block") * ROW_BLOCK, F.least(F.lit(height - 1), F.col("_block") * ROW_BLOCK + ROW_BLOCK - 1)))
+    full = laid.withColumn("y", rows).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).drop("_block")
     return full.join(cells.select(*keys, "y", "x", value), [*keys, "y", "x"], "left").withColumn(
         value, F.coalesce(value, F.lit(0.0)))
 

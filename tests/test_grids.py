@@ -281,3 +281,11 @@ def test_composite_of_cameras(spark):
     got = {(r.x, r.y): r.v for r in whole.collect()}
     assert set(got) == covered and all(v == pytest.approx(0.4, abs=1e-6) for v in got.values())
     assert {r.source_id for r in gains.collect()} == {0, 1}
+
+
+def test_dense_grids_reach_as_far_as_their_cells(spark):
+    df = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 9000, 30, 2.0), ("b", 3, 1, 3.0)], "k string, y int, x int, v double")
+    full = grids.dense_grid(df, ["k"])
+    assert full.count() == 2 * 9001 * 31 and full.agg(F.sum("v")).first()[0] == 6.0
+    assert grids.dense_grid(df, ["k"], 4, 5).count() == 2 * 4 * 5
+    assert grids.dense_grid(df.limit(0), ["k"]).count() == 0
