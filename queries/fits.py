@@ -324,7 +324,7 @@ def _(spark, sf):
                     rd("extent_y").alias("extent_y"), rd("scale", 4).alias("scale"), "out_height")
 
 
-_MESH = f"""pt AS (SELECT l_suppkey AS set_id, l_orderkey, l_linenumber, l_partkey, ({_ID} % 830 - 10)::DOUBLE AS x, ({_ID} * 7 % 610 - 5)::DOUBLE AS y FROM lineitem),
+_MESH = f"""pt AS (SELECT DISTINCT l_suppkey AS set_id, l_orderkey, l_linenumber, l_partkey, ({_ID} % 830 - 10)::DOUBLE AS x, ({_ID} * 7 % 610 - 5)::DOUBLE AS y FROM lineitem),
 g AS (SELECT *, least(greatest(x, 0), 800) / 800 * 8 AS gx, least(greatest(y, 0), 600) / 600 * 6 AS gy FROM pt),
 c AS (SELECT *, least(floor(gx), 7) AS c0, least(floor(gy), 5) AS r0 FROM g),
 f AS (SELECT *, gx - c0 AS fx, gy - r0 AS fy FROM c)"""
@@ -342,13 +342,13 @@ def _(spark, sf):
     ident = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
     pts = li.select(F.col("l_suppkey").alias("set_id"), F.lit(0).cast("bigint").alias("source_id"), "l_orderkey", "l_linenumber", "l_partkey",
                     (ident % 830 - 10).cast("double").alias("x"), (ident * 7 % 610 - 5).cast("double").alias("y"),
-                    F.lit(800).alias("width"), F.lit(600).alias("height"))
+                    F.lit(800).alias("width"), F.lit(600).alias("height")).distinct()
     mesh = (pts.select("set_id", "source_id").distinct().withColumn("vr", F.explode(F.sequence(F.lit(0), F.lit(6))))
             .withColumn("vc", F.explode(F.sequence(F.lit(0), F.lit(8))))
             .withColumn("dx", (F.col("vr") * 3 + F.col("vc") + F.col("set_id") % 5).cast("double"))
             .withColumn("dy", (F.col("vr") - F.col("vc")).cast("double")))
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
-    # line items can repeat within an order line, so the supplier is part of the grouping key
+    # line items can repeat within an order line, so the supplier is part of the grouping key and copies count once
     got = surface.mesh_offset(pts, mesh, ["set_id", *key], 100)
     return got.select(*key, rd("ox").alias("ox"), rd("oy").alias("oy"))
 

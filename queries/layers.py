@@ -184,7 +184,7 @@ def _(spark, sf):
 
 
 @R.add("calibration_summary_blocks", f"""WITH RECURSIVE {_BLOCKS}, g AS (SELECT s, least(greatest(x[k], 0.5), 2) AS gain FROM sl JOIN ids USING (i), sol)
-  SELECT s AS source_id, count(*) AS blocks, 'layer ' || s || ' ' || printf('%.2f [%.2f, %.2f]', avg(gain), min(gain), max(gain)) AS text FROM g GROUP BY s""")
+  SELECT s AS source_id, count(*) AS blocks, 'layer ' || s || ' ' || CASE WHEN count(*) = 1 THEN printf('%.2f', avg(gain)) ELSE printf('%.2f [%.2f, %.2f]', avg(gain), min(gain), max(gain)) END AS text FROM g GROUP BY s""")
 def _(spark, sf):
     d = layers(spark, sf)
     names = d.select("set_id", "source_id").distinct().withColumn("name", F.concat(F.lit("layer "), F.col("source_id")))
