@@ -14,7 +14,7 @@ are left as well, so a dense ball of near copies costs no square of its size, an
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -48,9 +48,9 @@ def _words(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the lower-cased word ``width``-shingles; 0 for a text without words."""
-    counts, n, rest = np.zeros((8, 256), np.int64), 0, []
+def shingle_digests(text: str | None, width: int) -> Iterator[bytes]:
+    """The 8-byte digests of the lower-cased word ``width``-shingles, block by block; a text of fewer words is one shingle."""
+    some, rest = False, []
     digest = xxhash.xxh64_digest
     for block in _words((text or "").encode("utf-8", "surrogatepass").lower()):
         words = rest + block
@@ -58,13 +58,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
             joined = b" ".join(words)
             ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
             starts = [0] + [e + 1 for e in ends[:len(words) - width]]
-            raw = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1:])])
-            data = np.frombuffer(raw, np.uint8).reshape(-1, 8)
-            counts += np.bincount((data + _BYTE).ravel(), minlength=2048).reshape(8, 256)
-            n += len(data)
+            yield b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1:])])
+            some = True
         rest = words[max(0, len(words) - width + 1):]
-    if not n:
-        return int.from_bytes(digest(b" ".join(rest), SEED), "big") if rest else 0
+    if rest and not some:
+        yield digest(b" ".join(rest), SEED)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of the lower-cased word ``width``-shingles; 0 for a text without words."""
+    counts, n = np.zeros((8, 256), np.int64), 0
+    for raw in shingle_digests(text, width):
+        data = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+        counts += np.bincount((data + _BYTE).ravel(), minlength=2048).reshape(8, 256)
+        n += len(data)
     return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big")
 
 
@@ -252,7 +259,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
     Rows with a null key stay where their group has no key at all.  Of repeated rows one stays.
     """
-    found = near_duplicates(docs, key, **options)
+    width = options.get("width", 3)
+    return keep_lowest(docs, near_duplicates(docs, key, **options), lambda t: f"{fingerprint(t, width):016x}", key, options.get("text", "text"))
+
+
+def keep_lowest(docs: DataFrame, found: DataFrame, mark: Callable[[str | None], str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest key of each group in ``found`` (key, fingerprint, component_id); ``mark`` gives a text's fingerprint."""
     stay = (found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay_key"), F.col("fingerprint").alias("_stay_fp"))
             .distinct())
     # a fingerprint tells apart texts that share a key
@@ -263,11 +275,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
         return plain
     repeated = docs.join(again, docs[key].eqNullSafe(F.col("_again")), "left_semi")
     names = repeated.columns
-    packed = repeated.select(F.col(key).alias("_key"), F.col(options.get("text", "text")).alias("_text"), F.struct("*").alias("_row"))
+    packed = repeated.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
 
     def work(rows):
         for k, t, row in rows:
-            yield k, f"{fingerprint(t, options.get('width', 3)):016x}", row
+            yield k, mark(t), row
 
     hashed = map_rows(packed, f"_key {docs.schema[key].dataType.simpleString()}, _fp string, _row {repeated.schema.simpleString()}", work)
     one = (hashed.join(stay, F.col("_key").eqNullSafe(F.col("_stay_key")) & (F.col("_fp") == F.col("_stay_fp")), "left_semi")

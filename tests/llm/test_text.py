@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_dedup, mixing, pii, simhash, token_counts
+import corpus_pipeline
+from tessera.llm import bpe, line_dedup, mixing, near_copies, pii, simhash, token_counts
 from tessera.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +68,75 @@ def test_simhash_equals_brute_force(spark):
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(k, f"{codes[k]:016x}", label[k]) for k in codes}
 
 
+def five_words(text: str | None) -> frozenset:
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def edited(rnd, words: list[str], n: int) -> list[str]:
+    words = list(words)
+    for _ in range(n):
+        words[rnd.randrange(len(words))] = f"new{rnd.randrange(10**6)}"
+    return words
+
+
+def copies() -> list[tuple[int, str]]:
+    """Given documents, copies with more and more edits, a large group of copies of one text, unlike texts with a passage in common."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for _ in range(25):
+        base = fresh(rnd.randrange(12, 400))
+        rows += [base, *(edited(rnd, base, max(1, len(base) * part // 1000)) for part in (5, 15, 22, 25, 35))]
+    base, passage = fresh(150), fresh(60)
+    rows += [edited(rnd, base, rnd.randrange(1, 6)) for _ in range(60)]
+    rows += [passage + fresh(rnd.randrange(5, 60)) for _ in range(60)] + [passage[:50] + fresh(3) for _ in range(10)]
+    rows += [[], [], ["one"], ["ONE"], ["one", "two"], base, base]
+    rnd.shuffle(rows)
+    return [(k, " ".join(r)) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("crowd", [300, 8])
+def test_near_copies_equal_brute_force(spark, crowd):
+    rows = copies() + [(10_000 + k, t) for k, t in documents(spark)] if crowd == 300 else copies()
+    sets = {k: five_words(t) for k, t in rows}
+    label, keys, whole = {k: k for k in sets}, sorted(sets), []
+    for i, a in enumerate(keys):
+        for b in keys[i + 1:]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and both:
+                whole.append((a, b))
+    while (more := [(a, b) for a, b in whole if label[a] != label[b]]):
+        for a, b in more:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies.near_copies(docs, crowd=crowd).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == label and len(got) == len(rows)
+    if crowd == 300:  # what the pipeline's stage keeps
+        assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()) == sorted(set(label.values()))
+
+
+def test_sketches_differ_no_more_than_sets():
+    rnd = random.Random(9)
+    for _ in range(50):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(1, 900))]
+        a, b = (near_copies.shingle_set(" ".join(w)) for w in (words, edited(rnd, words, rnd.randrange(1, 20))))
+        x, y = (near_copies.sketch(s).view(np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_edge_cases(spark):
+    docs = odd_docs(spark)
+    got = near_copies.near_copies(docs).collect()
+    assert len(got) == docs.count()
+    by = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
+    assert by == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9}
+    assert sorted(r["component_id"] for r in got if r["doc_id"] is None) == [1, 4]
+    stay = near_copies.keep_first(docs)
+    assert stay.columns == docs.columns and sorted(r["doc_id"] for r in stay.collect()) == [1, 4, 6, 7, 9]
+    assert near_copies.near_copies(docs.limit(0)).collect() == [] and near_copies.keep_first(docs.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("cell", [4096, 8])
 def test_simhash_forest_connects_what_links_connect(spark, cell):
     rnd = random.Random(5)
