@@ -289,3 +289,14 @@ def test_dense_grids_reach_as_far_as_their_cells(spark):
     assert full.count() == 2 * 9001 * 31 and full.agg(F.sum("v")).first()[0] == 6.0
     assert grids.dense_grid(df, ["k"], 4, 5).count() == 2 * 4 * 5
     assert grids.dense_grid(df.limit(0), ["k"]).count() == 0
+
+
+def test_days_are_counted_from_the_first_date(spark, tmp_path):
+    from queries.grid import day_hours
+
+    rows = [("a", "2024-01-31 05:00:00", 2.0), ("a", "2024-01-01 05:00:00", 4.0), ("a", "2024-02-01 05:00:00", 6.0)]
+    spark.createDataFrame(rows, "event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    grid, days = day_hours(spark, str(tmp_path))
+    cells = grid.collect()
+    assert days == 32 and len(cells) == 32 * 24
+    assert {(r.y, r.x): r.v for r in cells if r.v} == {(0, 5): 1.0, (30, 5): 0.5, (31, 5): 1.5}
