@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def edited(text: str, sizes: list[int], tree: list[int], edits: list[tuple[int,
     if not leaves:
         new = "".join(r for _, _, r in edits)
         sizes = cuts(new)
-        marks = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+        marks = [0, *accumulate(sizes)]
         return new, sizes, grown([count(new[a:b]) for a, b in zip(marks, marks[1:])]), len(new)
     # runs of touched leaves; touching the rim of a leaf counts for both sides
     runs: list[list] = []
@@ -116,25 +117,34 @@ def edited(text: str, sizes: list[int], tree: list[int], edits: list[tuple[int,
                 break
         done.append((lo, hi, own, new))
     out, at, worked = [], 0, 0
+    base = len(tree) // 2
+    fresh: list[tuple[int, int, list[int], list[int]]] = []  # runs: first and last leaf, new sizes and counts
     for lo, hi, _, new in done:
         parts = cuts(new)
+        marks = [0, *accumulate(parts)]
+        fresh.append((lo, hi, parts, [count(new[a:b]) for a, b in zip(marks, marks[1:])]))
+        worked += len(new)
+        out += [text[at:ends[lo - 1] if lo else 0], new]
+        at = ends[hi]
+    text = "".join([*out, text[at:]])
+    if any(len(parts) > hi - lo + 1 for lo, hi, parts, _ in fresh):
+        # a run that has grown gets leaves of its own: the tree is laid out anew from known counts, nothing else is encoded
+        counts, grown_sizes, grown_counts, at = tree[base:base + leaves], [], [], 0
+        for lo, hi, parts, found in fresh:
+            grown_sizes += [*sizes[at:lo], *parts]
+            grown_counts += [*counts[at:lo], *found]
+            at = hi + 1
+        return text, [*grown_sizes, *sizes[at:]], grown([*grown_counts, *counts[at:]]), worked
+    for lo, hi, parts, found in fresh:
         slots = hi - lo + 1
-        if len(parts) > slots:
-            parts = parts[:slots - 1] + [sum(parts[slots - 1:])]
-        parts += [0] * (slots - len(parts))
-        p = 0
-        for i, size in enumerate(parts):
+        for i, (size, n) in enumerate(zip(parts + [0] * (slots - len(parts)), found + [0] * (slots - len(found)))):
             sizes[lo + i] = size
-            node = len(tree) // 2 + lo + i
-            change = (count(new[p:p + size]) if size else 0) - tree[node]
-            p += size
+            node = base + lo + i
+            change = n - tree[node]
             while node and change:
                 tree[node] += change
                 node //= 2
-        worked += len(new)
-        out += [text[at:ends[lo - 1] if lo else 0], new]
-        at = ends[hi]
-    return "".join([*out, text[at:]]), sizes, tree, worked
+    return text, sizes, tree, worked
 
 
 def _char_before(done: list[tuple[int, int, list, str]], text: str, ends: list[int], begin: int) -> str:
@@ -185,7 +195,10 @@ def apply_edits(trees: DataFrame, path: str, edits: str = "edits") -> DataFrame:
 
 
 def with_masks(trees: DataFrame) -> DataFrame:
-    """Add an ``edits`` column that replaces every mail address and long number by a mark."""
+    """Add an ``edits`` column that replaces every mail address and long number by a mark.
+
+    A row without any, an empty text included, has an empty list.  Rows come back as often as they come, with any key; an empty table gives an empty result.
+    """
     def work(rows):
         for k, t, sizes, tree in rows:
             yield k, t, sizes, tree, [{"start": m.start(), "end": m.end(), "replacement": "<masked>"} for m in MASK.finditer(t)]

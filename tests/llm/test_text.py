@@ -261,6 +261,18 @@ def test_token_counts_follow_random_edits():
             assert all(tree[i] == tree[2 * i] + tree[2 * i + 1] for i in range(1, len(tree) // 2))
 
 
+def test_token_counts_stay_local_after_growth():
+    text = "word " * 40
+    sizes = token_counts.cuts(text)
+    tree = token_counts.grown([count(text[:sizes[0]])] if len(sizes) == 1 else [count(text)])
+    text, sizes, tree, worked = token_counts.edited(text, sizes, tree, [(100, 100, "more words " * 9000)], count)
+    assert tree[1] == count(text) and max(sizes) < 2 * token_counts.LEAF
+    text, sizes, tree, worked = token_counts.edited(text, sizes, tree, [(50_000, 50_002, "x")], count)
+    assert tree[1] == count(text) and worked < 4 * token_counts.LEAF
+    text, sizes, tree, worked = token_counts.edited(text, sizes, tree, [(500, 90_000, ""), (95_000, 95_000, " y " * 2000)], count)
+    assert tree[1] == count(text) and sum(sizes) == len(text)
+
+
 def test_token_counts_encode_little(spark):
     path = BYTE_BPE
     trees = token_counts.build(odd_docs(spark), path)
