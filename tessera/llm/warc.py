@@ -23,6 +23,7 @@ from tessera.session import checkpoint_dir, cut
 BLOCK = 1 << 16
 #: A file is closed when it has reached so many bytes.
 FILE_BYTES = 256 << 20
+MOST_READERS = 20_000
 VERSION = b"WARC/1.1"
 NAMESPACE = uuid.UUID("8f1c0f3e-0d5c-4a39-9a52-7f0a3c1f6b11")
 
@@ -172,7 +173,14 @@ RECORD = "path string, at long, record_type string, page string, refers_to strin
 
 
 def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """path (one archive a row) -> its records in order, every one verified; a broken archive fails the job and names the file."""
+    """path (one archive a row) -> its records in order, every one verified; a broken archive fails the job and names the file.
+
+    Archives are dealt to as many tasks as there are archives, up to ``MOST_READERS``.  An empty archive has no records, and no archives give an empty result;
+    a path that is listed twice is read twice, and a null path is passed over.
+    """
+    files = files.filter(F.col("path").isNotNull())
+    readers = max(1, min(files.count(), MOST_READERS))
+
     def read(items):
         for (path,) in items:
             store, inner = _store(path)
@@ -187,7 +195,8 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
                 except BadRecord as e:
                     raise BadRecord(f"{path}: {e}") from e
 
-    return map_rows(files.select("path").repartition("path"), RECORD, read)
+    # an explicit number: rows this short would all be put into one task otherwise
+    return map_rows(files.select("path").repartition(readers, "path"), RECORD, read)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", folder: str | None = None, **options) -> DataFrame:
