@@ -99,7 +99,8 @@ def draw(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mix as documents: each row of ``docs`` as often as it was taken, all columns as they are.
 
     Documents stay whole: one that the budget cuts is taken if at least half of it fits.  Rows that share key, source and size
-    each get the rounded mean of their numbers.
+    each get the rounded mean of their numbers.  A document without words (null or empty text) is never taken.  Null keys and null sources are drawn like any
+    other.  An empty table gives an empty result.
     """
     mixed = mix(docs, key, text, source, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
