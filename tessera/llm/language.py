@@ -16,14 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessera.llm.common import give_back
 from tessera.llm.mixing import uniform
+from tessera.operators.spread import top_n
 
-#: The fit is bounded: so many characters a language and so many languages, the most frequent ones, are learned at most.
-FIT_CHARS = 40_000
+#: The fit is bounded: so many characters a language from so many rows, so many languages, the most frequent ones, and so many characters in all (their
+#: tables take about 370 bytes a character in every worker).
+FIT_CHARS, FIT_ROWS = 40_000, 4096
 FIT_LANGUAGES = 64
+FIT_TOTAL = 640_000
 UNKNOWN = "und"
 ALPHABET = 64
 #: Characters of a stretch that is parsed on its own, and of a group of stretches that advance together.
@@ -169,31 +175,37 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", fit_chars: int = FIT_CHARS,
-        fit_languages: int = FIT_LANGUAGES) -> Model:
+        fit_languages: int = FIT_LANGUAGES, fit_total: int = FIT_TOTAL) -> Model:
     """Learn from rows that are not held out and have both text and label.
 
-    The sample is bounded: ``fit_chars`` characters for each of the ``fit_languages`` most frequent labels.  Rows come in the order of a number
-    drawn from the key; the last row, or one longer than the bound, is learned up to the bound.
+    The sample is bounded: the ``fit_languages`` most frequent labels, ``fit_chars`` characters for each or its share of ``fit_total``, from ``FIT_ROWS``
+    rows at most.  Rows are taken in the order of a number drawn from the key (ties: shorter texts first) until the characters suffice, so every one of these labels is learned; the
+    last row, or one longer than the bound, is learned up to the bound.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter(
         ~held_out(F.col("key")) & F.col("text").rlike(r"\p{L}") & F.col("label").isNotNull() & (F.col("label") != UNKNOWN))
-    sizes = (rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.length("text"), F.lit(fit_chars))).alias("chars"))
-             .orderBy(F.desc("n"), "label").limit(fit_languages).collect())
-    if not sizes:
+    names = [r["label"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(fit_languages).collect()]
+    if not names:
         return Model({})
-    chance = F.lit(0.0)
-    for r in sizes:
-        chance = F.when(F.col("label") == r["label"], F.lit(4.0 * fit_chars / max(1, r["chars"]))).otherwise(chance)
-    drawn = (rows.withColumn("u", uniform(F.col("key"))).filter(F.col("u") < chance)
-             .select("label", "u", F.substring("text", 1, fit_chars).alias("text")))
-    got: dict[str, list] = {r["label"]: [] for r in sizes}
-    for r in drawn.collect():
-        got[r["label"]].append((r["u"], r["text"]))
-    texts = {}
-    for name, found in got.items():
-        if joined := " ".join(t for _, t in sorted(found))[:fit_chars]:
-            texts[name] = joined
-    return Model(texts)
+    fit_chars = min(fit_chars, max(1, fit_total // len(names)))
+    some = rows.filter(F.col("label").isin(names)).select("label", uniform(F.col("key")).alias("u"), F.least(F.length("text"), F.lit(fit_chars)).alias("size"),
+                                                        F.substring("text", 1, fit_chars).alias("text"))
+    # first without texts: how many rows of each label it takes
+    order = [F.asc("u"), F.asc("size")]
+    first = top_n(some.drop("text"), ["label"], order, FIT_ROWS)
+    held = F.sum("size").over(Window.partitionBy("label").orderBy("rank")) - F.col("size")
+    need = {r["label"]: (r["u"], r["rank"]) for r in first.withColumn("_before", held).filter(F.col("_before") < fit_chars)
+            .groupBy("label").agg(F.max("u").alias("u"), F.max("rank").alias("rank")).collect()}
+    last = F.lit(-1.0)
+    for name, (u, _) in need.items():
+        last = F.when(F.col("label") == name, F.lit(u)).otherwise(last)
+    most = F.lit(0)
+    for name, (_, rank) in need.items():
+        most = F.when(F.col("label") == name, F.lit(rank)).otherwise(most)
+    got: dict[str, list] = {name: [] for name in need}
+    for r in top_n(some.filter(F.col("u") <= last), ["label"], order, FIT_ROWS).filter(F.col("rank") <= most).collect():
+        got[r["label"]].append((r["rank"], r["text"]))
+    return Model({name: " ".join(t for _, t in sorted(found))[:fit_chars] for name, found in got.items()})
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,24 +231,34 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 names.append(name)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id", label: str = "lang") -> DataFrame:
-    """Rows whose text some learned language accounts for; those found ``und`` go.  All columns stay as they are."""
+    """Rows whose text some learned language accounts for; those found ``und`` go.  Where the label is null it becomes the language found.
+
+    Null and empty texts and texts without a letter go, whatever their label.  If no row has a label, no language is learned: then rows with letters stay
+    and keep their null label.  Repeated rows and null keys are judged by their texts like any other.  All other columns stay as they are.
+    """
     model = model or fit(docs, key, text, label)
     names = docs.columns
-    at = names.index(text)
+    at, told = names.index(text), names.index(label)
+    if not model.texts:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                found = tables.best([t or "" for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array([name != UNKNOWN for name, _ in found], pa.bool_()))
+                found = [name for name, _ in tables.best([t or "" for t in part.column(at).to_pylist()])]
+                columns = list(part.columns)
+                columns[told] = pc.coalesce(columns[told], pa.array(found, columns[told].type))
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array([name != UNKNOWN for name in found], pa.bool_()))
+        give_back()
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     return rows.mapInArrow(run, rows.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

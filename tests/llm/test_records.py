@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import ann, embedding_dedup, language, warc
@@ -123,6 +124,9 @@ def test_warc_round_trip_equals_plain(spark):
     assert sorted(map(tuple, warc.round_trip(df).collect())) == want
     files = warc.write_archives(df, "/tmp/" + df.sparkSession.sparkContext.applicationId, file_bytes=20_000)
     assert files.count() > 2
+    read = warc.read_archives(files)
+    assert read.rdd.getNumPartitions() == files.count() and read.select(F.spark_partition_id()).distinct().count() > 1
+    assert warc.read_archives(files.limit(0)).collect() == []
     back = {r["page"]: bytes(r["payload"]) for r in warc.read_archives(files).collect() if r["record_type"] == "response"}
     assert all(back[str(k)] == (h or b"") for k, h in rows if first[h or b""] == k)
     large = {r["page_id"]: r["record_type"] for r in warc.round_trip(df, min_bytes=1).collect()}
@@ -190,6 +194,25 @@ def test_language_edge_cases(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 3
     assert language.identify(df.limit(0), model).collect() == [] and language.keep_known(df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in language.identify(df, language.Model({})).collect()} == {"und"}
+    found = {(r["doc_id"], r["lang"]) for r in kept.collect()}
+    assert (None, "en") in found and (103, "en") in found
+
+
+def test_languages_of_few_long_texts_are_learned(spark):
+    rows = [(i, "the cat sat on the mat ", "en") for i in range(400)] + [(2900 + i, "zzyx qwvk jjxq " * 3000, "zz") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert sorted(model.texts) == ["en", "zz"] and len(model.texts["zz"]) == language.FIT_CHARS
+    assert {r["lang_pred"] for r in language.identify(df.filter("lang = 'zz'"), model).collect()} == {"zz"}
+    # more labels than the bound: the most frequent are learned, and all of them together stay within it
+    many = spark.createDataFrame([(100 * k + i, chr(97 + k % 26) * 40 + f" {k}", f"l{k:02}") for k in range(70) for i in range(8 if k < 64 else 4)], "doc_id long, text string, lang string")
+    small = language.fit(many, fit_total=6400)
+    assert sorted(small.texts) == [f"l{k:02}" for k in range(64)] and all(0 < len(t) <= 100 for t in small.texts.values())
+
+
+def test_language_without_labels_keeps_rows_with_letters(spark):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(["the cat", "", None, "12", "un chat"])], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.keep_known(df).collect()) == [0, 4]
 
 
 def test_pipeline_follows_its_stages(spark):
