@@ -79,7 +79,7 @@ def _normal_entries(weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
-                     passes: int = IRLS_PASSES) -> tuple[DataFrame, DataFrame]:
+                     passes: int = IRLS_PASSES, task_entries: int = TASK_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """One similarity per source into a frame shared by its group.
 
     ``pairs_obs``: set_id, component, i, j, px, py, qx, qy (a point of source i and its partner in
@@ -103,7 +103,7 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
     pairs = cut(pairs.join(number(anchors, "anchor"), GROUP))
     # a pair fills 16 cells on either side of the diagonal, a source 16 on it: at most 48 cells a pair
     most = pairs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    small = 64 * most <= TASK_ENTRIES
+    small = 64 * most <= task_entries
     known = pairs_obs.withColumnRenamed("i", "i0").withColumnRenamed("j", "j0")
     obs = cut(known.join(pairs, [*GROUP, "i0", "j0"]).drop("i0", "j0").withColumn("w", F.lit(1.0)))
     members = numbered.select(*GROUP, F.col("at").alias("source_id")).join(number(anchors, "anchor"), GROUP)
@@ -111,7 +111,7 @@ def place_similarity(pairs_obs: DataFrame, huber_knee: float = HUBER_KNEE,
     weighted = obs
     for k in range(passes + 1):
         entries, rhs = _normal_entries(weighted)
-        solved = solve_spd(entries, rhs, GROUP, ["b"], all_small=small)
+        solved = solve_spd(entries, rhs, GROUP, ["b"], task_entries, all_small=small, block=4)
         rows = (solved.select(*GROUP, F.expr("i div 4").alias("source_id"), F.expr("i % 4").alias("k"), "b")
                 .groupBy(*GROUP, "source_id")
                 .agg(*[F.max(F.when(F.col("k") == n, F.col("b"))).alias(c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import u
 from tessera.functions.similarity import sim
 from tessera.operators import placement, positions, surface
-from tessera.operators.solve import eliminate, solve_spd
+from tessera.operators.solve import conjugate_gradient, eliminate, solve_spd, solve_status
 
 POS = "set_id long, source_id long, lat double, lon double"
 LONS = [-80.80300, -80.80327, -80.80354, -80.80381, -80.80462]
@@ -102,7 +102,7 @@ def test_chain_placement(spark):
     assert m.n == 60 and m.rms < 1 and m.mean_weight == 1.0
 
 
-def test_conjugate_gradients_agree_with_dense(spark):
+def test_large_systems_agree_with_dense(spark):
     rng = np.random.default_rng(4)
     rows, right, want = [], [], {}
     for g in (1, 2):
@@ -126,6 +126,73 @@ def test_conjugate_gradients_agree_with_dense(spark):
             assert all(got[g, i] == pytest.approx(want[g][i], rel=1e-8) for g in want for i in range(30))
 
 
+def spd(spark, blocks: dict, right: dict):
+    """Systems given as {key: matrix} and {key: right-hand sides} as tables."""
+    cells = [(g, int(i), int(j), float(m[i, j])) for g, m in blocks.items() for i, j in zip(*np.nonzero(m))]
+    sides = [(g, i, *map(float, row)) for g, r in right.items() for i, row in enumerate(r)]
+    return spark.createDataFrame(cells, "g long, i long, j long, val double"), spark.createDataFrame(sides, "g long, i long, b double, c double")
+
+
+@pytest.mark.parametrize("block, limit", [(1, 300), (4, 0)])
+def test_systems_cut_down_by_blocks(spark, block, limit):
+    """A mesh, a star, loose parts and a ragged last block, all far beyond what a task takes, beside a singular system."""
+    rng = np.random.default_rng(block)
+    n = 61
+    mesh, star, loose = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n))
+    for m, pairs in ((mesh, [(i, i + 1) for i in range(n - 1) if i % 8 != 7] + [(i, i + 8) for i in range(n - 8)]), (star, [(0, i) for i in range(1, n)]), (loose, [(i, i + 1) for i in range(0, n - 1, 5)])):
+        for i, j in pairs:
+            m[[i, j], [j, i]] = rng.normal()
+        m += np.diag(np.abs(m).sum(axis=1) + 0.1)
+    flat = mesh - np.diag(mesh.diagonal())
+    flat = np.diag(np.abs(flat).sum(axis=1)) - np.abs(flat)  # a Laplacian
+    systems = {1: mesh, 2: star, 3: loose, 4: flat}
+    right = {g: rng.normal(size=(n, 2)) for g in systems}
+    e, r = spd(spark, systems, right)
+    out = solve_spd(e, r, ["g"], ["b", "c"], task_entries=limit, block=block)
+    got = {(x.g, x.i): (x.b, x.c) for x in out.collect()}
+    assert len(got) == 3 * n
+    for g in (1, 2, 3):
+        want = np.linalg.solve(systems[g], right[g])
+        assert np.allclose([got[g, i] for i in range(n)], want, rtol=1e-7, atol=1e-9)
+    status = {x.g: (x.n_unknowns, x.state) for x in solve_status(r, out, ["g"]).collect()}
+    assert status == {1: (n, "solved"), 2: (n, "solved"), 3: (n, "solved"), 4: (n, "unsolved")}
+
+
+def test_chain_of_100000_is_solved(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    at = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") * 7919 % n).alias("i"))
+    steps = at.select("g", "i", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d")).select(
+        "g", "i", (F.col("i") + F.col("d")).alias("j"), F.when(F.col("d") == 0, 2.0001).otherwise(-1.0).alias("val")).filter(f"j >= 0 AND j < {n}")
+    want = F.sin(F.col("i") / 997.0)
+    sides = steps.select("g", "i", (F.col("val") * F.sin(F.col("j") / 997.0)).alias("b"))
+    out = solve_spd(steps, sides, ["g"], ["b"], task_entries=120_000)
+    told = out.agg(F.count("*").alias("n"), F.max(F.abs(F.col("b") - want)).alias("off")).first()
+    assert told.n == n and told.off < 1e-6
+
+
+def test_conjugate_gradients_stop_only_when_stuck(spark):
+    n = 40
+    m = np.diag(np.full(n, 2.0)) - np.diag(np.ones(n - 1), 1) - np.diag(np.ones(n - 1), -1)
+    e, r = spd(spark, {1: m}, {1: np.ones((n, 2))})
+    got = {x.i: x.x for x in conjugate_gradient(e, r.select("g", "i", "b"), ["g"], tol=1e-9).collect()}
+    assert np.allclose([got[i] for i in range(n)], np.linalg.solve(m, np.ones(n)), rtol=1e-6)
+
+
+def test_placement_is_the_same_however_small_a_task(spark):
+    rows = []
+    for i in range(60):
+        for j in (i + 1, i + 2):
+            if j < 60:
+                for k in range(5):
+                    x, y = 37.0 * k + 11 * i % 50, 91.0 * (k % 3)
+                    rows.append((1, 1, i, j, x + 100 * (j - i), y, x + 0.01 * ((i * 7 + k) % 5), y + 0.01 * ((j * 3 + k) % 7)))
+    obs = spark.createDataFrame(rows, "set_id long, component long, i long, j long, px double, py double, qx double, qy double")
+    whole, cut_down = ({r.source_id: tuple(r.t) for r in placement.place_similarity(obs, passes=1, task_entries=limit)[0].collect()} for limit in (1_500_000, 600))
+    assert len(whole) == 60 and all(cut_down[k] == pytest.approx(v, abs=1e-6) for k, v in whole.items())
+
+
 def test_elimination_takes_long_chains_and_tells_singular_ones():
     rng = np.random.default_rng(3)
     cells: dict = {}
@@ -153,7 +220,7 @@ def test_elimination_takes_long_chains_and_tells_singular_ones():
 def test_singular_system_does_not_touch_others(spark, limit):
     e = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 1.0), (1, 1, 0, 1.0), (1, 1, 1, 1.0), (2, 0, 0, 2.0), (2, 1, 1, 4.0)], "g long, i long, j long, val double")
     r = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 2.0), (2, 1, 2.0)], "g long, i long, b double")
-    got = {(x.g, x.i): x.b for x in solve_spd(e, r, ["g"], ["b"], task_entries=limit, max_iter=8).collect()}
+    got = {(x.g, x.i): x.b for x in solve_spd(e, r, ["g"], ["b"], task_entries=limit).collect()}
     assert got == {(2, 0): 1.0, (2, 1): 0.5}
 
 

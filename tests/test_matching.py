@@ -82,6 +82,18 @@ def test_consensus_homography_does_not_verify_junk(spark):
     assert not any(r.verified for r in pairs.collect())
 
 
+def test_samples_in_line_give_no_homography(spark):
+    import pandas as pd
+    good = [(67, 469), (68, 476), (187, 900), (900, 100)]
+    line = [(67, 469), (68, 476), (187, 1309), (900, 100)]
+    flat = lambda a, b: [float(c) for p, q in zip(a, b) for c in (*p, *q)]
+    moved = [(x * 0.9 + 3, y * 1.1 - 4) for x, y in good]
+    df = spark.createDataFrame(pd.DataFrame({"k": [0, 1, 2, 3], "v": [flat(good, moved), flat(line, moved), flat(good, [(x, 2 * x) for x, _ in good]), flat(good, good)]}))
+    got = {r.k: r.h for r in df.select("k", fitting._h_from_sample("v").alias("h")).collect()}
+    assert got[1] is None and got[2] is None
+    assert got[0] == pytest.approx([0.9, 0, 3, 0, 1.1, -4, 0, 0, 1], abs=1e-6) and got[3] == pytest.approx([1, 0, 0, 0, 1, 0, 0, 0, 1], abs=1e-6)
+
+
 def test_homography_fit_exact_and_degenerate(spark):
     m = np.array([[1.1, 0.05, 20], [-0.03, 0.95, -10], [1e-4, -5e-5, 1]])
     rng = np.random.default_rng(1)
