@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,11 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return memory that a finished task has freed to the system: Python workers live on, and would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _weight(value) -> int:
+    """About the bytes that a value takes until it leaves."""
+    if isinstance(value, (str, bytes)):
+        return len(value)
+    if isinstance(value, np.ndarray):
+        return value.nbytes
+    return 40 * len(value) if isinstance(value, (list, tuple)) else 0
+
+
 def map_rows(df: DataFrame, schema: str | StructType, work: Callable[..., Iterator[tuple]], *, block: int = 4096) -> DataFrame:
     """Feed each partition's rows, as tuples of Python values, to ``work``; its tuples become ``schema``.
 
-    ``work`` gets one iterator for the whole partition.  Output leaves in blocks of at most ``block`` rows or about 16 MB of text, so
-    memory stays bounded however long the partition is.
+    ``work`` gets one iterator for the whole partition.  Lists may be numpy arrays.  Output leaves in blocks of at most ``block`` rows or
+    about 16 MB, so memory stays bounded however long the partition is.
     """
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
@@ -35,12 +54,14 @@ def map_rows(df: DataFrame, schema: str | StructType, work: Callable[..., Iterat
         arrow, held, weight = to_arrow_schema(kind), [], 0
         for row in work(rows(batches)):
             held.append(row)
-            weight += sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
+            weight += sum(map(_weight, row))
             if len(held) >= block or weight >= 1 << 24:
                 yield _pack(held, arrow)
                 held, weight = [], 0
         if held:
             yield _pack(held, arrow)
+        held = None
+        give_back()
 
     return df.mapInArrow(run, kind)
 
