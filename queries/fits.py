@@ -363,12 +363,76 @@ def _(spark, sf):
     return surface.mesh_max_offset(mesh).select("set_id", "max_offset")
 
 
+def _rough(spark, sf):
+    """Placements that are off by up to two along x, by source."""
+    return placed_sources(spark, sf).withColumn("t", F.struct(F.col("t.a"), F.col("t.b"), (F.col("t.tx") + F.col("source_id") % 3).alias("tx"), F.col("t.ty")))
+
+
 @R.add("fit_offset_surface")
 def _(spark, sf):
-    rough = placed_sources(spark, sf).withColumn("t", F.struct(F.col("t.a"), F.col("t.b"), (F.col("t.tx") + F.col("source_id") % 3).alias("tx"), F.col("t.ty")))
-    obs = observations(spark, sf)
-    mesh, _ = surface.fit_offset_surface(obs, rough)
-    return mesh.select("set_id", "source_id", "vr", "vc", rd("dx", 4).alias("dx"), rd("dy", 4).alias("dy"))
+    mesh, metrics = surface.fit_offset_surface(observations(spark, sf), _rough(spark, sf))
+    rms = metrics.groupBy("set_id").agg(*[F.max(F.when(F.col("stage") == s, F.col("rms"))).alias(f"rms_{s}") for s in ("before", "after")])
+    return mesh.join(rms, "set_id").select("set_id", "source_id", "vr", "vc", rd("dx", 4).alias("dx"), rd("dy", 4).alias("dy"),
+                                           rd("rms_before", 4).alias("rms_before"), rd("rms_after", 4).alias("rms_after"))
+
+
+def _coarse_surface(sweeps: int) -> str:
+    """Offset surfaces of two by two vertices in SQL: four unknowns a source, eliminated column by column in every sweep."""
+    four = range(4)
+    edges = [(0, 1), (2, 3), (0, 2), (1, 3)]
+
+    def weights(x: str, y: str, w: str, h: str) -> list[str]:
+        fx, fy = f"least(greatest({x}, 0), {w}) / {w}", f"least(greatest({y}, 0), {h}) / {h}"
+        return [f"(1 - {fx}) * (1 - {fy})", f"{fx} * (1 - {fy})", f"(1 - {fx}) * ({fy})", f"{fx} * ({fy})"]
+
+    tied = {(a, b): -1.0 for e in edges for a, b in (e, e[::-1])} | {(a, a): 0.02 + sum(a in e for e in edges) for a in four}
+    steps = []
+    for k in range(sweeps):
+        off = {c: " + ".join(f"u{a} * o.{c}{a}" for a in four) for c in "xy"}
+        steps.append(f"""p{k} AS (SELECT c.*, c.ux + {off['x']} AS vx, c.uy + {off['y']} AS vy FROM con c JOIN s{k} o ON o.set_id = c.set_id AND o.s = c.o),
+q{k} AS (SELECT *, sco * (cos(roto) * vx - sin(roto) * vy) + txo AS wx, sco * (sin(roto) * vx + cos(roto) * vy) + tyo AS wy FROM p{k}),
+g{k} AS (SELECT *, (cos(rot) * (wx - tx) + sin(rot) * (wy - ty)) / sc - x AS pullx, (cos(rot) * (wy - ty) - sin(rot) * (wx - tx)) / sc - y AS pully FROM q{k})""")
+        if k == sweeps - 1:
+            break
+        sides = ", ".join(f"sum(w{a} * pull{c}) AS r{c}{a}" for c in "xy" for a in four)
+        steps.append(f"e{k}_0 AS (SELECT m.*, {', '.join(f'r{c}{a}' for c in 'xy' for a in four)} FROM mat m JOIN (SELECT set_id, s, {sides} FROM g{k} GROUP BY ALL) USING (set_id, s))")
+        for j in range(3):
+            less = [f"{n}{a}{b} - {n}{j}{b} * m{a}{j} / m{j}{j} AS {n}{a}{b}" for n in "m" for a in range(j + 1, 4) for b in range(j, 4)]
+            less += [f"r{c}{a} - r{c}{j} * m{a}{j} / m{j}{j} AS r{c}{a}" for c in "xy" for a in range(j + 1, 4)]
+            steps.append(f"e{k}_{j + 1} AS (SELECT * REPLACE ({', '.join(less)}) FROM e{k}_{j})")
+        back = f"e{k}_3"
+        for a in (3, 2, 1, 0):
+            found = ", ".join(f"(r{c}{a}{''.join(f' - m{a}{b} * n{c}{b}' for b in range(a + 1, 4))}) / m{a}{a} AS n{c}{a}" for c in "xy")
+            steps.append(f"b{k}_{a} AS (SELECT *, {found} FROM {back})")
+            back = f"b{k}_{a}"
+        steps.append(f"s{k + 1} AS (SELECT o.set_id, o.s, {', '.join(f'{c}{a} + 0.5::DOUBLE * coalesce(n{c}{a} - {c}{a}, 0) AS {c}{a}' for c in 'xy' for a in four)} "
+                     f"FROM s{k} o LEFT JOIN {back} USING (set_id, s))")
+    rms = [f"""m{k} AS (SELECT g.set_id, sqrt(avg(pow(pullx - ({' + '.join(f'w{a} * o.x{a}' for a in four)}), 2) + pow(pully - ({' + '.join(f'w{a} * o.y{a}' for a in four)}), 2))) AS rms
+  FROM g{k} g JOIN s{k} o ON o.set_id = g.set_id AND o.s = g.s GROUP BY g.set_id)""" for k in (0, sweeps - 1)]
+    own, other = weights("x", "y", "w", "h"), weights("ux", "uy", "wo", "ho")
+    cells = ", ".join(f"sum(w{a} * w{b}) + {tied.get((a, b), 0.0)}::DOUBLE AS m{a}{b}" for a in four for b in four)
+    last = sweeps - 1
+    return f"""WITH {_MARKS}, rough AS (SELECT set_id, source_id AS s, sc, rot, tx + source_id % 3 AS tx, ty, tx AS true_tx, 1400 + set_id % 50 AS w, 1500 - set_id % 40 AS h FROM src),
+ends AS (SELECT set_id, i AS s, j AS o, wx AS lx, wy AS ly FROM ob UNION ALL SELECT set_id, j, i, wx, wy FROM ob),
+pts AS (SELECT e.set_id, e.s, e.o, a.sc, a.rot, a.tx, a.ty, a.w::DOUBLE AS w, a.h::DOUBLE AS h, b.sc AS sco, b.rot AS roto, b.tx AS txo, b.ty AS tyo, b.w::DOUBLE AS wo, b.h::DOUBLE AS ho,
+  (cos(a.rot) * (lx - a.true_tx) + sin(a.rot) * (ly - a.ty)) / a.sc AS x, (cos(a.rot) * (ly - a.ty) - sin(a.rot) * (lx - a.true_tx)) / a.sc AS y,
+  (cos(b.rot) * (lx - b.true_tx) + sin(b.rot) * (ly - b.ty)) / b.sc AS ux, (cos(b.rot) * (ly - b.ty) - sin(b.rot) * (lx - b.true_tx)) / b.sc AS uy
+  FROM ends e JOIN rough a ON a.set_id = e.set_id AND a.s = e.s JOIN rough b ON b.set_id = e.set_id AND b.s = e.o),
+con AS (SELECT *, {', '.join(f'{e} AS w{a}' for a, e in enumerate(own))}, {', '.join(f'{e} AS u{a}' for a, e in enumerate(other))} FROM pts),
+mat AS (SELECT set_id, s, {cells} FROM con GROUP BY ALL),
+s0 AS (SELECT set_id, s, {', '.join(f'0::DOUBLE AS {c}{a}' for c in 'xy' for a in four)} FROM rough),
+{', '.join([*steps, *rms])}
+SELECT set_id, s AS source_id, vr, vc, {sq('CASE vr * 2 + vc ' + ' '.join(f'WHEN {a} THEN x{a}' for a in four) + ' END', 4)} AS dx,
+  {sq('CASE vr * 2 + vc ' + ' '.join(f'WHEN {a} THEN y{a}' for a in four) + ' END', 4)} AS dy, {sq('m0.rms', 4)} AS rms_before, {sq(f'm{last}.rms', 4)} AS rms_after
+FROM s{last} JOIN m0 USING (set_id) JOIN m{last} USING (set_id), (SELECT k::INT // 2 AS vr, k::INT % 2 AS vc FROM range(4) v(k))"""
+
+
+@R.add("fit_offset_surface_coarse", _coarse_surface(5))
+def _(spark, sf):
+    mesh, metrics = surface.fit_offset_surface(observations(spark, sf), _rough(spark, sf), spacing=4000, sweeps=4)
+    rms = metrics.groupBy("set_id").agg(*[F.max(F.when(F.col("stage") == s, F.col("rms"))).alias(f"rms_{s}") for s in ("before", "after")])
+    return mesh.join(rms, "set_id").select("set_id", "source_id", "vr", "vc", rd("dx", 4).alias("dx"), rd("dy", 4).alias("dy"),
+                                           rd("rms_before", 4).alias("rms_before"), rd("rms_after", 4).alias("rms_after"))
 
 
 QUERIES, ORACLE = R.queries, R.oracle

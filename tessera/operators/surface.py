@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.projective import cam_homography, h_apply
 from tessera.functions.similarity import sim_apply, sim_compose, sim_inverse
-from tessera.operators.solve import TASK_ENTRIES, solve_spd
+from tessera.operators.solve import PIVOT, solve_spd
 from tessera.session import cut, release
 
 CUTOFF = 40.0
 SOURCE = ["set_id", "source_id"]
+#: Cells of the largest factor that one task takes (32 MB), and of the factors that are solved with together.
+BAND_CELLS = 4_000_000
 
 
 def mesh_shape(width: Column, height: Column, spacing: int) -> tuple[Column, Column]:
@@ -82,9 +86,100 @@ def _regularity(vertices: DataFrame, smoothness: float, rigidity: float) -> Data
             .select(*SOURCE, "c.*").filter("i is not null and j is not null"))
 
 
+def band_factor(i: np.ndarray, j: np.ndarray, val: np.ndarray, n: int, width: int) -> np.ndarray | None:
+    """Cholesky factor of a banded matrix (cells of its lower half suffice) as [k, j] = L[j + k, j], k up to ``width``; None if singular."""
+    band = np.zeros((width + 1, n + width + 1))
+    low = i >= j
+    np.add.at(band, (i[low] - j[low], j[low]), val[low])
+    own = band[0, :n].copy()
+    # the window holds what earlier columns have left of rows and columns j .. j + width
+    window = np.zeros((width + 1, width + 1))
+    for k in range(width + 1):
+        window[k:, k] = band[:width + 1 - k, k]
+    out = np.zeros((width + 1, n))
+    for at in range(n):
+        if not window[0, 0] > PIVOT * own[at]:
+            return None
+        column = window[:, 0] / np.sqrt(window[0, 0])
+        out[:, at] = column
+        window -= np.outer(column, column)
+        window[:-1, :-1] = window[1:, 1:]
+        # only the lower half counts: a new last row comes in, one cell for each column of the window
+        window[-1] = band[np.arange(width, -1, -1), at + 1 + np.arange(width + 1)]
+    return out
+
+
+def band_solve(factors: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions of many systems of one shape: factors [system, k, j], right-hand sides [system, j, side]."""
+    width, n = factors.shape[1] - 1, factors.shape[2]
+    x = np.concatenate([right, np.zeros((len(right), width, right.shape[2]))], axis=1)
+    for at in range(n):
+        x[:, at] /= factors[:, 0, at, None]
+        x[:, at + 1:at + 1 + width] -= factors[:, 1:, at, None] * x[:, at, None]
+    for at in range(n - 1, -1, -1):
+        x[:, at] = (x[:, at] - (factors[:, 1:, at, None] * x[:, at + 1:at + 1 + width]).sum(axis=1)) / factors[:, 0, at, None]
+    return x[:, :n]
+
+
+class _Factors:
+    """The matrices of all sources, factored once; sweeps only bring new right-hand sides."""
+
+    def __init__(self, matrix: DataFrame, verts: DataFrame, band_cells: int) -> None:
+        shape = verts.select(*SOURCE, (F.col("cols") * F.col("rows")).alias("n"), (F.col("cols") + 1).alias("width")).distinct()
+        self.shape = cut(shape.withColumn("cells", F.col("n").cast("bigint") * (F.col("width") + 1)))
+        small = self.shape.filter(F.col("cells") <= band_cells)
+        self.buckets = max(1, -(-(small.agg(F.sum("cells")).first()[0] or 0) // band_cells))
+        self.factors = cut(matrix.join(small.drop("cells"), SOURCE).select(*SOURCE, "n", "width", "i", "j", "val").filter("i >= j").groupBy(*SOURCE).applyInArrow(
+            self._factor, "set_id bigint, source_id bigint, n int, width int, factor binary"))
+        self.wide = cut(self.shape.filter(F.col("cells") > band_cells).select(*SOURCE))
+        self.matrix = None if self.wide.isEmpty() else cut(matrix.join(self.wide, SOURCE, "left_semi"))
+
+    @staticmethod
+    def _factor(t: pa.Table) -> pa.Table:
+        n, width = t["n"][0].as_py(), t["width"][0].as_py()
+        found = band_factor(t["i"].to_numpy(), t["j"].to_numpy(), t["val"].to_numpy(), n, width)
+        t = t.slice(0, 0 if found is None else 1).select([*SOURCE, "n", "width"])
+        return t.append_column("factor", pa.array([] if found is None else [found.tobytes()], pa.binary()))
+
+    def solve(self, taps: DataFrame) -> DataFrame:
+        """Right-hand sides (SOURCE, i, dx, dy; repeated ones add up) -> SOURCE, nx, ny: row-major arrays of the solutions."""
+        sides = taps.groupBy(*SOURCE, "i").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+        bucket = F.pmod(F.xxhash64(*SOURCE), F.lit(self.buckets)).alias("bucket")
+        kind = pa.schema([("set_id", pa.int64()), ("source_id", pa.int64()), ("nx", pa.list_(pa.float64())), ("ny", pa.list_(pa.float64()))])
+
+        def work(factors: pa.Table, right: pa.Table) -> pa.Table:
+            keys = list(zip(factors["set_id"].to_pylist(), factors["source_id"].to_pylist()))
+            at = {k: p for p, k in enumerate(keys)}
+            n, width = factors["n"].to_numpy(), factors["width"].to_numpy()
+            owner = np.array([at.get(k, -1) for k in zip(right["set_id"].to_pylist(), right["source_id"].to_pylist())], np.int64)
+            i, d = right["i"].to_numpy(), np.column_stack([right["dx"].to_numpy(), right["dy"].to_numpy()])
+            out: list[list] = [[], [], [], []]
+            for one, w in sorted(set(zip(n.tolist(), width.tolist()))):
+                some = np.flatnonzero((n == one) & (width == w))
+                place = np.full(len(keys) + 1, -1)
+                place[some] = np.arange(len(some))
+                mine = place[owner] >= 0
+                b = np.zeros((len(some), one, 2))
+                b[place[owner[mine]], i[mine]] = d[mine]
+                held = np.stack([np.frombuffer(factors["factor"][int(p)].as_py()).reshape(w + 1, one) for p in some])
+                x = band_solve(held, b)
+                for p, v in zip(some.tolist(), x):
+                    for column, value in zip(out, (*keys[p], v[:, 0], v[:, 1])):
+                        column.append(value)
+            return pa.table([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
+
+        solved = (self.factors.withColumn("bucket", bucket).groupBy("bucket").cogroup(sides.withColumn("bucket", bucket).groupBy("bucket"))
+                  .applyInArrow(work, "set_id bigint, source_id bigint, nx array<double>, ny array<double>"))
+        if self.matrix is None:
+            return solved
+        found = solve_spd(self.matrix, sides.join(self.wide, SOURCE, "left_semi"), SOURCE, ["dx", "dy"])
+        listed = found.groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("i", "dx", "dy"))).alias("v"))
+        return solved.unionByName(listed.select(*SOURCE, F.col("v.dx").alias("nx"), F.col("v.dy").alias("ny")))
+
+
 def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing: int = 100,
                        sweeps: int = 8, damping: float = 0.5, smoothness: float = 1.0,
-                       rigidity: float = 0.02) -> tuple[DataFrame, DataFrame]:
+                       rigidity: float = 0.02, band_cells: int = BAND_CELLS) -> tuple[DataFrame, DataFrame]:
     """Offset surfaces that pull the two ends of every match together.
 
     ``observations``: set_id, i, j, px, py, qx, qy.  ``placements``: set_id, source_id, width, height and either t (similarities
@@ -92,6 +187,9 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
     own source, minus the own point.  Constraints off by 40 or more are dropped once at the start.  All
     sources move together, half way (``damping``) to their own least-squares surface per sweep.
 
+    The matrix of a source never changes, so it is factored once, as a band; a sweep brings new right-hand sides to the stored factors, many sources
+    in one task.  A mesh whose band would not fit (``band_cells``) goes through the general solver.
+
     Returns mesh (set_id, source_id, vr, vc, dx, dy) and metrics (set_id, stage, rms).
     """
     ends = [observations.select("set_id", *[F.col(s).alias(d) for s, d in zip(src, dst)])
@@ -128,44 +226,41 @@ def fit_offset_surface(observations: DataFrame, placements: DataFrame, spacing:
     active = cons.select(*SOURCE).distinct()
     fixed = _regularity(verts, smoothness, rigidity).join(active, SOURCE, "left_semi")
     matrix = cut(data.unionByName(fixed).groupBy(*SOURCE, "i", "j").agg(F.sum("val").alias("val")))
-    most = matrix.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    small = most <= TASK_ENTRIES
     slot = (F.col("vr") * F.col("cols") + F.col("vc")).cast("bigint")
-    every = cut(verts.select(*SOURCE, slot.alias("i"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).join(active, SOURCE, "left_semi"))
-    mesh = verts.select(*SOURCE, "cols", "vr", "vc", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
-
-    def packed(current: DataFrame) -> DataFrame:
-        """Offsets of a source as two row-major arrays; the vertex grid is coarse, so they are short."""
-        listed = F.sort_array(F.collect_list(F.struct("vr", "vc", "dx", "dy")))
-        return current.groupBy(*SOURCE).agg(listed.alias("_v")).select(
-            *SOURCE, F.transform("_v", lambda v: v["dx"]).alias("ax"), F.transform("_v", lambda v: v["dy"]).alias("ay"))
+    factors = _Factors(matrix, verts.join(active, SOURCE, "left_semi"), band_cells)
+    nothing = F.array_repeat(F.lit(0.0), F.col("cols") * F.col("rows"))
+    mesh = cut(verts.select(*SOURCE, "cols", "rows").distinct().select(*SOURCE, nothing.alias("ax"), nothing.alias("ay")))
+    zeros = verts.join(active, SOURCE, "left_semi").select(*SOURCE, slot.alias("i"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
 
     def read(stencil: str, offsets: str):
         return F.aggregate(stencil, F.lit(0.0), lambda acc, v: acc + v["weight"] * F.element_at(offsets, (v["i"] + 1).cast("int")))
 
     def pulls(current: DataFrame) -> DataFrame:
         """How far every constraint still wants to move its own point."""
-        moved = (cons.join(packed(current).withColumnRenamed("source_id", "other"), ["set_id", "other"])
+        moved = (cons.join(current.withColumnRenamed("source_id", "other"), ["set_id", "other"])
                  .withColumns({"ox": read("there", "ax"), "oy": read("there", "ay")}).drop("ax", "ay"))
         gx, gy = lands(F.col("ux") + F.col("ox"), F.col("uy") + F.col("oy"))
         return moved.select(*SOURCE, "here", (gx - F.col("x")).alias("bx"), (gy - F.col("y")).alias("by"))
 
     def rms(current: DataFrame) -> DataFrame:
-        both_ends = pulls(current).join(packed(current), SOURCE)
+        both_ends = pulls(current).join(current, SOURCE)
         miss = (F.col("bx") - read("here", "ax")) ** 2 + (F.col("by") - read("here", "ay")) ** 2
         return both_ends.groupBy("set_id").agg(F.coalesce(F.sqrt(F.avg(miss)), F.lit(0.0)).alias("rms"))
 
-    before = rms(mesh).withColumn("stage", F.lit("before"))
+    def toward(old: str, new: str) -> Column:
+        """Part of the way to the solution; a source without one stays."""
+        return F.coalesce(F.zip_with(old, new, lambda a, b: a + damping * (b - a)), F.col(old)).alias(old)
+
+    before = cut(rms(mesh).withColumn("stage", F.lit("before")))
     for _ in range(sweeps):
         taps = (pulls(mesh).select(*SOURCE, "bx", "by", F.explode("here").alias("s"))
                 .select(*SOURCE, F.col("s.i").alias("i"), (F.col("s.weight") * F.col("bx")).alias("dx"),
                         (F.col("s.weight") * F.col("by")).alias("dy")))
-        solved = solve_spd(matrix, taps.unionByName(every), SOURCE, ["dx", "dy"], all_small=small)
-        fresh = solved.select(*SOURCE, F.col("i").alias("_i"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
-        last, mesh = mesh, cut(mesh.withColumn("_i", slot).join(fresh, [*SOURCE, "_i"], "left").select(
-            *SOURCE, "cols", "vr", "vc",
-            (F.col("dx") + damping * (F.coalesce("nx", "dx") - F.col("dx"))).alias("dx"),
-            (F.col("dy") + damping * (F.coalesce("ny", "dy") - F.col("dy"))).alias("dy")))
+        # a general solver needs a side for every unknown, banded factors do not
+        solved = factors.solve(taps if factors.matrix is None else taps.unionByName(zeros))
+        last, mesh = mesh, cut(mesh.join(solved, SOURCE, "left").select(*SOURCE, toward("ax", "nx"), toward("ay", "ny")))
         release(last)
     after = rms(mesh).withColumn("stage", F.lit("after"))
-    return mesh.drop("cols"), before.unionByName(after)
+    at = (slot + 1).cast("int")
+    spread = verts.join(mesh, SOURCE).select(*SOURCE, "vr", "vc", F.element_at("ax", at).alias("dx"), F.element_at("ay", at).alias("dy"))
+    return spread, before.unionByName(after)

@@ -309,6 +309,30 @@ def test_offset_surface_absorbs_a_local_bump(spark):
     assert math.hypot(off.ox, off.oy) < 0.75
 
 
+def test_banded_factors_agree_with_dense():
+    rng = np.random.default_rng(8)
+    n, w = 37, 6
+    systems, right = [], rng.normal(size=(3, n, 2))
+    for _ in range(3):
+        m = np.triu(np.tril(rng.normal(size=(n, n)), w), -w)
+        m = m @ m.T
+        m = np.triu(np.tril(m, w), -w) + 40 * np.eye(n)
+        systems.append(m)
+    factors = np.stack([surface.band_factor(*np.nonzero(m), m[np.nonzero(m)], n, w) for m in systems])
+    assert np.allclose(surface.band_solve(factors, right), [np.linalg.solve(m, r) for m, r in zip(systems, right)])
+    flat = np.ones((3, 3))
+    assert surface.band_factor(*np.nonzero(flat), flat.ravel(), 3, 2) is None
+
+
+def test_wide_meshes_take_the_general_solver(spark):
+    rows = [(1, 0, 1, float(x), float(y), x + 3.0 * (x < 300), y - 1.0) for x in range(40, 800, 80) for y in range(40, 600, 80)]
+    obs = spark.createDataFrame(rows, "set_id long, i long, j long, px double, py double, qx double, qy double")
+    src = spark.createDataFrame([(1, 0, 800, 600), (1, 1, 800, 600), (1, 2, 800, 600)], "set_id long, source_id long, width int, height int").withColumn("t", sim(1.0, 0.0, 0.0, 0.0))
+    banded, general = (sorted(map(tuple, surface.fit_offset_surface(obs, src, spacing=200, sweeps=2, band_cells=c)[0].collect())) for c in (4_000_000, 1))
+    assert len(banded) == 3 * 20 and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(banded, general))
+    assert all(r[4] == r[5] == 0.0 for r in banded if r[1] == 2) and any(abs(r[4]) > 0.1 for r in banded)
+
+
 def test_offset_surface_of_cameras(spark):
     cams = rig(spark, (-0.1, 0.1), 800.0, 800, 600)
     rows = []
