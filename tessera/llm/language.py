@@ -192,7 +192,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
                                                         F.substring("text", 1, fit_chars).alias("text"))
     # first without texts: how many rows of each label it takes
     order = [F.asc("u"), F.asc("size")]
-    first = top_n(some.drop("text"), ["label"], order, FIT_ROWS)
+    light = some.drop("text").withColumn("_part", F.pmod(F.xxhash64("u"), F.lit(256)))
+    first = top_n(top_n(light, ["label", "_part"], order, FIT_ROWS).drop("rank"), ["label"], order, FIT_ROWS)
     held = F.sum("size").over(Window.partitionBy("label").orderBy("rank")) - F.col("size")
     need = {r["label"]: (r["u"], r["rank"]) for r in first.withColumn("_before", held).filter(F.col("_before") < fit_chars)
             .groupBy("label").agg(F.max("u").alias("u"), F.max("rank").alias("rank")).collect()}
