@@ -108,47 +108,64 @@ def choose_model(pano_groups: DataFrame, strip_groups: DataFrame, spread: DataFr
 
 
 _ORDER = "set_id bigint, component bigint, source_id bigint, step bigint"
-_EDGE = "set_id bigint, component bigint, a bigint, b bigint, n_inliers bigint"
 
 
-def _forest(t: pa.Table) -> pa.Table:
-    """The strongest spanning forest of a bounded batch of pairs; ties go to the lowest pair."""
-    a, b, n = (t[c].to_numpy() for c in ("a", "b", "n_inliers"))
-    order = np.lexsort((b, a, -n))
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = at[:len(a)][order].tolist(), at[len(a):][order].tolist()
-    root = list(range(len(nodes)))
-    kept = []
-    for k, (x, y) in enumerate(zip(left, right)):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(k)
-    return t.take(pa.array(order[kept])).select(["set_id", "component", "a", "b", "n_inliers"])
+def strongest_forest(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs of the strongest spanning forest of each key's graph: keys, a, b, n_inliers; ties go to the lowest pair.
+
+    Boruvka's rounds: every component takes the strongest pair that leaves it - a MIN per component, combined before the shuffle - the components so
+    joined become one, and pairs within one go.  A round at least halves the components that still have pairs, and no task sees a whole graph.
+    """
+    live, taken = cut(edges.select(*keys, "a", "b", "n_inliers", F.col("a").alias("ca"), F.col("b").alias("cb"))), []
+    while True:
+        pair = F.struct((-F.col("n_inliers")).alias("n"), "a", "b", "ca", "cb").alias("e")
+        best = live.select(*keys, F.explode(F.array("ca", "cb")).alias("c"), pair).groupBy(*keys, "c").agg(F.min("e").alias("e"))
+        chosen = cut(best.select(*keys, "e.a", "e.b", (-F.col("e.n")).alias("n_inliers"), "e.ca", "e.cb").distinct())
+        taken.append(chosen.select(*keys, "a", "b", "n_inliers"))
+        if chosen.isEmpty():
+            release(live)
+            break
+        met = chosen.select(F.struct(*keys, F.col("ca").alias("c")).alias("a"), F.struct(*keys, F.col("cb").alias("c")).alias("b"))
+        label = cut(connected_components(met).select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.c").alias("c"), F.col("component.c").alias("to")))
+        moved = live
+        for end in ("ca", "cb"):
+            moved = moved.join(label.withColumnRenamed("c", end), [*keys, end]).drop(end).withColumnRenamed("to", end)
+        last, live = live, cut(moved.filter("ca <> cb").select(*live.columns))
+        release(last, label)
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def _grow(t: pa.Table) -> pa.Table:
-    """Order of growth along the strongest spanning tree of a group."""
-    a, b, n = (t[c].to_pylist() for c in ("a", "b", "n_inliers"))
-    near: dict[int, list] = {}
-    for x, y, w in zip(a, b, n):
-        near.setdefault(x, []).append((-w, x, y, y))
-        near.setdefault(y, []).append((-w, x, y, x))
-    _, first, second = min((-w, x, y) for x, y, w in zip(a, b, n))
-    seen, order, open_ = {first, second}, [first, second], near[first] + near[second]
+    """Order of growth along the strongest spanning tree of a group; pairs are known by their place in the order of strength."""
+    a, b, n = (t[c].to_numpy() for c in ("a", "b", "n_inliers"))
+    order = np.lexsort((b, a, -n))
+    nodes, at = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    left, right = at[:len(a)], at[len(a):]
+    ends = np.concatenate([left, right])
+    by_node = np.argsort(ends, kind="stable")
+    start = np.searchsorted(ends[by_node], np.arange(len(nodes) + 1)).tolist()
+    touching = (by_node % len(a)).tolist()
+    seen = np.zeros(len(nodes), bool)
+    placed, open_ = [], [0]
+    # the strongest pair of all seeds the group, its lower source first
+    for node in (int(left[0]), int(right[0])):
+        seen[node] = True
+        placed.append(node)
+        open_ += touching[start[node]:start[node + 1]]
     heapq.heapify(open_)
     while open_:
-        node = heapq.heappop(open_)[3]
-        if node not in seen:
-            seen.add(node)
-            order.append(node)
-            for item in near[node]:
-                heapq.heappush(open_, item)
-    k = len(order)
-    return pa.table({"set_id": pa.repeat(t["set_id"][0], k), "component": pa.repeat(t["component"][0], k), "source_id": pa.array(order, pa.int64()),
+        pair = heapq.heappop(open_)
+        for node in (int(left[pair]), int(right[pair])):
+            if not seen[node]:
+                seen[node] = True
+                placed.append(node)
+                for other in touching[start[node]:start[node + 1]]:
+                    heapq.heappush(open_, other)
+    k = len(placed)
+    return pa.table({"set_id": pa.repeat(t["set_id"][0], k), "component": pa.repeat(t["component"][0], k), "source_id": pa.array(nodes[placed]),
                      "step": pa.array(range(k), pa.int64())})
 
 
@@ -158,25 +175,17 @@ def placement_order(pairs: DataFrame, components: DataFrame | None = None, chunk
     The pair with most inliers seeds its group (lower source first); then always the unplaced
     source with most inliers to any placed one (ties: lowest pair).
 
-    Growth only ever uses pairs of the strongest spanning tree, and the tree of a group lies within the trees of any parts of its pairs.  So
-    pairs are dealt into parts of about ``chunk``, each part keeps its forest, and this repeats until a group is one part or stops
-    shrinking; what is left is at most one pair a source, and one task orders it.
+    Growth only ever uses pairs of the strongest spanning tree.  So a group of more than ``chunk`` pairs is first thinned to its tree (``strongest_forest``), and
+    the task that orders a group takes one pair a source at most.
     """
     key = ["set_id", "component"]
     cc = components if components is not None else set_components(pairs)
     edges = cut(pairs.join(cc.withColumnRenamed("source_id", "a"), ["set_id", "a"])
                 .select(*key, "a", "b", F.col("n_inliers").cast("bigint").alias("n_inliers")))
-    before = None
-    while True:
-        sizes = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        parts = cut(sizes.filter(F.col("_n") > chunk).select(*key, F.ceil(F.col("_n") / chunk).cast("bigint").alias("_parts")))
-        left = parts.agg(F.sum("_parts")).first()[0]
-        if left is None or left == before:
-            break
-        dealt = edges.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), F.coalesce("_parts", F.lit(1).cast("bigint"))))
-        last, edges = edges, cut(dealt.groupBy(*key, "_part").applyInArrow(_forest, _EDGE))
-        release(last)
-        before = left
+    large = cut(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk).select(*key))
+    if not large.isEmpty():
+        trees = strongest_forest(edges.join(large, key, "left_semi"), key)
+        edges = edges.join(large, key, "left_anti").unionByName(trees)
     return edges.groupBy(*key).applyInArrow(_grow, _ORDER)
 
 
