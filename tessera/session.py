@@ -73,6 +73,25 @@ def release(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
+def written() -> set[str]:
+    """Paths of the intermediate tables that stand now."""
+    return set(_WRITTEN)
+
+
+def track(path: str) -> str:
+    """Count a table written in another way than by ``cut`` among the intermediate ones."""
+    _WRITTEN.add(path)
+    return path
+
+
+def release_unread(paths: set[str], docs: DataFrame) -> None:
+    """Delete those of the intermediate tables at ``paths`` that ``docs`` does not read."""
+    read = docs.inputFiles()
+    for path in paths & _WRITTEN:
+        if not any(f"/{path.rstrip('/').rsplit('/', 1)[-1]}/" in f for f in read):
+            _delete(docs.sparkSession, path)
+
+
 def release_all(spark: SparkSession) -> None:
     """Delete every intermediate table that this process has written; for the end of a job, when its results are stored elsewhere."""
     for path in list(_WRITTEN):
