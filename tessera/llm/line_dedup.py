@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm.common import SPACES
-from tessera.session import checkpoint_dir, cut
+from tessera.session import checkpoint_dir, cut, release, track
 
 FAN = 2
 BATCHES = 4
@@ -50,16 +50,16 @@ class Runs:
     """Levels of sorted runs, at most ``fan`` - 1 a level between batches, and the tally of hashes that came again."""
 
     def __init__(self, fan: int = FAN):
-        self.fan, self.levels, self.tally = fan, [], []
+        self.fan, self.levels, self.tally, self.held = fan, [], [], []
 
     def add(self, lines: DataFrame) -> None:
         """Take in a batch's lines (doc, hash), once for each document; no document of it has come before."""
-        batch = cut(lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("top")).sortWithinPartitions("hash"))
+        batch = self._kept(lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("top")).sortWithinPartitions("hash"))
         known = [r for level in self.levels for r in level]
         if known:
             seen = _union(known).select("hash")
             self.tally.append(batch.join(seen, "hash", "left_semi"))
-            batch = cut(batch.join(seen, "hash", "left_anti").sortWithinPartitions("hash"))
+            batch = self._kept(batch.join(seen, "hash", "left_anti").sortWithinPartitions("hash"))
         level = 0
         while True:
             if level == len(self.levels):
@@ -68,10 +68,18 @@ class Runs:
             if len(self.levels[level]) < self.fan:
                 return
             # runs of a level share no hash: compaction only merges them in order
-            batch = cut(_union(self.levels[level]).repartition("hash").sortWithinPartitions("hash"))
+            batch = self._kept(_union(self.levels[level]).repartition("hash").sortWithinPartitions("hash"))
             self.levels[level] = []
             level += 1
 
+    def _kept(self, run: DataFrame) -> DataFrame:
+        self.held.append(cut(run))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Delete all runs, once the entries are stored elsewhere."""
+        release(*self.held)
+
     def entries(self) -> DataFrame:
         """hash, n, top over everything taken in."""
         runs = [r for level in self.levels for r in level]
@@ -82,7 +90,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                    batches: int = BATCHES, fan: int = FAN) -> DataFrame:
     """doc, hash: the lines to drop, that is those held by at least ``min_docs`` documents, but in the document with the largest key."""
     spark = docs.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    path = track(f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}")
     (line_hashes(docs, key, text, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
      .write.partitionBy("batch").parquet(path))
     kind = docs.schema[key].dataType.simpleString()
@@ -91,6 +99,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b).select("doc", "hash"))
     drop = cut(runs.entries().filter(F.col("n") >= min_docs).select("hash", "top"))
+    runs.release()
     return lines.join(drop, "hash").filter(F.col("doc") != F.col("top")).select("doc", "hash")
 
 
