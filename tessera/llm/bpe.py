@@ -1,13 +1,13 @@
 """Byte-pair encoding and decoding of whole texts, long ones by tree concatenation.
 
-Short texts are encoded where they lie.  A long text is cut before white space, where no token can reach across, into pieces that other tasks encode.
-A stretch that the pre-tokenizer does not split and that is longer than a leaf is cut into halves of halves; the leaves are encoded in
-parallel and joined pair by pair up the tree.  At a join the last k tokens of the left and the first k of the right are encoded
-anew as one window, with k doubling until the window starts with the left's token and ends with the right's token at its rim
-(or reaches the ends).
-
-That agreement makes the result exact.  A sequence of tokens is the encoding of its text if and only if each two neighbours are the encoding
-of their joint text; within the halves and the window neighbours are, and at the rims the neighbours are those of the halves.
+Short texts are encoded where they lie.  A long text is cut into halves of halves, wherever the middle falls; other tasks encode the leaves, and
+they are joined pair by pair up the tree.  At a join the last k chunks of the left and the first k of the right, chunks being what white space
+parts, are encoded anew as one window, with k doubling until the window starts with the left's token and ends with the right's token at its
+rim (or reaches the ends).  No token reaches across white space, so what lies outside the window is as it was.
+
+A text with a very long stretch free of white space is cut at white space around it.  The stretch is cut into halves of halves as well, and there the
+windows are counted in tokens.  A sequence of tokens of one stretch is its encoding if and only if each two neighbours are the encoding of their
+joint text; within the halves and the window neighbours are, and at the rims the neighbours are those of the halves.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows
 
-#: Texts of more characters are cut into pieces of about so many.
+#: Texts of more characters are cut into halves of halves until none has more.
 PIECE = 1 << 15
 #: Unsplit stretches of more symbols are cut into halves until they are no longer.
 LEAF = 1 << 11
@@ -134,6 +134,23 @@ class Bpe:
             parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0] if parts else []
 
+    def join_texts(self, left: tuple[str, bytes], right: tuple[str, bytes]) -> tuple[str, bytes]:
+        """(text, packed ids) of two neighbouring texts -> those of the joint one."""
+        (t, x), (u, y), k = left, right, 1
+        while t and u:
+            a, b = _chunks_back(t, k), _chunks_ahead(u, k)
+            old, new, mid = self.encode([t[a:], u[:b], t[a:] + u[:b]])
+            if (a == 0 or mid[:4] == old[:4]) and (b == len(u) or mid[-4:] == new[-4:]):
+                return t + u, x[:len(x) - len(old)] + mid + y[len(new):]
+            k *= 2
+        return t + u, x + y
+
+    def tree_of_texts(self, parts: list[tuple[str, bytes]]) -> bytes:
+        """Join encoded leaves of one text pair by pair until one is left."""
+        while len(parts) > 1:
+            parts = [self.join_texts(*parts[i:i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0][1] if parts else b""
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, packed as little-endian 32-bit integers.
 
@@ -207,6 +224,46 @@ def pieces(bpe: Bpe, text: str, size: int = PIECE, leaf: int = LEAF) -> Iterator
                 number += 1
 
 
+def _blank(c: str) -> bool:
+    return c.isspace() and not _ODD.match(c)
+
+
+def _chunks_back(text: str, k: int) -> int:
+    """Where the last ``k`` chunks begin."""
+    at = len(text)
+    for _ in range(k):
+        while at and _blank(text[at - 1]):
+            at -= 1
+        while at and not _blank(text[at - 1]):
+            at -= 1
+    return at
+
+
+def _chunks_ahead(text: str, k: int) -> int:
+    """Where the first ``k`` chunks end."""
+    at, n = 0, len(text)
+    for _ in range(k):
+        while at < n and _blank(text[at]):
+            at += 1
+        while at < n and not _blank(text[at]):
+            at += 1
+    return at
+
+
+#: Number of the stretch that marks leaves of a text cut anywhere.
+ANYWHERE = -2
+
+
+def leaves_of(bpe: Bpe, text: str, size: int = PIECE, leaf: int = LEAF) -> Iterator[tuple[int, bool, str]]:
+    """(stretch, final, text) in order: halves of halves of the text, unless a stretch free of white space asks for ``pieces``."""
+    if max(map(len, text.split()), default=0) > size * 2:
+        yield from pieces(bpe, text, size, leaf)
+        return
+    cuts = halves(0, len(text), size)
+    for a, b in zip(cuts, cuts[1:]):
+        yield ANYWHERE, True, text[a:b]
+
+
 def halves(a: int, b: int, leaf: int) -> list[int]:
     """Cut points of a stretch halved until no part is longer than ``leaf``."""
     if b - a <= leaf:
@@ -236,28 +293,29 @@ def encoded(docs: DataFrame, path: str, columns: str, finish: Callable[[bytes],
         bpe = Bpe.at(path)
         for k, t in items:
             digest = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
-            for seq, (stretch, final, part) in enumerate(pieces(bpe, t, size, leaf)):
+            for seq, (stretch, final, part) in enumerate(leaves_of(bpe, t, size, leaf)):
                 yield k, digest, seq, stretch, final, part
 
     def leaves(items):
         bpe = Bpe.at(path)
         for k, digest, seq, stretch, final, part in items:
-            yield k, digest, seq, stretch, bpe.encode([part])[0] if stretch < 0 else _packed(bpe.merge(bpe.symbols(part, final)))
+            ids = bpe.encode([part])[0] if stretch < 0 else _packed(bpe.merge(bpe.symbols(part, final)))
+            yield k, digest, seq, stretch, ids, part if stretch == ANYWHERE else None
 
     def up(items):
         bpe, held, last = Bpe.at(path), [], None
-        for k, digest, seq, stretch, ids in chain(items, [(None, b"", -1, -1, b"")]):
+        for k, digest, seq, stretch, ids, part in chain(items, [(None, b"", -1, -1, b"", None)]):
             if (k, digest) != last:
                 if held:
                     for one, all_ids in _assembled(bpe, last[0], held):
                         yield one, *finish(all_ids)
                 held, last = [], (k, digest)
-            held.append((seq, stretch, ids))
+            held.append((seq, stretch, ids) if part is None else (seq, stretch, ids, part))
 
     long_ = F.length("text") > size
     short = map_rows(rows.filter(~long_), f"key {kind}, {columns}", whole)
     parts = map_rows(rows.filter(long_), f"key {kind}, digest binary, seq int, stretch int, final boolean, part string", cut_up)
-    coded = map_rows(parts.repartition("key", "digest", "seq"), f"key {kind}, digest binary, seq int, stretch int, ids binary", leaves)
+    coded = map_rows(parts.repartition("key", "digest", "seq"), f"key {kind}, digest binary, seq int, stretch int, ids binary, part string", leaves)
     joined = map_rows(coded.repartition("key", "digest").sortWithinPartitions("key", "digest", "seq"), f"key {kind}, {columns}", up, block=64)
     return short.unionByName(joined).withColumnRenamed("key", key)
 
@@ -284,7 +342,12 @@ def _blocks(items: Iterator[tuple], n: int) -> Iterator[list[tuple]]:
 
 def _assembled(bpe: Bpe, key, held: list[tuple]) -> Iterator[tuple]:
     """A document's pieces in order -> its ids, once for each copy of the row."""
-    copies = sum(seq == held[0][0] for seq, _, _ in held)
+    copies = sum(h[0] == held[0][0] for h in held)
+    if held[0][1] == ANYWHERE:
+        ids = bpe.tree_of_texts([(part, ids) for _, _, ids, part in held[::copies]])
+        for _ in range(copies):
+            yield key, ids
+        return
     out, run, at = [], [], -1
     for _, stretch, ids in held[::copies]:
         if stretch != at or stretch < 0:

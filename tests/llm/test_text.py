@@ -211,6 +211,36 @@ def test_bpe_pieces_and_joins_are_exact():
             assert got == want == coder.encode([text])[0], (text, size, leaf)
 
 
+def test_bpe_trees_of_texts_are_exact():
+    coder, rnd, grown = bpe.Bpe.at(WORD_BPE), random.Random(4), 0
+    letters = ["ab ", "aeinrst ", "the ing\n", "'s!?<|endoftext|> ", "éèê ñÉ\u0301 ", "abc  \n\t\u2003 12", "áë Σσς", "你好吗 。", "!!'s're ", "a\x1c b\x85"]
+    for _ in range(600):
+        some = rnd.choice(letters) + rnd.choice(letters)
+        text = "".join(rnd.choice(some) for _ in range(rnd.choice([3, 20, 80, 300]))) + rnd.choice(["", "<|endoftext|>", " <|startoftext|>x"])
+        want = bpe._packed(coder.lib.encode(text, add_special_tokens=False).ids)
+        for size in (1, 3, 8, 40):
+            cuts = bpe.halves(0, len(text), size)
+            parts = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+            coded = coder.encode(parts)
+            assert coder.tree_of_texts(list(zip(parts, coded))) == want, (text, size)
+            grown += b"".join(coded) != want
+    assert grown > 1000  # the cuts matter
+
+
+def test_bpe_given_rows_take_the_tree(spark):
+    """At the query's own parameters a given text is cut into leaves anywhere, and it is as the library has it."""
+    coder, taken = bpe.Bpe.at(WORD_BPE), 0
+    long_ = {r["doc_id"]: r["text"] for r in table(spark, "/root/testdata/sf0.1", "documents").filter(F.length("text") > bpe.PIECE).collect()}
+    for t in long_.values():
+        leaves = list(bpe.leaves_of(coder, t))
+        taken += len(leaves) > 1 and all(s == bpe.ANYWHERE for s, _, _ in leaves)
+        assert "".join(p for _, _, p in leaves) == t
+    assert taken == len(long_) > 0
+    docs = spark.createDataFrame(list(long_.items()) * 2, "doc_id long, text string")
+    got = [tuple(r) for r in bpe.digests(docs, WORD_BPE).collect()]
+    assert sorted(got) == sorted((k, *coded(t)) for k, t in long_.items() for _ in range(2))
+
+
 def test_bpe_chunks_hold_for_every_character():
     coder = bpe.Bpe.at(WORD_BPE)
     texts = [f"a{chr(i)}b A{chr(i)}. {chr(i)}B, x{chr(i)}" for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x3100 or i % 37 == 0 or i > 0x1E0000)]
