@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote, their reliabilities are estimated, and a span classifier is trained on the result.
 
 One pass over the texts finds the base spans and further candidates and lets every labeler vote on each (yes, no, no opinion): regular
-expressions for strict forms, gazetteers of names, domains and number prefixes, and context words.  How often each pattern of votes and shapes
+expressions for strict forms, gazetteers of names, domains, number prefixes and words for secrets, and context words.  Candidates are open: any
+capitalised words behind a word that announces a name, and any long string that is assigned to something, whatever the lists know.  How often each pattern of votes and shapes
 occurs is counted over all documents; only these counts, of bounded number, reach the driver.  There expectation-maximisation estimates
 how reliable each labeler is without any labelled row, and a logistic classifier of votes and shapes is trained on the resulting
 probabilities.  The classifier decides on the candidates; base spans always stay.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_rows
 from tessera.session import cut
 
-KINDS = ("email", "ip", "card", "phone", "name", "national_id")
+KINDS = ("email", "ip", "card", "phone", "name", "national_id", "secret")
 THRESHOLD = 0.9
 #: Candidates that a labeler pattern must have before its counts stop being smoothed towards a fair coin.
 PRIOR = 4.0
@@ -36,8 +38,12 @@ TITLES = frozenset("Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Don Dona Sen
 CONTEXT = {
     "email": ("mail", "contact", "write", "courriel", "correo"), "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"), "phone": ("phone", "tel", "call", "fax", "mobile", "whatsapp"),
-    "name": ("name", "dear", "mr", "mrs", "dr", "signed", "author"), "national_id": ("ssn", "social", "national", "security", "id"),
+    "name": ("name", "dear", "mr", "mrs", "dr", "signed", "author", "sincerely", "regards", "attn", "patient", "employee", "customer", "nom", "nombre", "liebe", "lieber"),
+    "national_id": ("ssn", "social", "national", "security", "id"),
+    "secret": ("token", "secret", "key", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials"),
 }
+#: Words inside the name that a value is assigned to which tell of something else than a secret.
+OPEN = ("hash", "sha", "md5", "checksum", "digest", "etag", "commit", "url", "path", "file", "class", "href", "src")
 AGAINST = ("version", "isbn", "issn", "order", "section", "page", "figure", "table", "line", "chapter", "release")
 
 _AT = re.compile(r"@")
@@ -50,9 +56,13 @@ _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NAME = re.compile(r"(?<![^\W_])([A-Z][a-z]+)\.? ([A-Z][a-z]+)(?: ([A-Z][a-z]+))?(?![^\W_])")
+_ANNOUNCED = re.compile(r"(?<![^\W_])(?i:" + "|".join(CONTEXT["name"]) + r")(?: is)?[.:,]? {1,2}(?=[A-Z])")
+_CAPITALS = re.compile(r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)*(?: (?:[A-Z]\. )?[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)*){1,2}(?![^\W_])")
+_ASSIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]{1,63})[\"']? ?(?:=>|:=|=|:) ?[\"']?(?!/)([A-Za-z0-9_+/=.~-]{16,})")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _WORD = re.compile(r"[A-Za-z]+")
+_LOWER = re.compile(r"(?<![^\W_])[a-z]{2,}(?![^\W_])")
 
 
 def luhn(digits: str) -> bool:
@@ -110,16 +120,31 @@ def _more(text: str) -> Iterator[tuple[int, int, int]]:
             yield *m.span(), 3
         for m in _SSN.finditer(text):
             yield *m.span(), 5
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            yield *m.span(2), 6
+    seen = set()
     for m in _NAME.finditer(text):
         if m[1] in FIRST_NAMES or m[1] in TITLES:
+            seen.add(m.start())
             yield *m.span(), 4
+    for lead in _ANNOUNCED.finditer(text):
+        m = _CAPITALS.match(text, lead.end())
+        if m and m.start() not in seen:
+            yield *m.span(), 4
+
+
+def entropy(text: str) -> float:
+    """Bits a character, from the frequencies of the characters of ``text``."""
+    n = np.array(list(Counter(text).values()), float) / max(1, len(text))
+    return float(-(n * np.log2(n)).sum())
 
 
 LABELERS = ("form", "check", "gazetteer", "context", "edges")
 
 
-def votes(text: str, start: int, end: int, kind: int) -> tuple[int, ...]:
-    """What each labeler says of a candidate: 1 yes, -1 no, 0 no opinion."""
+def votes(text: str, start: int, end: int, kind: int, plain: frozenset[str] | set[str] = frozenset()) -> tuple[int, ...]:
+    """What each labeler says of a candidate: 1 yes, -1 no, 0 no opinion.  ``plain`` are words that the text also has in lower case."""
     span, name = text[start:end], KINDS[kind]
     digits = "".join(_DIGIT.findall(span)) if kind != 0 else ""
     form = check = gazetteer = 0
@@ -141,15 +166,22 @@ def votes(text: str, start: int, end: int, kind: int) -> tuple[int, ...]:
     elif name == "national_id":
         form = 1
         check = -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
+    elif name == "secret":
+        form = 0 if digits and any(c.isalpha() for c in span) else -1
+        check = 1 if entropy(span) >= 3.0 else -1
+        to = _WORD.findall(text[max(0, start - 72):start].lower())[-3:]
+        gazetteer = 1 if any(w in CONTEXT[name] for w in to) else -1 if any(w in OPEN for w in to) else 0
     else:
         words = _WORD.findall(span)
-        form = 1 if len(words) in (2, 3) else 0
         gazetteer = 1 if any(w in FIRST_NAMES for w in words) else 0
-        check = 1 if words[0] in TITLES else -1 if words[-1] in FIRST_NAMES and len(words) == 2 else 0
+        common = any(w.lower() in plain for w in words)
+        check = 1 if words and words[0] in TITLES else -1 if common or words and words[-1] in FIRST_NAMES and len(words) == 2 else 0
     near = _WORD.findall(text[max(0, start - 32):start].lower())[-4:]
-    context = 1 if any(w in CONTEXT[name] for w in near) else -1 if near and near[-1] in AGAINST else 0
+    against = near[-1:] and (near[-1] in AGAINST or name == "secret" and near[-1] in OPEN)
+    context = 1 if any(w in CONTEXT[name] for w in near) else -1 if against else 0
     before, after = text[start - 1:start], text[end:end + 1]
-    edges = -1 if before.isalnum() or after.isalnum() else 1
+    # open candidates end at such edges by their making, which tells nothing
+    edges = -1 if before.isalnum() or after.isalnum() else 0 if name in ("name", "secret") else 1
     return form, check, gazetteer, context, edges
 
 
@@ -191,7 +223,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 taken.cover(a, b)
             found = [(a, b, kind, True) for a, b, kind in base]
             found += [(a, b, kind, False) for a, b, kind in _more(t) if taken.free(a, b)]
-            yield k, [{"start": a, "end": b, "kind": kind, "base": is_base, "votes": list(votes(t, a, b, kind)), "shape": shape(t, a, b)}
+            names = any(kind == 4 for _, _, kind, _ in found)
+            plain = set(_LOWER.findall(t)) if names else frozenset()
+            yield k, [{"start": a, "end": b, "kind": kind, "base": is_base, "votes": list(votes(t, a, b, kind, plain)), "shape": shape(t, a, b)}
                       for a, b, kind, is_base in found]
 
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text)), f"key {docs.schema[key].dataType.simpleString()}, spans {CANDIDATE}", work)
@@ -291,13 +325,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 
 
 def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of ``find``; spans written as kind:start:end, comma-joined."""
+    """key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of ``find``, n_spans; spans written as kind:start:end, comma-joined."""
     def work(rows):
         for k, found in rows:
             base = [s for s in found if s["base"]]
             told = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in base)
             yield (k, *(sum(s["kind"] == kind for s in base) for kind in KINDS[:4]), hashlib.sha256(told.encode()).hexdigest(),
-                   ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in found))
+                   ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in found), len(found))
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(find(docs, key, text, threshold), f"{key} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", work)
+    return map_rows(find(docs, key, text, threshold), f"{key} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", work)

@@ -367,6 +367,40 @@ def test_pii_query_over_documents(spark):
         assert set(told) <= set(r["spans"].split(","))
 
 
+def test_pii_finds_what_no_list_holds(spark):
+    """Names outside the gazetteer, assigned secrets, local numbers and ids, among look-alikes: recall and precision on planted spans."""
+    rnd, rows, want = random.Random(8), [], {}
+    first = ["Zbigniew", "Ngozi", "Thuy", "Aoife", "Bjarni", "Oluwaseun", "Yevhenia", "Siobhán", "Kwabena", "Ragnheiður"]
+    last = ["Kowalczyk", "Adeyemi-Okafor", "Nguyen", "O'Shaughnessy", "Gunnarsson", "Balogun", "Tkachenko", "Mensah", "Petrov", "Ivashchenko"]
+    assert not set(first) & pii.FIRST_NAMES
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    prose = ["the river runs past an old mill", "we shall meet again in spring", "nothing in this line is private", "a quiet evening by the sea"]
+    for k in range(400):
+        kind = k % 5
+        name = f"{rnd.choice(first)} {rnd.choice(last)}"
+        head = rnd.choice(prose) + ". "
+        if kind == 0:
+            lead, span = head + rnd.choice(["Dear ", "Signed, ", "customer: ", "My name is ", "Author: "]), name
+        elif kind == 1:
+            lead, span = head + rnd.choice(["api_key = '", "token: ", 'export SECRET="', "db.password=>"]), hexes(32)
+        elif kind == 2:
+            lead, span = head + "call ", f"{rnd.randint(200, 999)}-{rnd.randint(200, 999)}-{rnd.randint(1000, 9999)}"
+        elif kind == 3:
+            lead, span = head + "her ssn ", f"{rnd.randint(100, 665)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}"
+        else:  # look-alikes
+            rows.append((k, head + rnd.choice([f"sha checksum: {hexes(40)}", "name: River Mill, past the river and the mill", "The River Mill Society met",
+                                               f"url = example.com/{'a' * 20}", "release 1.2.3 of Project Alpha", "class = aaaaaaaaaaaaaaaaaaaaaaaa"])))
+            continue
+        rows.append((k, lead + span + ", " + rnd.choice(prose) + "."))
+        want[k] = f"{('name', 'secret', 'phone', 'national_id')[kind]}:{len(lead)}:{len(lead) + len(span)}"
+    got = {r["doc_id"]: r for r in pii.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = {(k, s) for k, r in got.items() for s in r["spans"].split(",") if s}
+    hits = told & set(want.items())
+    print("recall", len(hits) / len(want), "precision", len(hits) / max(1, len(told)), sorted(told - hits)[:20], sorted(set(want.items()) - hits)[:20])
+    assert len(hits) / len(want) >= 0.95 and len(hits) / len(told) >= 0.95
+    assert all(r["n_spans"] == len([s for s in r["spans"].split(",") if s]) for r in got.values())
+
+
 def test_pii_reliabilities_are_found():
     rnd = random.Random(1)
     counts: dict = {}
