@@ -8,6 +8,7 @@ from conftest import u
 from tessera.functions.similarity import sim_from_polar, sim_scale
 from tessera.operators import fitting, graph, matching
 from tessera.plans.recognize import recognize
+from tessera.session import cut
 
 FEATURES = "set_id long, source_id long, feature_id long, x double, y double, descriptor array<float>"
 
@@ -212,3 +213,32 @@ def test_recognize_end_to_end(spark):
     for model in ("similarity", "homography"):
         r = recognize(feats, sizes, model, trials=60)
         assert sorted(x.source_id for x in r.groups.collect()) == [0, 1, 2], model
+
+
+@pytest.mark.parametrize("model", ["similarity", "homography"])
+@pytest.mark.parametrize("chunk", [8192, 40])
+def test_early_elimination_keeps_the_winner(spark, monkeypatch, model, chunk):
+    """Pairs in one task and pairs cut into chunks: the winner of the full scoring, by far fewer residuals."""
+    monkeypatch.setattr(fitting, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(fitting, "SCORE_ROWS", 32)
+    rows = []
+    for pair, n in ((1, 600), (2, 330), (3, 45), (4, 41), (5, 3), (6, 90)):
+        for i in range(n):
+            x, y = 1000 * u("e", pair, i, 0), 800 * u("e", pair, i, 1)
+            good = u("e", pair, i, 2) < (0.7 if pair < 6 else 0.0)
+            far = (0.9 * x - 0.1 * y + 40, 0.1 * x + 0.9 * y - 25) if good else (1000 * u("e", pair, i, 3), 800 * u("e", pair, i, 4))
+            rows.append((1, pair, pair + 1, i, x, y, *far, 5.0))
+    points = spark.createDataFrame(rows, "set_id long, a long, b long, match_id long, xa double, ya double, xb double, yb double, threshold double")
+    indexed = fitting.index_points(points)
+    models = cut(fitting.hypotheses(indexed, model, 60))
+    scored = {}
+    for r in fitting.score_hypotheses(indexed, models).collect():
+        key = (-r["n_inliers"], r["trial"])
+        scored[r["a"]] = min(scored.get(r["a"], key), key)
+    got = {r["a"]: r for r in fitting.best_hypotheses(indexed, models).collect()}
+    tried = {r["a"]: r["count"] for r in models.groupBy("a").count().collect()}
+    assert set(got) == set(tried) and {a: (-r["n_inliers"], r["trial"]) for a, r in got.items() if r["n_inliers"]} == scored
+    assert all(r["n_residuals"] <= (tried[a] + 1) * r["n"] for a, r in got.items())
+    # most two-point samples that give a plausible similarity here are good ones, which no bound can drop
+    assert got[1]["n_residuals"] < (0.95 if model == "similarity" else 0.75) * tried[1] * got[1]["n"]
+    assert fitting.best_hypotheses(indexed.limit(0), models.limit(0)).collect() == []
