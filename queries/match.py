@@ -89,6 +89,14 @@ def _(spark, sf):
     return graph.connected_components(edges(spark, sf))
 
 
+# components stored before the sources with odd numbers came, then theirs added
+@R.add("add_pairs", f"WITH RECURSIVE {MATCHES}, {candidates_sql(1, 'c')}, {components_sql('c', 'cc')} SELECT node AS source_id, component FROM cc")
+def _(spark, sf):
+    pairs = cut(edges(spark, sf).select("set_id", "a", "b"))
+    late = (F.col("a") % 2 == 1) | (F.col("b") % 2 == 1)
+    return graph.add_pairs(graph.set_components(pairs.filter(~late)), pairs.filter(late)).select("source_id", "component")
+
+
 # every vector also names a source by its number, and half of these sources are in no group at all
 @R.add("unplaced", f"{_GROUPS} SELECT DISTINCT vec_id % 20 AS source_id FROM embeddings WHERE vec_id % 20 NOT IN (SELECT node FROM cc)")
 def _(spark, sf):

@@ -73,6 +73,29 @@ def set_components(pairs: DataFrame) -> DataFrame:
                      F.col("component.source_id").alias("component"))
 
 
+def add_pairs(components: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored components after further pairs: set_id, source_id, component, as ``set_components`` of all pairs has them.
+
+    Each end of a pair stands for its stored component, or for itself if it is new, so only the labels that the pairs touch are contracted, and stored
+    rows are renamed by one join.  A label is the smallest source of its component, hence so is the smallest label of those that meet.  Pairs
+    may repeat stored ones or each other, and may join a source to itself.  Rows with a null key have no effect.  With no pairs the components stay as they are.
+    """
+    new = pairs.select("set_id", "a", "b").dropna()
+    ends = new.select("set_id", F.col("a").alias("source_id")).union(new.select("set_id", "b")).distinct()
+    known = components.select("set_id", "source_id", "component").dropna()
+    touched = cut(ends.join(known, ["set_id", "source_id"], "left").withColumn("_new", F.col("component").isNull())
+                  .withColumn("component", F.coalesce("component", "source_id")))
+    links = new
+    for end in ("a", "b"):
+        label = touched.select("set_id", F.col("source_id").alias(end), F.col("component").alias(f"_{end}"))
+        links = links.join(label, ["set_id", end])
+    links = links.select("set_id", F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    moved = cut(set_components(links).select("set_id", F.col("source_id").alias("component"), F.col("component").alias("_to")))
+    rows = known.unionByName(touched.filter("_new").select(*known.columns))
+    return (rows.join(moved.filter("component <> _to"), ["set_id", "component"], "left")
+            .select("set_id", "source_id", F.coalesce("_to", "component").alias("component")))
+
+
 def assemble_groups(pairs: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Groups of at least two connected sources, numbered from 1 by size, then by first member.
 

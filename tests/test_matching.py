@@ -242,3 +242,20 @@ def test_early_elimination_keeps_the_winner(spark, monkeypatch, model, chunk):
     # most two-point samples that give a plausible similarity here are good ones, which no bound can drop
     assert got[1]["n_residuals"] < (0.95 if model == "similarity" else 0.75) * tried[1] * got[1]["n"]
     assert fitting.best_hypotheses(indexed.limit(0), models.limit(0)).collect() == []
+
+
+def test_added_pairs_give_the_components_of_the_full_run(spark):
+    rng = np.random.default_rng(11)
+    kinds = "set_id long, a long, b long"
+    drawn = [(int(s), int(a), int(b)) for s, a, b in zip(rng.integers(0, 3, 400), rng.integers(0, 400, 400), rng.integers(0, 400, 400))]
+    drawn += [(7, 5, k) for k in range(6, 40)] + [(8, k, k + 1) for k in range(30)] + [(1, 3, 3)]
+    stored, parts = None, [drawn[0::3], drawn[1::3], drawn[2::3], drawn[:20], [(None, 1, 2), (1, None, 2)]]
+    for part in parts:
+        rows = spark.createDataFrame(part, kinds)
+        stored = graph.set_components(rows) if stored is None else cut(graph.add_pairs(stored, rows))
+    full = graph.set_components(spark.createDataFrame(drawn, kinds))
+    got = [tuple(r) for r in stored.collect()]
+    assert sorted(got) == sorted(tuple(r) for r in full.collect()) and len(got) == len(set(got))
+    none = spark.createDataFrame([], kinds)
+    assert sorted(map(tuple, graph.add_pairs(stored, none).collect())) == sorted(got)
+    assert sorted(map(tuple, graph.add_pairs(full.limit(0), spark.createDataFrame([(1, 2, 3)], kinds)).collect())) == [(1, 2, 2), (1, 3, 2)]
