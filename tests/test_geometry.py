@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,6 +57,34 @@ def test_upper_median(spark):
     assert positions.typical_step(near).first().step == 3.0
 
 
+@pytest.mark.parametrize("buckets, leaf", [(4, 3), (1024, 4096)])
+def test_upper_median_by_counting(spark, buckets, leaf):
+    rng = np.random.default_rng(8)
+    sets = {1: rng.exponential(size=301) ** 8, 2: np.r_[np.full(50, 2.5), 1.0, 9.0], 3: np.full(40, 7.0), 4: np.array([5.0]),
+            5: np.r_[np.zeros(9), 1e-300, 1e300, 1e299]}
+    rows = [(k, i, float(v)) for k, vs in sets.items() for i, v in enumerate(vs)] + [(6, 0, None), (4, 1, None)]
+    got = positions.typical_step(spark.createDataFrame(rows, "set_id long, source_id long, nearest double"), buckets, leaf).collect()
+    assert {r.set_id: r.step for r in got} == {k: float(np.sort(v)[len(v) // 2]) for k, v in sets.items()} and len(got) == 5
+
+
+def test_start_levels_are_the_coarsest_roomy_cells(spark):
+    rng = np.random.default_rng(5)
+    spots = [(1, *p) for p in rng.uniform((-90, -180), (90, 180), size=(150, 2))] + [(1, *p) for p in rng.normal((10, 20), 1e-6, size=(150, 2))]
+    spots += [(2, *p) for p in rng.uniform(-1, 1, size=(5, 2))] + [(3, 50 + k * 1e-13, 7.0) for k in range(40)]
+    spots = list({(int(s), float(a), float(b)) for s, a, b in spots})
+
+    def cell(s, a, b, level):
+        size = 4.0 ** level * positions.FINEST_DEG
+        return (s, math.floor(a / size), math.floor(b / size)) if level < positions.LEVELS - 1 else s
+
+    counts = [Counter(cell(*p, level) for p in spots) for level in range(positions.LEVELS)]
+    want = {p: max([lv for lv in range(positions.LEVELS) if counts[lv][cell(*p, lv)] <= 8], default=0) for p in spots}
+    df = spark.createDataFrame(spots, "set_id long, lat double, lon double").repartition(5)
+    for run in (16, 4096):
+        got = {(r.set_id, r.lat, r.lon): r.start for r in positions.start_levels(df, 8, run).collect()}
+        assert got == want
+
+
 def test_positions_match_brute_force_with_clusters_and_twins(spark):
     rng = np.random.default_rng(2)
     pts = [(float(a), float(b)) for a, b in rng.uniform(-60, 60, size=(60, 2))]
