@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.grids import tile_stencil
+from tessera.operators.grids import TILE, tile_stencil
 from tessera.session import cut
 
 BORDER = 5
 MAX_MOVES = 5
+REACH = 6
 
 
 def local_extrema(space: DataFrame, keys: list[str], steps: int = 3, threshold: float | None = None,
@@ -47,87 +49,112 @@ def local_extrema(space: DataFrame, keys: list[str], steps: int = 3, threshold:
             .select(*key, "s.level", "y", "x", "s.v"))
 
 
-def _fits(active: DataFrame, space: DataFrame, key: list[str], steps: int) -> DataFrame:
-    """Quadratic fit around every active cell: gradient, stationary offset and spatial curvature."""
-    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    stack = F.array(*[f"d{i}" for i in range(steps + 2)])
-    cells = space.select(*key, F.col("y").alias("_y"), F.col("x").alias("_x"), stack.alias("_d"))
-    want = (active.withColumn("_dy", shift).withColumn("_dx", shift)
-            .withColumn("_y", F.col("y") + F.col("_dy")).withColumn("_x", F.col("x") + F.col("_dx")))
-    level = F.col("level")
-    column = F.array(F.element_at("_d", level), F.element_at("_d", level + 1), F.element_at("_d", level + 2))
-    ident = [c for c in active.columns]
-    near = (want.join(cells, [*key, "_y", "_x"]).withColumn("_c", column)
-            .groupBy(*ident)
-            .agg(*[F.expr(f"max(if(_dy = {dy} and _dx = {dx}, _c, null))").alias(f"n{dy + 1}{dx + 1}")
-                   for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-
+def _fits(d: np.ndarray, s: np.ndarray, y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Quadratic fits around positions (level, row, column) of a stack of levels: gradient, stationary offset and spatial curvature."""
     def at(dx, dy, ds):
-        return f"n{dy + 1}{dx + 1}[{ds + 1}]"
+        return d[s + ds, y + dy, x + dx]
 
     def first(lo, hi):
-        return f"({hi} - {lo}) * 0.5D"
-
-    def second(lo, hi):
-        return f"{hi} + {lo} - {at(0, 0, 0)} * 2"
+        return (hi - lo) * 0.5
 
     def mixed(pp, np_, pn, nn):
-        return f"({pp} - {np_} - {pn} + {nn}) * 0.25D"
-
-    d = near.selectExpr(
-        *ident, f"{at(0, 0, 0)} as c0",
-        f"{first(at(-1, 0, 0), at(1, 0, 0))} as gx", f"{first(at(0, -1, 0), at(0, 1, 0))} as gy",
-        f"{first(at(0, 0, -1), at(0, 0, 1))} as gs",
-        f"{second(at(-1, 0, 0), at(1, 0, 0))} as dxx", f"{second(at(0, -1, 0), at(0, 1, 0))} as dyy",
-        f"{second(at(0, 0, -1), at(0, 0, 1))} as dss",
-        f"{mixed(at(1, 1, 0), at(-1, 1, 0), at(1, -1, 0), at(-1, -1, 0))} as dxy",
-        f"{mixed(at(1, 0, 1), at(-1, 0, 1), at(1, 0, -1), at(-1, 0, -1))} as dxs",
-        f"{mixed(at(0, 1, 1), at(0, -1, 1), at(0, 1, -1), at(0, -1, -1))} as dys")
-
-    def det3(m):
-        return (f"{m[0][0]}*({m[1][1]}*{m[2][2]} - {m[1][2]}*{m[2][1]}) - {m[0][1]}*({m[1][0]}*{m[2][2]} - "
-                f"{m[1][2]}*{m[2][0]}) + {m[0][2]}*({m[1][0]}*{m[2][1]} - {m[1][1]}*{m[2][0]})")
+        return (pp - np_ - pn + nn) * 0.25
 
-    hess = [["dxx", "dxy", "dxs"], ["dxy", "dyy", "dys"], ["dxs", "dys", "dss"]]
-    rhs = ("(-gx)", "(-gy)", "(-gs)")
-    d = d.selectExpr("*", f"{det3(hess)} as _det").filter("abs(_det) > 1e-12")
-    offsets = [f"({det3([[rhs[r] if c == k else hess[r][c] for c in range(3)] for r in range(3)])}) / _det as {name}"
-               for k, name in enumerate(("ox", "oy", "os"))]
-    return d.selectExpr(*ident, "c0", "gx", "gy", "gs", "dxx", "dyy", "dxy", *offsets)
+    c0 = at(0, 0, 0)
 
+    def second(lo, hi):
+        return hi + lo - c0 * 2
 
-def _half_away(c):
-    return F.signum(c) * F.floor(F.abs(c) + 0.5)
+    def det3(m):
+        return (m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0])
+                + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0]))
+
+    gx, gy, gs = first(at(-1, 0, 0), at(1, 0, 0)), first(at(0, -1, 0), at(0, 1, 0)), first(at(0, 0, -1), at(0, 0, 1))
+    dxx, dyy, dss = second(at(-1, 0, 0), at(1, 0, 0)), second(at(0, -1, 0), at(0, 1, 0)), second(at(0, 0, -1), at(0, 0, 1))
+    dxy = mixed(at(1, 1, 0), at(-1, 1, 0), at(1, -1, 0), at(-1, -1, 0))
+    dxs = mixed(at(1, 0, 1), at(-1, 0, 1), at(1, 0, -1), at(-1, 0, -1))
+    dys = mixed(at(0, 1, 1), at(0, -1, 1), at(0, 1, -1), at(0, -1, -1))
+    hess, rhs = [[dxx, dxy, dxs], [dxy, dyy, dys], [dxs, dys, dss]], (-gx, -gy, -gs)
+    det = det3(hess)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        offsets = [det3([[rhs[r] if c == k else hess[r][c] for c in range(3)] for r in range(3)]) / det for k in range(3)]
+    return {"c0": c0, "gx": gx, "gy": gy, "gs": gs, "dxx": dxx, "dyy": dyy, "dxy": dxy,
+            "ox": offsets[0], "oy": offsets[1], "os": offsets[2], "_det": det}
+
+
+def _half_away(a: np.ndarray) -> np.ndarray:
+    return (np.sign(a) * np.floor(np.clip(np.abs(a), 0, 1e8) + 0.5)).astype(np.int64)
+
+
+_FIT = ["c0", "gx", "gy", "gs", "dxx", "dyy", "dxy", "ox", "oy", "os"]
+_AT = ["level0", "y0", "x0", "level", "y", "x"]
+
+
+def _walk(pdf: pd.DataFrame, cells: pd.DataFrame, keys: list[str], steps: int, border: int, tile: int) -> pd.DataFrame:
+    """Moves of the extrema of one tile until they settle, drop out or leave the cells at hand; the last wait for another tile (_wait)."""
+    top, left = int(pdf._ty.iloc[0]) * tile - REACH, int(pdf._tx.iloc[0]) * tile - REACH
+    side = tile + 2 * REACH
+    d = np.full((steps + 2, side, side), np.nan)
+    d[:, cells.y.to_numpy() - top, cells.x.to_numpy() - left] = cells[[f"d{i}" for i in range(steps + 2)]].to_numpy().T
+    go, out = pdf.drop(columns=["_ty", "_tx"]), []
+    while len(go):
+        at = go["level"].to_numpy(), go["y"].to_numpy() - top, go["x"].to_numpy() - left
+        here = np.logical_and.reduce([(p >= 1) & (p < side - 1) for p in at[1:]])
+        out.append(go[~here].assign(_wait=True, **{c: np.nan for c in _FIT}))
+        go, at = go[here], [p[here] for p in at]
+        fit = _fits(d, *at)
+        sound = np.abs(fit.pop("_det")) > 1e-12
+        small = sound & np.logical_and.reduce([np.abs(fit[c]) < 0.5 for c in ("ox", "oy", "os")])
+        out.append(go[small].assign(_wait=False, **{c: v[small] for c, v in fit.items()}))
+        more = sound & ~small & (go._moves.to_numpy() < MAX_MOVES)
+        go = go[more].assign(_moves=go._moves[more] + 1)
+        for c, o in (("level", "os"), ("y", "oy"), ("x", "ox")):
+            go[c] = go[c].to_numpy() + _half_away(fit[o][more])
+        inside = go["level"].between(1, steps)
+        for c, size in (("x", "width"), ("y", "height")):
+            inside &= (go[c] >= border) & (go[c] < go[size] - border)
+        go = go[inside]
+    found = pd.concat(out, ignore_index=True)
+    return found[[*keys, "octave", "width", "height", *_AT, "_moves", *_FIT, "_wait"]]
 
 
 def refine_extrema(extrema: DataFrame, space: DataFrame, keys: list[str], steps: int = 3,
-                   border: int = BORDER) -> DataFrame:
+                   border: int = BORDER, tile: int = TILE) -> DataFrame:
     """Move each extremum to the cell its quadratic fit points at, up to five times.
 
-    Settles when every offset is under half a cell; drops out when singular, outside or still
+    Settles when every offset is under half a cell; drops out when singular, outside, next to a missing cell or still
     moving.  Adds ox, oy, os and the fit's gradient and curvature at the final cell.
+
+    Extrema meet the cells of their tile and a rim of ``REACH`` cells once and move there; only those that a far jump takes beyond the
+    rim meet another tile in a further round (each such round is a move, so five at most).
     """
     key = [*keys, "octave", "width", "height"]
+    levels = [f"d{i}" for i in range(steps + 2)]
+    types = dict(extrema.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in key] + [f"`{c}` int" for c in (*_AT, "_moves")] + [f"`{c}` double" for c in _FIT] + ["_wait boolean"])
+    # cells near a tile's edge go to the neighbours too
+    near = [F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + o) / tile) for o in (0, REACH, -REACH)]))) for c in ("y", "x")]
+    cells = space.select(*key, "y", "x", *levels, near[0].alias("_ty")).withColumn("_tx", near[1])
     active = extrema.select(*key, F.col("level").alias("level0"), F.col("y").alias("y0"), F.col("x").alias("x0"),
-                            "level", "y", "x")
+                            "level", "y", "x", F.lit(0).alias("_moves"))
+    tiled = [*key, "_ty", "_tx"]
     settled = None
-    small = (F.abs("ox") < 0.5) & (F.abs("oy") < 0.5) & (F.abs("os") < 0.5)
-    for move in range(MAX_MOVES + 1):
-        fits = cut(_fits(active, space, key, steps).withColumn("_still", small))
-        done = fits.filter("_still").drop("_still")
+    for _ in range(MAX_MOVES + 1):
+        placed = active.withColumn("_ty", F.floor(F.col("y") / tile)).withColumn("_tx", F.floor(F.col("x") / tile))
+        wanted = cells.join(placed.select(*tiled).distinct(), tiled, "left_semi")
+
+        def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if len(left) == 0:
+                return pd.DataFrame()
+            return _walk(left, right, keys, steps, border, tile)
+
+        moved = cut(placed.groupBy(*tiled).cogroup(wanted.groupBy(*tiled)).applyInPandas(walk, schema))
+        done = moved.filter("not _wait").drop("_wait", "_moves")
         settled = done if settled is None else settled.unionByName(done)
-        going = fits.filter("not _still")
-        if move == MAX_MOVES or going.isEmpty():
+        active = moved.filter("_wait").select(*key, *_AT, "_moves")
+        if active.isEmpty():
             break
-        active = going.select(*key, "level0", "y0", "x0",
-                              (F.col("level") + _half_away(F.col("os"))).cast("int").alias("level"),
-                              (F.col("y") + _half_away(F.col("oy"))).cast("int").alias("y"),
-                              (F.col("x") + _half_away(F.col("ox"))).cast("int").alias("x"))
-        active = active.filter(
-            (F.col("level") >= 1) & (F.col("level") <= steps)
-            & (F.col("x") >= border) & (F.col("x") < F.col("width") - border)
-            & (F.col("y") >= border) & (F.col("y") < F.col("height") - border))
-    return settled
+    return settled.select(*key, *_AT, *_FIT)
 
 
 def contrast_edge_filter(refined: DataFrame, steps: int = 3, sigma0: float = 1.6, contrast: float = 0.04,

@@ -91,6 +91,47 @@ def test_blob_is_found_where_it_is(spark):
     assert [f[:2] for f in found[0]] == [f[:2] for f in found[1]]
 
 
+def refined_alone(d, level, y, x, steps, border):
+    """One extremum, move by move, through a linear solver."""
+    h, w = d.shape[1:]
+    for _ in range(extrema.MAX_MOVES + 1):
+        c = d[level - 1:level + 2, y - 1:y + 2, x - 1:x + 2]
+        g = np.array([c[1, 1, 2] - c[1, 1, 0], c[1, 2, 1] - c[1, 0, 1], c[2, 1, 1] - c[0, 1, 1]]) / 2
+        m = np.diag([c[1, 1, 2] + c[1, 1, 0], c[1, 2, 1] + c[1, 0, 1], c[2, 1, 1] + c[0, 1, 1]] - 2 * c[1, 1, 1])
+        m[0, 1] = m[1, 0] = (c[1, 2, 2] - c[1, 2, 0] - c[1, 0, 2] + c[1, 0, 0]) / 4
+        m[0, 2] = m[2, 0] = (c[2, 1, 2] - c[2, 1, 0] - c[0, 1, 2] + c[0, 1, 0]) / 4
+        m[1, 2] = m[2, 1] = (c[2, 2, 1] - c[2, 0, 1] - c[0, 2, 1] + c[0, 0, 1]) / 4
+        if np.isnan(m).any() or abs(np.linalg.det(m)) <= 1e-12:
+            return None
+        o = np.linalg.solve(m, -g)
+        if (np.abs(o) < .5).all():
+            return (level, y, x, *np.round(o, 6))
+        x, y, level = (int(p + np.sign(q) * np.floor(abs(q) + .5)) for p, q in zip((x, y, level), o))
+        if not (1 <= level <= steps and border <= x < w - border and border <= y < h - border):
+            return None
+    return None
+
+
+@pytest.mark.parametrize("tile", [16, 256])
+def test_extrema_move_within_tiles_and_beyond(spark, tile):
+    rng = np.random.default_rng(3)
+    d = rng.normal(size=(5, 60, 70)) + np.linspace(0, 6, 70)
+    d[:, 33, 41] = np.nan
+    spots = [(int(lv), int(y), int(x)) for lv, y, x in zip(rng.integers(1, 4, 400), rng.integers(5, 55, 400), rng.integers(5, 65, 400))]
+    spots = sorted(set(spots))
+    want = {p: r for p in spots if (r := refined_alone(d, *p, 3, 5)) is not None}
+    assert any(abs(r[2] - p[2]) > 8 or abs(r[1] - p[1]) > 8 for p, r in want.items())
+    cells = [(1, 0, 70, 60, y, x, *(float(v) for v in d[:, y, x])) for y in range(60) for x in range(70) if (y, x) != (33, 41)]
+    space = spark.createDataFrame(cells, "k long, octave int, width int, height int, y int, x int, d0 double, d1 double, d2 double, d3 double, d4 double")
+    ext = spark.createDataFrame([(1, 0, 70, 60, *p, 0.0) for p in spots], "k long, octave int, width int, height int, level int, y int, x int, v double")
+    got = extrema.refine_extrema(ext, space, ["k"], tile=tile).collect()
+    assert len(got) == len(want)
+    for r in got:
+        level, y, x, *o = want[r.level0, r.y0, r.x0]
+        assert (r.level, r.y, r.x) == (level, y, x) and np.allclose([r.ox, r.oy, r.os], o, atol=1e-5)
+    assert extrema.refine_extrema(ext.limit(0), space, ["k"]).count() == 0
+
+
 def layers(spark, specs):
     """specs: source, x0, w, h, fn(x, y) -> value; tent centred on the layer."""
     rows = []
