@@ -236,8 +236,15 @@ def test_largest_rectangle(spark):
 def test_largest_rectangle_random(spark, monkeypatch):
     monkeypatch.setattr(coverage, "SPAN", 4)
     rng = np.random.default_rng(8)
-    for g in range(3):
-        mask = rng.uniform(size=(14, 11)) < 0.75
+    masks = []
+    for g in range(24):
+        mask = rng.uniform(size=(14, 11)) < (0.75 if g % 3 else 0.93)
+        mask[:, rng.integers(0, 11)] &= g % 4 > 0
+        masks.append(mask)
+    cells = [(g, y, x) for g, mask in enumerate(masks) for y in range(14) for x in range(11) if mask[y, x]]
+    df = spark.createDataFrame(cells, "set_id long, y int, x int")
+    got = {columns: {r.set_id: (r.x, r.y, r.w, r.h) for r in coverage.largest_full_rect(df, 11, 14, columns=columns).collect()} for columns in (1, 2, 3, 4, 8192)}
+    for g, mask in enumerate(masks):
         best = None
         for by in range(14):
             for right in range(1, 12):
@@ -248,9 +255,8 @@ def test_largest_rectangle_random(spark, monkeypatch):
                     key = (tall * (right - left), -by, -right, tall)
                     if tall and (best is None or key > best[0]):
                         best = (key, left, by - tall + 1, right - left, tall)
-        df = spark.createDataFrame([(1, y, x) for y in range(14) for x in range(11) if mask[y, x]], "set_id long, y int, x int")
-        r = coverage.largest_full_rect(df, 11, 14).first()
-        assert (r.x, r.y, r.w, r.h) == best[1:]
+        for columns, found in got.items():
+            assert found[g] == best[1:], (g, columns)
 
 
 def test_circular_peaks_and_soft_histogram(spark):
