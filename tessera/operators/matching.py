@@ -11,9 +11,100 @@ from pyspark.sql.window import Window
 from tessera.operators.spread import top_n, unordered_block_pairs
 
 MIN_SECOND_SQ = 1e-7
+MANY, FEW = 4096, 0.1
 _HITS = "set_id bigint, a bigint, fa bigint, b bigint, fb bigint, dot double"
 
 
+def full_search(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Largest and second largest dot product of each query with the vectors, and their positions; equal ones by position.  A second that is missing is -inf."""
+    dots, at = queries @ vectors.T, np.arange(len(queries))
+    first = dots.argmax(axis=1)
+    best = dots[at, first]
+    if len(vectors) == 1:
+        return best, np.full(len(at), -np.inf), first, first
+    dots[at, first] = -np.inf
+    second = dots.argmax(axis=1)
+    return best, dots[at, second], first, second
+
+
+class Cells:
+    """Unit vectors dealt to the nearest of about 2 sqrt(n) pivots, each the one farthest from the pivots before it; a cell knows how far it reaches.
+
+    ``two_nearest`` visits cells from near to far and leaves out those whose vectors, by the triangle inequality, lie farther than the
+    second nearest vector known so far, so its result is that of a search of all vectors.  ``met`` of ``all`` dot products are worked out.
+    """
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.met, self.all = vectors, 0, 0
+        chosen, nearest, cell = [0], vectors @ vectors[0], np.zeros(len(vectors), dtype=np.int64)
+        for k in range(1, int(np.ceil(2 * np.sqrt(len(vectors))))):
+            chosen.append(int(nearest.argmin()))
+            to = vectors @ vectors[chosen[-1]]
+            cell[to > nearest] = k
+            np.maximum(nearest, to, out=nearest)
+        self.pivots = vectors[chosen]
+        order = np.argsort(cell, kind="stable")
+        starts = np.searchsorted(cell[order], np.arange(len(chosen) + 1))
+        self.rows = [order[lo:hi] for lo, hi in zip(starts[:-1], starts[1:])]
+        self.sizes = np.diff(starts)
+        away = _chord(nearest)
+        self.radius = np.array([away[r].max() if len(r) else -np.inf for r in self.rows])
+
+    def share(self, queries: np.ndarray) -> float:
+        """Share of the vectors that bounds leave over for these queries once their second nearest is known."""
+        reach = _chord(full_search(queries, self.vectors)[1])
+        open_cells = _chord(queries @ self.pivots.T) - self.radius <= reach[:, None]
+        return float((open_cells @ self.sizes).mean()) / len(self.vectors)
+
+    def two_nearest(self, queries: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The result of ``full_search``."""
+        m = len(queries)
+        best, runner = np.full(m, -np.inf), np.full(m, -np.inf)
+        first, second = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        self.all += m * len(self.vectors)
+        to_pivot = queries @ self.pivots.T
+        bound = _chord(to_pivot) - self.radius[None, :]
+        home = to_pivot.argmax(axis=1)
+        order = np.argsort(home, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+            least = bound[group].min(axis=0)
+            for c in np.argsort(least, kind="stable"):
+                # a little more than the rounding of a dot product
+                reach = _chord(runner[group]) + 1e-6
+                if least[c] > reach.max():
+                    break
+                near = group[bound[group, c] <= reach]
+                rows = self.rows[c]
+                if not len(near) or not len(rows):
+                    continue
+                dots = queries[near] @ self.vectors[rows].T
+                self.met += dots.size
+                at = np.arange(len(near))
+                for _ in range(min(2, len(rows))):
+                    col = dots.argmax(axis=1)
+                    d, who = dots[at, col], rows[col]
+                    dots[at, col] = -np.inf
+                    lead = (d > best[near]) | ((d == best[near]) & (who < first[near]))
+                    behind = ~lead & ((d > runner[near]) | ((d == runner[near]) & (who < second[near])))
+                    to, by = near[lead], near[behind]
+                    runner[to], second[to] = best[to], first[to]
+                    best[to], first[to] = d[lead], who[lead]
+                    runner[by], second[by] = d[behind], who[behind]
+        return best, runner, first, second
+
+
+def cells_worth_it(vectors: np.ndarray, queries: np.ndarray) -> Cells | None:
+    """Cells of the vectors if there is enough to compare and some of the queries show that bounds leave over few of them.  Either way of search gives the same rows."""
+    if len(vectors) < MANY or len(queries) < MANY:
+        return None
+    cells = Cells(vectors)
+    return cells if cells.share(queries[::max(1, len(queries) // 64)]) < FEW else None
+
+
+def _chord(dot: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * dot, 0))
+
+
 def _block_matcher(ratio: float):
     """Top-2 partners of every row of one block in every later source of the other block."""
 
@@ -32,19 +123,14 @@ def _block_matcher(ratio: float):
         starts = np.unique(src_r, return_index=True)[1]
         for lo, hi in zip(starts, [*starts[1:], len(src_r)]):
             n_left = int(np.searchsorted(src_l, src_r[lo], side="left"))
-            for top in range(0, n_left, 2048):
-                rows = slice(top, min(top + 2048, n_left))
-                dots = vec_l[rows] @ vec_r[lo:hi].T
-                at = np.arange(dots.shape[0])
-                first = dots.argmax(axis=1)
-                best = dots[at, first]
-                if hi - lo > 1:
-                    dots[at, first] = -np.inf
-                    second = dots.argmax(axis=1)
-                    runner = dots[at, second]
-                else:
-                    second, runner = first, np.full(len(at), -np.inf)
-                keep = np.ones(len(at), dtype=bool)
+            if not n_left:
+                continue
+            cells = cells_worth_it(vec_r[lo:hi], vec_l[:n_left])
+            batch = 16384 if cells else 2048
+            for top in range(0, n_left, batch):
+                rows = slice(top, min(top + batch, n_left))
+                best, runner, first, second = cells.two_nearest(vec_l[rows]) if cells else full_search(vec_l[rows], vec_r[lo:hi])
+                keep = np.ones(len(best), dtype=bool)
                 if whole_r[lo]:
                     d1, d2 = np.maximum(2 - 2 * best, 0), np.maximum(2 - 2 * runner, 0)
                     keep = np.isfinite(runner) & (d2 > MIN_SECOND_SQ) & (d1 < ratio * ratio * d2)
@@ -73,18 +159,19 @@ def _block_matcher(ratio: float):
     return match
 
 
-def match_2nn(features: DataFrame, ratio: float = 0.8, chunk: int = 4096, block: int = 16384) -> DataFrame:
+def match_2nn(features: DataFrame, ratio: float = 0.8, chunk: int | None = None, block: int = 16384) -> DataFrame:
     """Ratio-tested best match of every feature in every later source of its set.
 
     ``features``: set_id, source_id, feature_id, descriptor (unit length).  Result: set_id, a, b,
     fa, fb, distance, with a < b.  A match needs a second-nearest vector in ``b`` that is not
     identical (d2^2 > 1e-7) and a nearest with d1 < ratio * d2.
 
-    Sources are split into chunks and chunks hashed into groups of about ``block`` rows; every
-    pair of groups is one bounded block whose dot products are a matrix product.  Only the two best
-    partners per (feature, other source) leave a block, and for sources that fit one chunk only
-    those that already pass the ratio test.
+    Sources are split into chunks (by default of ``block`` rows, so most stay whole) and chunks hashed into groups of about ``block``
+    rows; every pair of groups is one bounded block.  In a block the vectors of a source lie in cells around pivots, and a cell farther
+    away than the second nearest vector known so far is not compared.  Only the two best partners per (feature, other source) leave a
+    block, and for sources that fit one chunk only those that already pass the ratio test.
     """
+    chunk = chunk or block
     per_source = features.groupBy("set_id", "source_id").agg(F.count(F.lit(1)).alias("_n"))
     per_set = per_source.groupBy("set_id").agg(F.ceil(F.sum("_n") / block).cast("bigint").alias("_groups"))
     sized = (features.select("set_id", "source_id", "feature_id", "descriptor")

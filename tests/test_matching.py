@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,42 @@ def test_match_2nn_equals_brute_force(spark, chunk, block):
     assert len(want) > 20
 
 
+@pytest.mark.parametrize("n, clusters", [(1, 1), (2, 1), (400, 8), (400, 400)])
+def test_cells_find_what_a_full_search_finds(n, clusters):
+    rng = np.random.default_rng(n + clusters)
+    centres = rng.normal(size=(clusters, 16))
+
+    def some(k):
+        v = centres[rng.integers(0, clusters, k)] + rng.normal(scale=.05, size=(k, 16))
+        return v / np.linalg.norm(v, axis=1)[:, None]
+
+    vectors, queries = some(n), some(300)
+    vectors[n // 2] = vectors[n // 3]
+    queries[:20] = vectors[n // 3]
+    cells = matching.Cells(vectors)
+    got, want = cells.two_nearest(queries), matching.full_search(queries, vectors)
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+    assert (got[2] == want[2]).all() and (n == 1 or (got[3] == want[3]).all())
+    assert cells.all == 300 * n and (clusters != 8 or cells.met < .2 * cells.all)
+
+
+def test_blocks_with_cells_give_the_same_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    rows = []
+    for source, count in ((0, 300), (1, 250), (2, 1), (3, 200)):
+        v = centres[rng.integers(0, 20, count)] + rng.normal(scale=.05, size=(count, 16))
+        rows += [(1, source, f, d.tolist(), True, source % 2, 0, 1) for f, d in enumerate(v / np.linalg.norm(v, axis=1)[:, None])]
+    names = ["set_id", "source_id", "feature_id", "descriptor", "_whole", "_group", "_lo", "_hi"]
+    block = pa.table({c: [r[k] for r in rows] for k, c in enumerate(names)})
+    full = matching._block_matcher(0.9)(block).to_pydict()
+    monkeypatch.setattr(matching, "MANY", 100)
+    used = []
+    monkeypatch.setattr(matching, "cells_worth_it", lambda *a, f=matching.cells_worth_it: used.append(f(*a)) or used[-1])
+    pruned = matching._block_matcher(0.9)(block).to_pydict()
+    assert any(used) and full.pop("dot") == pytest.approx(pruned.pop("dot")) and full == pruned and len(full["a"]) > 0
+
+
 def test_candidates_cut_before_the_minimum(spark):
     counts = spark.createDataFrame([(1, 0, j, 10 - j) for j in range(1, 9)], "set_id long, a long, b long, n_matches long")
     got = {(r.a, r.b) for r in matching.candidate_pairs(counts).collect()}
