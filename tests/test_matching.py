@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import u
 from tessera.functions.similarity import sim_from_polar, sim_scale
 from tessera.operators import fitting, graph, matching
+from tessera.plans.merge import merge_strips
 from tessera.plans.recognize import recognize
 from tessera.session import cut
 
@@ -252,6 +253,47 @@ def test_recognize_end_to_end(spark):
         assert sorted(x.source_id for x in r.groups.collect()) == [0, 1, 2], model
 
 
+def test_features_to_merged_outputs(spark):
+    """Two strips of one set, one of another, and a source of its own: merged cells are the field the sources were cut from."""
+    rng = np.random.default_rng(21)
+    rows, cells, sizes = [], [], []
+
+    def value(strip, x, y):
+        return 0.3 + 0.002 * x + 0.001 * y + 0.1 * strip
+
+    for strip, (set_id, offsets) in enumerate(((1, (0, 25, 50)), (1, (0, 28)), (2, (0, 24)))):
+        world, desc = rng.uniform((0, 0), (100, 40), size=(160, 2)), rng.normal(size=(160, 32))
+        for k, off in enumerate(offsets):
+            source = 10 * strip + k
+            sizes.append((set_id, source, 50, 40))
+            cells += [(set_id, source, y, x, value(strip, x + off, y)) for y in range(40) for x in range(50)]
+            for f, (x, y) in enumerate(world):
+                if off <= x < off + 50:
+                    d = desc[f] + rng.normal(size=32) * 0.02
+                    rows.append((set_id, source, f, float(x - off), float(y), (d / np.linalg.norm(d)).tolist()))
+    sizes.append((2, 99, 50, 40))
+    for f in range(60):
+        d = rng.normal(size=32)
+        rows.append((2, 99, f, float(rng.uniform(0, 50)), float(rng.uniform(0, 40)), (d / np.linalg.norm(d)).tolist()))
+    feats = spark.createDataFrame(rows, FEATURES)
+    size_df = spark.createDataFrame(sizes, "set_id long, source_id long, width int, height int")
+    cell_df = spark.createDataFrame(cells, "set_id long, source_id long, y int, x int, v double")
+    out = merge_strips(feats, size_df, cell_df, width=F.round("extent_x").cast("int"), always_strip=True, levels=3, trials=40, crop=False)
+    told = {(r.set_id, r.source_id): (r.out_id, r.status) for r in out.status.collect()}
+    assert told.pop((2, 99)) == (None, "no group")
+    assert told == {(1, 0): (1, "merged"), (1, 1): (1, "merged"), (1, 2): (1, "merged"), (1, 10): (2, "merged"), (1, 11): (2, "merged"),
+                    (2, 20): (3, "merged"), (2, 21): (3, "merged")}
+    assert {r.out_id: r["size"] for r in out.outputs.collect()} == {1: 3, 2: 2, 3: 2}
+    assert all(r.rms < 1e-3 for r in out.quality.collect())
+    widths = {r.out_id: (r.out_width, r.extent_y) for r in out.frames.collect()}
+    assert {k: w for k, (w, _) in widths.items()} == {1: 100, 2: 78, 3: 74}
+    got = out.cells.collect()
+    for o, strip in ((1, 0), (2, 1), (3, 2)):
+        mine = [(r.v, value(strip, r.x, r.y)) for r in got if r.out_id == o and 3 <= r.x < widths[o][0] - 3 and 3 <= r.y < 36]
+        assert len(mine) > 0.95 * (widths[o][0] - 6) * 33 and max(abs(a - b) for a, b in mine) < 0.01
+    assert {r.model for r in out.models.collect()} == {"strip"} and out.gains.select("out_id").distinct().count() == 3
+
+
 @pytest.mark.parametrize("model", ["similarity", "homography"])
 @pytest.mark.parametrize("chunk", [8192, 40])
 def test_early_elimination_keeps_the_winner(spark, monkeypatch, model, chunk):
